@@ -43,6 +43,7 @@ _WEB_URL = (
 _JOINED = _SEP.join(f"${i}" for i in range(1, 8))
 _TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
 _PATH_UNSAFE = r"[^\x21-\x7e]|[\"<>`{}]"
+_FRAGMENT_UNSAFE = r"[^\x21-\x7e]|[\"<>`]"
 _QUERY_UNSAFE = r"[^\x21-\x7e]|[\"<>']"
 
 
@@ -142,7 +143,7 @@ def _parts(pieces: Column) -> Column:
         F.when((port == "") | (port == default), F.lit("")).otherwise(port).alias("port"),
         let(path, lambda p: F.when(p == "", F.lit("/")).otherwise(_percent_encode(_drop_dot_segments(p), _PATH_UNSAFE))).alias("path"),
         _percent_encode(F.get(pieces, F.lit(5)), _QUERY_UNSAFE).alias("query"),
-        F.get(pieces, F.lit(6)).alias("fragment"),
+        _percent_encode(F.get(pieces, F.lit(6)), _FRAGMENT_UNSAFE).alias("fragment"),
     )
     return F.when(F.size(pieces) == 7, parts)
 
