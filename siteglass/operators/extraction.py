@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import select as S
+from ..functions.build import built_once
 from ..functions import urls as U
 from ..sources.markup import parse_pages
 
@@ -85,6 +86,16 @@ def _faq_from_json(blocks: Column) -> Column:
     return F.flatten(F.transform(docs, answers))
 
 
+@built_once
+def _marked_columns() -> dict[str, Column]:
+    nodes, text, blocks = F.col("nodes"), F.col("page_text"), F.col("json_ld")
+    return {
+        "faq": F.concat(_faq_from_json(blocks), _faq_from_markup(nodes, text)),
+        "author": _author(nodes, text, blocks),
+        "date_published": _published(nodes, blocks),
+    }
+
+
 def _faq_from_markup(nodes: Column, text: Column) -> Column:
     def pair(question: Column, answer: Column) -> Column:
         return F.struct(
@@ -158,7 +169,7 @@ def _same_url_runs(sorted_links: Column) -> Column:
 
 def extract(parsed: DataFrame, url: str = "url", load_time: Column | None = None, render_method: str = "static") -> DataFrame:
     """Add the extraction columns and ``metrics`` to parsed pages."""
-    nodes, text, kept, blocks = (F.col(c) for c in ("nodes", "page_text", "kept_text", "json_ld"))
+    nodes, kept = F.col("nodes"), F.col("kept_text")
     page_url = F.col(url)
 
     def link(n: Column) -> Column:
@@ -191,7 +202,6 @@ def extract(parsed: DataFrame, url: str = "url", load_time: Column | None = None
         ),
         lambda h: h["text"] != "",
     )
-    faq = F.concat(_faq_from_json(blocks), _faq_from_markup(nodes, text))
     return (
         staged.withColumns(
             {
@@ -203,11 +213,9 @@ def extract(parsed: DataFrame, url: str = "url", load_time: Column | None = None
                     S.nonempty(canonical_href(nodes)), S.nonempty(meta(nodes, "property", "og:url")), page_url
                 ),
                 "headings": headings,
-                "faq": faq,
+                **_marked_columns(),
                 "internal_links": side(True),
                 "outbound_links": side(False),
-                "author": _author(nodes, text, blocks),
-                "date_published": _published(nodes, blocks),
                 "metrics": F.struct(
                     (F.lit(None) if load_time is None else load_time).cast("int").alias("load_time_ms"),
                     F.col("html_length").cast("int").alias("content_length"),

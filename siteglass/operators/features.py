@@ -6,9 +6,12 @@ Three staged projections, no shuffle: (1) the page record, (2) markup and text f
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import select as S
+from ..functions.build import built_once
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.numbers import points, ratio
@@ -49,43 +52,45 @@ GUARANTEE_TEXT = _W("garantie", "guarantee", "refund", "pengene tilbake")
 PHONE_TEXT = r"\+?[0-9]{2,4}[\s\-]?[0-9]{2,4}[\s\-]?[0-9]{2,4}"
 EMAIL_TEXT = r"@[A-Za-z0-9_.\-]+\.[A-Za-z0-9_]+"
 
-_time = S.both(S.tag("time"), S.has_attr("datetime"))
+# Date marks in order, as SQL over an element ``n`` (class lists are padded with blanks).
+_TIME = "n.tag = 'time' and n.attrs['datetime'] is not null"
+
+
+def _is_class(name: str, n: str = "n") -> str:
+    return f"contains({n}.cls, ' {name} ')"
+
+
+def _inside(outer: str, inner: str) -> str:
+    """``inner`` holds for the element and ``outer`` (over ``m``) for one of its ancestors."""
+    return f"{inner} and exists(nodes, m -> {outer} and m.i < n.i and m.last >= n.i)"
+
+
 PUBLISH_MARKS = (
-    _time,
-    S.has_attr("datetime"),
-    S.attr_is("property", "article:published_time"),
-    S.attr_is("name", "article:published_time"),
-    S.attr_is("property", "datePublished"),
-    *[S.has_class(c) for c in ("published", "date", "post-date", "entry-date", "publish-date")],
-    S.class_has("publish"), S.class_has("date"), S.id_has("date"),
-    *[S.has_class(c) for c in ("dato", "publisert", "opprettet", "blogg-dato", "artikkel-dato")],
-    S.class_has("dato"), S.class_has("publiser"), S.id_has("dato"),
-)
-# (outer, inner) pairs: the inner element somewhere inside the outer one.
-PUBLISH_NESTED = (
-    (S.has_class("byline"), S.has_class("date")),
-    (S.has_class("meta"), S.has_class("date")),
-    (S.has_class("post-meta"), S.has_class("date")),
-    (S.has_class("article-meta"), S.has_class("date")),
-    (S.tag("header"), S.has_class("date")),
-    (S.has_class("entry-meta"), S.tag("time")),
-    (S.has_class("post-info"), S.has_class("date")),
+    _TIME,
+    "n.attrs['datetime'] is not null",
+    "n.attrs['property'] = 'article:published_time'",
+    "n.attrs['name'] = 'article:published_time'",
+    "n.attrs['property'] = 'datePublished'",
+    *[_is_class(c) for c in ("published", "date", "post-date", "entry-date", "publish-date")],
+    "contains(n.cls, 'publish')", "contains(n.cls, 'date')", "contains(n.id, 'date')",
+    *[_is_class(c) for c in ("dato", "publisert", "opprettet", "blogg-dato", "artikkel-dato")],
+    "contains(n.cls, 'dato')", "contains(n.cls, 'publiser')", "contains(n.id, 'dato')",
+    *[_inside(_is_class(c, "m"), _is_class("date")) for c in ("byline", "meta", "post-meta", "article-meta")],
+    _inside("m.tag = 'header'", _is_class("date")),
+    _inside(_is_class("entry-meta", "m"), "n.tag = 'time'"),
+    _inside(_is_class("post-info", "m"), _is_class("date")),
 )
 UPDATE_MARKS = (
-    S.attr_is("property", "article:modified_time"),
-    S.attr_is("name", "article:modified_time"),
-    S.attr_is("property", "dateModified"),
-    S.both(_time, S.class_has("updated")),
-    S.both(_time, S.class_has("modified")),
-    S.class_has("updated"), S.class_has("modified"), S.class_has("last-modified"),
-    *[S.has_class(c) for c in ("last-updated", "modified-date", "update-date")],
-    S.class_has("oppdatert"), S.class_has("endret"), S.class_has("sist-endret"),
-    *[S.has_class(c) for c in ("oppdatert", "endret", "sist-endret", "sist-oppdatert")],
-)
-UPDATE_NESTED = (
-    (S.has_class("meta"), S.has_class("updated")),
-    (S.has_class("post-meta"), S.has_class("updated")),
-    (S.has_class("article-meta"), S.has_class("updated")),
+    "n.attrs['property'] = 'article:modified_time'",
+    "n.attrs['name'] = 'article:modified_time'",
+    "n.attrs['property'] = 'dateModified'",
+    f"{_TIME} and contains(n.cls, 'updated')",
+    f"{_TIME} and contains(n.cls, 'modified')",
+    "contains(n.cls, 'updated')", "contains(n.cls, 'modified')", "contains(n.cls, 'last-modified')",
+    *[_is_class(c) for c in ("last-updated", "modified-date", "update-date")],
+    "contains(n.cls, 'oppdatert')", "contains(n.cls, 'endret')", "contains(n.cls, 'sist-endret')",
+    *[_is_class(c) for c in ("oppdatert", "endret", "sist-endret", "sist-oppdatert")],
+    *[_inside(_is_class(c, "m"), _is_class("updated")) for c in ("meta", "post-meta", "article-meta")],
 )
 AUTHOR_ELEMENT = S.either(
     S.attr_is("rel", "author", fold=True), S.class_has("author", "writer"), S.id_has("author"),
@@ -96,18 +101,16 @@ NAVIGATION = S.either(S.tag("nav"), S.attr_is("role", "navigation"))
 # ----------------------------------------------------------------------------------
 
 
-def _date(nodes: Column, text: Column, marks, nested, patterns) -> Column:
-    def value(n: Column) -> Column:
-        return F.coalesce(
-            S.nonempty(n["attrs"]["datetime"]), S.nonempty(n["attrs"]["content"]), S.nonempty(S.trim(S.slice_text(text, n)))
-        )
-
-    tests = [*marks, *[S.both(inner, S.inside(nodes, outer)) for outer, inner in nested]]
+def _date(marks: Sequence[str], patterns: Sequence[str]) -> Column:
+    """Value of the first mark whose first element carries one longer than four characters, else a date in the text."""
+    value = (
+        "n -> coalesce(nullif(n.attrs['datetime'], ''), nullif(n.attrs['content'], ''), "
+        f"nullif(regexp_replace(substring(page_text, n.a + 1, n.b - n.a), r'^{S.JS_SPACE}+|{S.JS_SPACE}+$', ''), ''))"
+    )
     found = [
-        F.get(F.filter(F.transform(F.slice(S.pick(F.col("marked"), t), 1, 1), value), lambda v: F.length(v) > 4), F.lit(0))
-        for t in tests
+        f"get(filter(transform(slice(filter(marked, n -> coalesce({mark}, false)), 1, 1), {value}), v -> length(v) > 4), 0)" for mark in marks
     ]
-    return F.coalesce(*found, X.first_date(F.col("body_text"), patterns))
+    return F.coalesce(F.expr(f"coalesce({', '.join(found)})"), X.first_date(F.col("body_text"), patterns))
 
 
 def _ld_type(t: Column) -> Column:
@@ -143,14 +146,22 @@ def features(parsed: DataFrame, url: str = "url", load_time: Column | None = Non
     time counts as 0, as for pages read without a browser.
     """
     rows = record(parsed, url)
+    for stage in feature_stages(url, year):
+        rows = rows.withColumns(stage)
+    load = F.coalesce(F.lit(0) if load_time is None else load_time, F.lit(0)).cast("double")
+    return rows.withColumn("load_time", load).drop("_items", "_lists")
+
+
+@built_once
+def feature_stages(url: str, year: int | None) -> tuple[dict[str, Column], ...]:
+    """The feature columns in stages: a stage only uses columns of earlier ones."""
     nodes, marked, body, lower = (F.col(c) for c in ("nodes", "marked", "body_text", "body_lower"))
     question_headings = S.pick(nodes, S.both(S.tag("h2", "h3", "h4"), lambda n: X.is_question(n["text"])))
     ordered, bulleted = S.tag("ol"), S.tag("ul")
     items = S.pick(nodes, S.tag("li"))
     lists = S.pick(nodes, S.tag("ol", "ul"))
     first_p = S.first_value(nodes, S.tag("p"), lambda n: S.slice_text(F.col("page_text"), n))
-    rows = rows.withColumns(
-        {
+    first = {
             "_items": items,
             "_lists": lists,
             "first_paragraph": F.coalesce(first_p, F.lit("")),
@@ -158,14 +169,13 @@ def features(parsed: DataFrame, url: str = "url", load_time: Column | None = Non
             "heading_texts": F.concat("h1", "h2", "h3"),
             "footer_text": S.joined_text(nodes, S.tag("footer"), F.col("page_text")),
             "overview_keywords": X.matched_keywords(lower, X.AI_OVERVIEW_KEYWORDS),
-            "publish_date": _date(nodes, F.col("page_text"), PUBLISH_MARKS, PUBLISH_NESTED, X.PUBLISH_DATES),
-            "update_date": _date(nodes, F.col("page_text"), UPDATE_MARKS, UPDATE_NESTED, X.UPDATE_DATES),
+            "publish_date": _date(PUBLISH_MARKS, X.PUBLISH_DATES),
+            "update_date": _date(UPDATE_MARKS, X.UPDATE_DATES),
             "faq_block": _first_block(lambda t: (_ld_type(t) == "FAQPage") | (_ld_type(t).startswith("[") & _ld_type(t).contains('"FAQPage"'))),
             "howto_block": _first_block(lambda t: _ld_type(t) == "HowTo"),
             "article_block": _first_block(lambda t: _ld_type(t).isin("Article", "BlogPosting", "NewsArticle")),
             "breadcrumb_block": _first_block(lambda t: _ld_type(t) == "BreadcrumbList"),
         }
-    )
 
     def items_in(kind: S.Predicate) -> Column:
         def within(n: Column) -> Column:
@@ -173,16 +183,13 @@ def features(parsed: DataFrame, url: str = "url", load_time: Column | None = Non
 
         return F.size(F.filter("_items", within))
 
-    rows = rows.withColumns(
-        {
+    second = {
             "ordered_items": items_in(ordered),
             "bulleted_items": items_in(bulleted),
             "list_items": F.size(F.filter("_items", lambda n: F.exists("_lists", lambda m: (m["i"] < n["i"]) & (m["last"] >= n["i"])))),
             "question_headings": F.size(question_headings),
         }
-    )
     images = F.size("images")
-    load = F.coalesce(F.lit(0) if load_time is None else load_time, F.lit(0)).cast("double")
 
     def marks(test: S.Predicate) -> Column:
         return S.any_node(marked, test)
@@ -225,7 +232,6 @@ def features(parsed: DataFrame, url: str = "url", load_time: Column | None = Non
         "has_viewport": F.coalesce(meta(marked, "name", "viewport").contains("width=device-width"), F.lit(False)),
         "responsive_image_ratio": ratio(S.count_nodes(marked, S.both(S.tag("img"), S.has_attr("srcset"))), images),
         "has_mobile_css": marks(S.both(S.tag("link"), S.attr_has("media", "screen", fold=True))),
-        "load_time": load,
         "meta_description_length": F.length("raw_description"),
         "has_og_tags": F.col("og_data.title") != "",
         "title_length": F.length("raw_title"),
@@ -258,9 +264,8 @@ def features(parsed: DataFrame, url: str = "url", load_time: Column | None = Non
         "has_definition": F.length("first_paragraph") > 50,
         "conversational_tone": X.conversational_tone(body),
     }
-    rows = rows.withColumns(flags)
     snippet = sum((points(F.col(c), 1.0) for c in ("has_list", "has_table")), points(F.col("has_definition"), 1.0))
-    return rows.withColumn("snippet_score", snippet * 33.33).drop("_items", "_lists")
+    return first, second, flags, {"snippet_score": snippet * 33.33}
 
 
 def _votes(*conditions: Column) -> Column:
@@ -312,11 +317,17 @@ def content_page_type(title: Column, text: Column) -> Column:
 
 def with_page_type(rows: DataFrame, url: str = "url", title: str = "raw_title", text: str = "body_text") -> DataFrame:
     """Stage 3: decide ``page_type`` and the trust factors that depend on it."""
-    typed = rows.withColumn(
-        "page_type",
-        F.coalesce(url_page_type(F.col(url), F.col("url_path")), content_page_type(F.col(title), F.col(text))),
-    )
-    return typed.withColumn("trust_factors", trust_factors(F.col("page_type")))
+    return rows.withColumn("page_type", _page_type(url, title, text)).withColumn("trust_factors", _trust_by_type())
+
+
+@built_once
+def _page_type(url: str, title: str, text: str) -> Column:
+    return F.coalesce(url_page_type(F.col(url), F.col("url_path")), content_page_type(F.col(title), F.col(text)))
+
+
+@built_once
+def _trust_by_type() -> Column:
+    return trust_factors(F.col("page_type"))
 
 
 def trust_factors(page_type: Column) -> Column:

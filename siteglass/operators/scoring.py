@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.build import built_once
 from ..functions.numbers import points, round_half_up
 
 C = F.col
@@ -135,16 +136,19 @@ def structured_data_score() -> Column:
 SCORES = ("content", "eat", "technical", "structured_data")
 
 
+@built_once
+def _raw_scores() -> dict[str, Column]:
+    return {
+        "_content": content_score(),
+        "_eat": eat_score(C("page_type")),
+        "_technical": technical_score(),
+        "_structured_data": structured_data_score(),
+    }
+
+
 def with_scores(rows: DataFrame) -> DataFrame:
     """Add the four scores (rounded) and ``overall_score`` from the unrounded quarters."""
-    raw = rows.withColumns(
-        {
-            "_content": content_score(),
-            "_eat": eat_score(C("page_type")),
-            "_technical": technical_score(),
-            "_structured_data": structured_data_score(),
-        }
-    )
+    raw = rows.withColumns(_raw_scores())
     quarter = sum((C(f"_{s}") * 0.25 for s in SCORES[1:]), C(f"_{SCORES[0]}") * 0.25)
     return raw.withColumns(
         {"overall_score": round_half_up(quarter), **{f"{s}_score": round_half_up(C(f"_{s}")) for s in SCORES}}
@@ -180,6 +184,7 @@ def _rules() -> list[tuple[str, str, str, str, str, Column, Column | None]]:
     ]
 
 
+@built_once
 def recommendations() -> Column:
     """Ranked array of findings; a group speaks only while its rounded score is below 70."""
     found = []

@@ -321,7 +321,8 @@ RULES_SQL = WITH_FEATURES + """, rules AS (
 @query("page_recommendations", "H53 F4", RULES_SQL + "SELECT page_id, rank, priority, issue FROM found")
 def page_recommendations(t: Tables):
     found = scoring.with_recommendations(scoring.with_scores(_features(t)))
-    return found.select("page_id", F.posexplode("recommendations").alias("pos", "r")).select(
+    # The outer form keeps the optimizer from deriving a filter that repeats the whole expression below the stages.
+    return found.select("page_id", F.posexplode_outer("recommendations").alias("pos", "r")).filter("r is not null").select(
         "page_id", (C("pos") + 1).alias("rank"), C("r.priority").alias("priority"), C("r.issue").alias("issue")
     )
 
@@ -330,8 +331,8 @@ def page_recommendations(t: Tables):
 def recommendation_counts(t: Tables):
     from ..operators.filters import recommendation_filter
 
-    found = scoring.with_recommendations(scoring.with_scores(_features(t))).select(F.inline("recommendations"))
-    return found.filter(recommendation_filter("high")).groupBy("issue").agg(F.count("*").alias("pages"))
+    found = scoring.with_recommendations(scoring.with_scores(_features(t))).select(F.inline_outer("recommendations"))
+    return found.filter(C("issue").isNotNull() & recommendation_filter("high")).groupBy("issue").agg(F.count("*").alias("pages"))
 
 
 @query("recommendation_priorities", "D10", RULES_SQL + """SELECT page_id, count(*) FILTER (priority = 'high') AS high, count(*) FILTER (priority = 'medium') AS medium, count(*) FILTER (priority = 'low') AS low FROM found GROUP BY page_id""")

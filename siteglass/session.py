@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     # Windows and sorts over wide generated projections stay in codegen.
     "spark.sql.codegen.maxFields": "200",
+    # Call-site capture costs several JVM calls per column operation while plans are built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
