@@ -18,10 +18,13 @@ def latest_score(scores: DataFrame, columns: Sequence[str], keys: Sequence[str]
     return latest(scores, list(keys), ["scored_at", "score_id"], columns)
 
 
-def with_change(snapshots: DataFrame, value: str = "content_hash") -> DataFrame:
-    """Add ``changed``: the content differs from the page's previous snapshot (none counts as changed)."""
+def with_change(snapshots: DataFrame, value: str = "content_hash", bucket: str = "day") -> DataFrame:
+    """Add ``changed``: the content differs from the page's previous snapshot (none counts as changed).
+
+    ``bucket`` is the time slice one task sorts at a time for a page; a busier source wants a finer one.
+    """
     prior = with_previous(
-        snapshots, ["page_id"], F.date_trunc("day", "snapshot_at"), ["snapshot_at", "snapshot_id"], value, "_prev"
+        snapshots, ["page_id"], F.date_trunc(bucket, "snapshot_at"), ["snapshot_at", "snapshot_id"], value, "_prev"
     )
     same = F.col("_prev").isNotNull() & F.col("_prev.value").eqNullSafe(F.col(value))
     return prior.withColumn("changed", ~same).drop("_prev")
@@ -32,10 +35,10 @@ def snapshot_gate(snapshots: DataFrame, run_type: Column) -> DataFrame:
     return with_change(snapshots).filter(F.col("changed") | (run_type == "full"))
 
 
-def score_history(scores: DataFrame) -> DataFrame:
+def score_history(scores: DataFrame, bucket: str = "day") -> DataFrame:
     """Scores with the difference to the page's previous score (null for the first)."""
     prior = with_previous(
-        scores, ["page_id"], F.date_trunc("day", "scored_at"), ["scored_at", "score_id"], "overall_score", "_prev"
+        scores, ["page_id"], F.date_trunc(bucket, "scored_at"), ["scored_at", "score_id"], "overall_score", "_prev"
     )
     return prior.withColumn("delta", F.col("overall_score") - F.col("_prev.value")).drop("_prev")
 
@@ -120,5 +123,6 @@ def rescore_batch(pages: DataFrame) -> DataFrame:
     The run is the one of the first such page (by page_id).
     """
     chosen = pages.filter("current_snapshot_id is not null")
-    run = chosen.agg(F.min_by("last_crawl_run_id", "page_id").alias("booked_run_id"))
-    return chosen.select("page_id", "current_snapshot_id").join(F.broadcast(run), F.lit(True))
+    run = chosen.agg(F.min_by("last_crawl_run_id", "page_id").alias("booked_run_id")).withColumn("_k", F.lit(1))
+    # One row, joined on a constant key.
+    return chosen.select("page_id", "current_snapshot_id", F.lit(1).alias("_k")).join(F.broadcast(run), "_k").drop("_k")

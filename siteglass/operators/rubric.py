@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .ordered import first_seen
 from .quality import collect_errors
 
 RUBRIC_SCHEMA = (
@@ -88,9 +89,9 @@ def view_category(criterion: Column) -> Column:
 
 
 def merge_rubrics(sets: DataFrame) -> DataFrame:
-    """Union of criteria rows (``set_pos``, category, criterion, pos): first per name wins."""
-    w = Window.partitionBy("category", "criterion").orderBy("set_pos", "pos")
-    return sets.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """Union of criteria rows (``set_pos``, category, criterion, pos, ...): first per name wins."""
+    rest = [c for c in sets.columns if c not in ("category", "criterion")]
+    return first_seen(sets, ["category", "criterion"], ["set_pos", "pos"], rest)
 
 
 def rubric_errors(rubric: DataFrame) -> DataFrame:

@@ -26,6 +26,10 @@ class Tables:
         """Markup is split over all cores: a page table is few bytes on disk and much work per byte."""
         return spread(self.raw("pages"))
 
+    @property
+    def texts(self) -> DataFrame:
+        return spread(self.raw("documents").select("doc_id", "text"))
+
     @property
     def organizations(self) -> DataFrame:
         return self.raw("region").select(F.col("r_regionkey").alias("organization_id"), F.col("r_name").alias("name"))

@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..functions.select import squeeze
 from ..operators import extraction as E
 from ..operators import features as P
-from ..operators import history, links, quality, reports, rubric, scoring, tokens
+from ..operators import history, links, reports, rubric, scoring, tokens
 from ..operators.ordered import ranked
 from ..operators.tables import content_hash
 from ..sources.markup import parse_pages
-from .analysis import analyze, analyze_features
+from .analysis import analyze_features
 from .bindings import Tables
 from .registry import query
 
@@ -172,14 +171,11 @@ def _link_sql(where: str) -> str:
 @query("extract_links", "I7 H4", _link_sql("SELECT page_id, target, anchor, own FROM edges"))
 def extract_links(t: Tables):
     got = _extracted(t)
-    one = links.page_links(got, "internal_links").withColumn("own", F.lit(True))
-    two = links.page_links(got, "outbound_links").withColumn("own", F.lit(False))
     # Both kinds from one parse: the arrays are tagged, joined and exploded once.
     tagged = F.concat(
         F.transform("internal_links", lambda l: F.struct(l["url"].alias("target"), l["anchor"].alias("anchor"), F.lit(True).alias("own"))),
         F.transform("outbound_links", lambda l: F.struct(l["url"].alias("target"), l["anchor"].alias("anchor"), F.lit(False).alias("own"))),
     )
-    del one, two
     return got.select("page_id", F.inline(tagged))
 
 
@@ -388,9 +384,10 @@ def rubric_for_pages(t: Tables):
 
 @query("scoring_prompts", "H44 H39", None)
 def scoring_prompts(t: Tables):
-    prepared = tokens.prepare_content(_extracted(t)).withColumn("page_type", F.coalesce(P.url_page_type(C("url"), U.path_of(C("url"))), F.lit("resource")))
-    rules = rubric.load_rubric(t.spark)
-    lists = rubric.criteria_list(rubric.criteria_for(prepared.select("page_type"), rules))
+    kind = F.coalesce(P.url_page_type(C("url"), U.path_of(C("url"))), F.lit("resource")).alias("page_type")
+    prepared = tokens.prepare_content(_extracted(t)).select("page_id", "content", "context", kind)
+    # The types come from the URL column alone, so the markup is parsed once.
+    lists = rubric.criteria_list(rubric.criteria_for(t.raw("pages").select(kind), rubric.load_rubric(t.spark)))
     # At most one row per page type of the fixed vocabulary: safe to broadcast.
     return prepared.join(F.broadcast(lists), "page_type").select(
         "page_id", "page_type", rubric.scoring_prompt(F.coalesce("content", "context"), C("page_type"), C("criteria_list")).alias("prompt")
@@ -414,9 +411,6 @@ def prepared_with_summary(t: Tables):
 
 
 # --- text features over documents -------------------------------------------------------------------
-_T = "text"
-
-
 @query("text_features", "H13 H14 H15 H19 H20 H26 H31", rf"""WITH t AS (SELECT doc_id, text, lower(text) AS low, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words,
  len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')) AS sentences, len(text) - len(replace(text, '?', '')) AS marks FROM documents)
  SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 WHEN words / greatest(sentences, 1) < 15 THEN 85 WHEN words / greatest(sentences, 1) < 20 THEN 75 WHEN words / greatest(sentences, 1) < 25 THEN 65 ELSE 45 END AS readability,
@@ -427,7 +421,7 @@ _T = "text"
  regexp_matches(text, '\d+\.') AS numbered FROM t""")
 def text_features(t: Tables):
     x, low = C("text"), F.lower("text")
-    return t.raw("documents").select(
+    return t.texts.select(
         "doc_id", X.readability(x).alias("readability"), X.has_facts(x).alias("facts"), X.content_format(x, F.lit(0)).alias("format"),
         X.question_answering(x, F.lit(1)).alias("answering"), F.size(X.matched_keywords(low, X.EXPERTISE_KEYWORDS)).alias("expertise"),
         F.size(X.matched_keywords(low, X.AI_OVERVIEW_KEYWORDS)).alias("overview"), F.size(X.matched_keywords(low, X.COMPARISON_WORDS)).alias("comparisons"),
@@ -441,7 +435,7 @@ def text_features(t: Tables):
  + len(regexp_extract_all(low, '\blet''s\b')) + len(regexp_extract_all(low, '\bhere''s\b'))) / pieces * 100, 6) AS tone,
  round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '(?i)answer|solution|result|^(to |the |this |here)'))) / len(s) * 100 ELSE 0 END, 6) AS density FROM t""")
 def text_tone(t: Tables):
-    return t.raw("documents").select(
+    return t.texts.select(
         "doc_id", F.round(X.conversational_tone(C("text")), 6).alias("tone"), F.round(X.answer_density(C("text")), 6).alias("density")
     )
 
@@ -487,13 +481,13 @@ def message_tokens(t: Tables):
 def text_chunks(t: Tables):
     # Documents break paragraphs by single line ends, so these are widened first.
     paragraphs = F.regexp_replace("text", "\n+", "\n\n")
-    return t.raw("documents").select("doc_id", F.posexplode(tokens.chunks(paragraphs, 200)).alias("chunk", "t")).select("doc_id", "chunk", F.sha2("t", 256).alias("chunk_hash"))
+    return t.texts.select("doc_id", F.posexplode(tokens.chunks(paragraphs, 200)).alias("chunk", "t")).select("doc_id", "chunk", F.sha2("t", 256).alias("chunk_hash"))
 
 
 @query("model_accuracy", "D20", r"""WITH t AS (SELECT d.doc_id, quality, CASE WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) / greatest(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')), 1) < 25 THEN 1 ELSE 0 END AS actual
  FROM documents d JOIN labels l ON l.doc_id = d.doc_id) SELECT quality AS expected, actual, count(*) AS n FROM t GROUP BY 1, 2""")
 def model_accuracy(t: Tables):
-    judged = t.raw("documents").select("doc_id", F.when(X.readability(C("text")) > 45, 1).otherwise(0).alias("actual"))
+    judged = t.texts.select("doc_id", F.when(X.readability(C("text")) > 45, 1).otherwise(0).alias("actual"))
     return reports.confusion(t.raw("labels").select("doc_id", C("quality").alias("expected")).join(judged, "doc_id"), "expected", "actual")
 
 

@@ -51,8 +51,8 @@ def stream_token_budget(t: Tables):
 
 def _cool_down_sql(seconds: int) -> str:
     return f"""WITH RECURSIVE o AS (SELECT user_id AS key, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
- w(key, event_id, n, allowed, at) AS (SELECT key, event_id, n, true, t FROM o WHERE n = 1
-  UNION ALL SELECT o.key, o.event_id, o.n, o.t - w.at >= {seconds} * 1000000, CASE WHEN o.t - w.at >= {seconds} * 1000000 THEN o.t ELSE w.at END FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1)
+ w(key, event_id, n, allowed, since) AS (SELECT key, event_id, n, true, t FROM o WHERE n = 1
+  UNION ALL SELECT o.key, o.event_id, o.n, o.t - w.since >= {seconds * 1000000}, CASE WHEN o.t - w.since >= {seconds * 1000000} THEN o.t ELSE w.since END FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1)
  SELECT key, event_id, allowed FROM w"""
 
 
@@ -85,7 +85,7 @@ def stream_life_cycle(t: Tables):
 
 @query("stream_first_submissions", "J9", "SELECT DISTINCT user_id || '-' || event_type AS job_id FROM events")
 def stream_first_submissions(t: Tables):
-    return append_to_table(jobs.first_submissions(_events(t).withColumn("job_id", F.concat_ws("-", "user_id", "event_type"))), "jobs")
+    return append_to_table(jobs.first_submissions(_events(t).withColumn("job_id", F.concat_ws("-", "user_id", "event_type")), late="40 days"), "jobs")
 
 
 @query("stream_attempts", "J9", "SELECT user_id || '-' || event_type AS job_id, count(*) AS attempts, count(*) < 3 AS may_retry FROM events GROUP BY 1")

@@ -46,7 +46,7 @@ def usage(events: DataFrame, late: str = "1 hour") -> DataFrame:
     ).select(F.col("window.start").alias("window_start"), "endpoint", "total", "success", "errors")
 
 
-def first_submissions(events: DataFrame, late: str = "40 days") -> DataFrame:
+def first_submissions(events: DataFrame, late: str = "7 days") -> DataFrame:
     """Job ids once each, however often they are submitted inside the watermark."""
     return events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["job_id"]).select("job_id")
 
