@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.tables import CRITERIA
+from ..sources.pages import read_pages
 
 
 class Tables:
@@ -24,7 +25,7 @@ class Tables:
     @property
     def stored_pages(self) -> DataFrame:
         """Markup is split over all cores: a page table is few bytes on disk and much work per byte."""
-        return spread(self.raw("pages"))
+        return spread(read_pages(self.spark, f"{self.folder}/pages.parquet"))
 
     @property
     def texts(self) -> DataFrame:

@@ -142,7 +142,7 @@ def _extracted(t: Tables):
     return E.extract_pages(t.stored_pages)
 
 
-@query("extract_text", "I0 I1 I2 I3 I5 I11", WITH_DOC + """SELECT page_id, trim(raw_title) AS title, '' AS meta_description, url AS canonical_url, body,
+@query("extract_text", "A1 I0 I1 I2 I3 I5 I11", WITH_DOC + """SELECT page_id, trim(raw_title) AS title, '' AS meta_description, url AS canonical_url, body,
  html_length AS content_length, CASE WHEN body = '' THEN 0 ELSE len(string_split(body, ' ')) END AS word_count FROM d""")
 def extract_text(t: Tables):
     return _extracted(t).select(
