@@ -9,7 +9,8 @@ from pyspark.sql import Column, functions as F
 from .numbers import ratio
 from .select import JS_SPACE, WORD_END, WORD_START, let, squeeze, words_of_squeezed
 
-# --- fixed values: word lists and patterns -----------------------------------
+# --- fixed values: word lists and patterns. Patterns named *_MARKS and BYLINE are for lower-cased text,
+# which is cheaper to match than a case-folding pattern. ------------------------------------------------
 AI_OVERVIEW_KEYWORDS = (
     "how to", "what is", "best way", "steps to", "guide", "tutorial",
     "comparison", "vs", "versus", "benefits", "advantages", "pros and cons",
@@ -23,15 +24,15 @@ EXPERTISE_KEYWORDS = (
 QUESTION_STARTS = ("how", "what", "why", "when", "where", "who", "which")
 MONTHS_EN = "january february march april may june july august september october november december".split()
 MONTHS_NO = "januar februar mars april mai juni juli august september oktober november desember".split()
-FACT_MARKS = r"(?i)according to|study shows|research indicates|data from|statistics|survey|[0-9]+%"
-STEP_MARKS = r"(?i)step [0-9]+|first,|second,|third,|next,|finally,"
-VERSUS_MARKS = r"(?i)vs\.|versus|compared to|comparison"
-REVIEW_MARKS = r"(?i)review|rating|score|pros and cons"
+FACT_MARKS = r"according to|study shows|research indicates|data from|statistics|survey|[0-9]+%"
+STEP_MARKS = r"step [0-9]+|first,|second,|third,|next,|finally,"
+VERSUS_MARKS = r"vs\.|versus|compared to|comparison"
+REVIEW_MARKS = r"review|rating|score|pros and cons"
 DIRECT_OPENINGS = r"^(?i)(to|in order to|the best way to|here's how|follow these steps|the answer is)"
 DEFINITION_OPENING = rf"^[A-Z][^.!?]*{JS_SPACE}+(is|are|means|refers to)"
-BYLINE = rf"(?i){WORD_START}((by|av){JS_SPACE}+|(forfatter|author):?{JS_SPACE}*)[a-z]{{2}}"
+BYLINE = rf"{WORD_START}((by|av){JS_SPACE}+|(forfatter|author):?{JS_SPACE}*)[a-z]{{2}}"
 CONTACT_MARKS = (
-    r"(?i)contact|email|phone|address|@[a-z0-9_.\-]+\.[a-z0-9_]+"
+    r"contact|email|phone|address|@[a-z0-9_.\-]+\.[a-z0-9_]+"
     rf"|\+?[0-9]{{1,4}}[{JS_SPACE[1:-1]}\-]?\(?[0-9]{{3}}\)?[{JS_SPACE[1:-1]}\-]?[0-9]{{3}}[{JS_SPACE[1:-1]}\-]?[0-9]{{4}}"
 )
 _EN, _NO, _SP = "|".join(MONTHS_EN), "|".join(MONTHS_NO), JS_SPACE
@@ -57,6 +58,15 @@ def words(*choices: str, fold: bool = True) -> str:
     return ("(?iu)" if fold else "") + WORD_START + "(" + "|".join(choices) + ")" + WORD_END
 
 
+def has_word(lower_text: Column, choices: Sequence[str]) -> Column:
+    """Does one of the (lower-case) words stand in the text? Plain substring tests run first; the pattern
+    with its word borders only looks at texts that contain a candidate."""
+    candidate = F.contains(lower_text, F.lit(choices[0]))
+    for word in choices[1:]:
+        candidate = candidate | F.contains(lower_text, F.lit(word))
+    return candidate & lower_text.rlike(words(*choices, fold=False))
+
+
 def matched_keywords(lower_text: Column, keywords: Sequence[str]) -> Column:
     """The keywords that occur, in list order.
 
@@ -80,18 +90,18 @@ def direct_answer(first_paragraph: Column) -> Column:
     )
 
 
-def content_format(text: Column, list_items: Column) -> Column:
+def content_format(lower_text: Column, list_items: Column) -> Column:
     return (
-        F.when((list_items > 3) & text.rlike(STEP_MARKS), F.lit("step-by-step guide"))
+        F.when((list_items > 3) & lower_text.rlike(STEP_MARKS), F.lit("step-by-step guide"))
         .when(list_items > 5, F.lit("listicle"))
-        .when(text.rlike(VERSUS_MARKS), F.lit("comparison"))
-        .when(text.rlike(REVIEW_MARKS), F.lit("review"))
+        .when(lower_text.rlike(VERSUS_MARKS), F.lit("comparison"))
+        .when(lower_text.rlike(REVIEW_MARKS), F.lit("review"))
         .otherwise(F.lit("article"))
     )
 
 
-def has_facts(text: Column) -> Column:
-    return text.rlike(FACT_MARKS)
+def has_facts(lower_text: Column) -> Column:
+    return lower_text.rlike(FACT_MARKS)
 
 
 def _sentences(text: Column, longer_than: int) -> Column:
@@ -153,12 +163,12 @@ def first_date(text: Column, patterns: Sequence[str]) -> Column:
     return F.when(text.rlike("[0-9]{4}"), F.coalesce(*found))
 
 
-def has_contact(text: Column) -> Column:
-    return text.rlike(CONTACT_MARKS)
+def has_contact(lower_text: Column) -> Column:
+    return lower_text.rlike(CONTACT_MARKS)
 
 
-def has_byline(text: Column) -> Column:
-    return text.rlike(BYLINE)
+def has_byline(lower_text: Column) -> Column:
+    return lower_text.rlike(BYLINE)
 
 
 def initials_label(name: Column) -> Column:

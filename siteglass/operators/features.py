@@ -30,25 +30,24 @@ URL_TYPES = (
 AUTHORITY_DOMAINS = (
     "wikipedia.org", "gov", "edu", "nih.gov", "cdc.gov", "who.int", "nature.com", "science.org",
 )
-_W = X.words
-BLOG_TEXT = r"(?iu)(?<![A-Za-z0-9_])(publisert|published|forfatter|author|av\s+[A-Z]|written by|posted by)"
-CTA_TEXT = _W("get started", "sign up", "free trial", "request demo", "contact us", "book a demo", "start free", "subscribe")
-ORDER_TEXT = _W("kontakt oss", "få tilbud", "bestill", "order now", "buy now", "purchase")
-PRODUCT_TEXT = _W(
+BLOG_TEXT = r"(?<![A-Za-z0-9_])(publisert|published|forfatter|author|av\s+[a-z]|written by|posted by)"
+CTA_WORDS = ("get started", "sign up", "free trial", "request demo", "contact us", "book a demo", "start free", "subscribe")
+ORDER_WORDS = ("kontakt oss", "få tilbud", "bestill", "order now", "buy now", "purchase")
+PRODUCT_WORDS = (
     "produkt", "product", "buy", "kjøp", "price", "pris", "add to cart", "legg i handlekurv", "specifications", "specs")
-FEATURE_TEXT = _W("features", "benefits", "fordeler", "technical details", "dimensions")
-SOLUTION_TEXT = _W("solution", "løsning", "service", "tjeneste", "how we", "hvordan vi", "our approach", "vår tilnærming")
-PROBLEM_TEXT = _W("problem", "utfordring", "challenge", "need", "behov", "pain point")
-OUTCOME_TEXT = _W("benefit", "fordel", "advantage", "result", "resultat", "outcome")
+FEATURE_WORDS = ("features", "benefits", "fordeler", "technical details", "dimensions")
+SOLUTION_WORDS = ("solution", "løsning", "service", "tjeneste", "how we", "hvordan vi", "our approach", "vår tilnærming")
+PROBLEM_WORDS = ("problem", "utfordring", "challenge", "need", "behov", "pain point")
+OUTCOME_WORDS = ("benefit", "fordel", "advantage", "result", "resultat", "outcome")
 SOLUTION_TITLE = "solution|løsning|service"
-GUIDE_TEXT = _W("guide", "veiledning", "tutorial", "how to", "hvordan", "documentation", "docs", "learn", "lær", "reference")
-STEP_TEXT = _W("step", "steg", "instruction", "tips", "best practices", "examples", "eksempler")
-DOWNLOAD_TEXT = _W("download", "last ned", "pdf", "template", "mal", "worksheet", "checklist")
-WELCOME_TEXT = _W("velkommen", "welcome", "hjem", "home", "hovedside")
-COMPANY_TEXT = _W("team", "ansatte", "grunnlagt", "founded", "historie", "history")
-MISSION_TEXT = _W("mission", "visjon", "vision", "values", "verdier")
-PLACE_TEXT = _W("addresse", "address", "location", "lokasjon")
-GUARANTEE_TEXT = _W("garantie", "guarantee", "refund", "pengene tilbake")
+GUIDE_WORDS = ("guide", "veiledning", "tutorial", "how to", "hvordan", "documentation", "docs", "learn", "lær", "reference")
+STEP_WORDS = ("step", "steg", "instruction", "tips", "best practices", "examples", "eksempler")
+DOWNLOAD_WORDS = ("download", "last ned", "pdf", "template", "mal", "worksheet", "checklist")
+WELCOME_WORDS = ("velkommen", "welcome", "hjem", "home", "hovedside")
+COMPANY_WORDS = ("team", "ansatte", "grunnlagt", "founded", "historie", "history")
+MISSION_WORDS = ("mission", "visjon", "vision", "values", "verdier")
+PLACE_WORDS = ("addresse", "address", "location", "lokasjon")
+GUARANTEE_WORDS = ("garantie", "guarantee", "refund", "pengene tilbake")
 PHONE_TEXT = r"\+?[0-9]{2,4}[\s\-]?[0-9]{2,4}[\s\-]?[0-9]{2,4}"
 EMAIL_TEXT = r"@[A-Za-z0-9_.\-]+\.[A-Za-z0-9_]+"
 
@@ -198,8 +197,8 @@ def feature_stages(url: str, year: int | None) -> tuple[dict[str, Column], ...]:
         # content
         "word_count": S.word_count(body),
         "has_direct_answer": X.direct_answer(S.trim(F.col("first_paragraph"))),
-        "content_format": X.content_format(body, F.col("list_items")),
-        "has_facts": X.has_facts(body),
+        "content_format": X.content_format(lower, F.col("list_items")),
+        "has_facts": X.has_facts(lower),
         "h1_count": F.size("h1"),
         "h2_count": F.size("h2"),
         "h3_count": F.size("h3"),
@@ -211,10 +210,10 @@ def feature_stages(url: str, year: int | None) -> tuple[dict[str, Column], ...]:
         "readability_score": X.readability(body),
         "question_answering_score": X.question_answering(body, F.col("paragraph_count")),
         # expertise, authority, trust
-        "author_from_text": X.has_byline(body),
-        "has_author": marks(AUTHOR_ELEMENT) | X.has_byline(body),
+        "author_from_text": X.has_byline(lower),
+        "has_author": marks(AUTHOR_ELEMENT) | X.has_byline(lower),
         "has_author_bio": marks(S.either(S.class_has("author-bio"), S.has_class("author-description"))),
-        "has_contact": X.has_contact(body),
+        "has_contact": X.has_contact(lower),
         "has_contact_page": marks(S.both(S.tag("a"), S.attr_has("href", "contact"))),
         "external_links": F.size("links_external"),
         "authority_citations": F.size(F.filter(
@@ -283,8 +282,11 @@ def url_page_type(url: Column, path: Column) -> Column:
     return found
 
 
-def content_page_type(title: Column, text: Column) -> Column:
-    """Page type by votes over text and markup (columns of ``record``); last resort ``resource``."""
+def content_page_type(title: Column, lower: Column) -> Column:
+    """Page type by votes over lower-cased text and markup (columns of ``record``); last resort ``resource``.
+
+    ``lower`` must be a plain column: it is tested dozens of times.
+    """
     nodes, marked = F.col("nodes"), F.col("marked")
 
     def marks(test: S.Predicate) -> Column:
@@ -293,7 +295,7 @@ def content_page_type(title: Column, text: Column) -> Column:
     def tags(*names: str) -> Column:
         return S.any_node(nodes, S.tag(*names))
 
-    lower, name = F.lower(text), F.lower(title)
+    name = F.lower(title)
     form = S.both(S.tag("form"), S.class_has("contact", "signup", "register"))
     button = S.both(S.tag("button"), S.class_has("buy", "cart", "purchase"))
     asked = S.count_nodes(nodes, S.both(S.tag("h2", "h3", "h4"), lambda n: n["text"].contains("?")))
@@ -301,28 +303,28 @@ def content_page_type(title: Column, text: Column) -> Column:
     return (
         F.when(_votes(F.col("has_author"), F.col("publish_date").isNotNull(), lower.rlike(BLOG_TEXT),
                       marks(S.class_has("author", "byline", "date", "publish")), tags("article")) >= 2, F.lit("blog"))
-        .when(_votes(marks(form), lower.rlike(CTA_TEXT), marks(S.class_has("price", "plan", "pricing")),
-                     marks(S.class_has("cta", "call-to-action")), lower.rlike(ORDER_TEXT)) >= 2, F.lit("conversion"))
-        .when(_votes(lower.rlike(PRODUCT_TEXT), marks(S.either(S.class_has("price"), S.has_class("pricing"))),
-                     marks(S.class_has("product", "item")), lower.rlike(FEATURE_TEXT), marks(button)) >= 2, F.lit("product"))
-        .when(_votes(lower.rlike(SOLUTION_TEXT), lower.rlike(PROBLEM_TEXT), lower.rlike(OUTCOME_TEXT),
+        .when(_votes(marks(form), X.has_word(lower, CTA_WORDS), marks(S.class_has("price", "plan", "pricing")),
+                     marks(S.class_has("cta", "call-to-action")), X.has_word(lower, ORDER_WORDS)) >= 2, F.lit("conversion"))
+        .when(_votes(X.has_word(lower, PRODUCT_WORDS), marks(S.either(S.class_has("price"), S.has_class("pricing"))),
+                     marks(S.class_has("product", "item")), X.has_word(lower, FEATURE_WORDS), marks(button)) >= 2, F.lit("product"))
+        .when(_votes(X.has_word(lower, SOLUTION_WORDS), X.has_word(lower, PROBLEM_WORDS), X.has_word(lower, OUTCOME_WORDS),
                      name.rlike(SOLUTION_TITLE)) >= 2, F.lit("solution"))
-        .when(_votes(lower.rlike(GUIDE_TEXT), lower.rlike(STEP_TEXT), asked >= 3, F.col("has_faq_section"),
-                     lower.rlike(DOWNLOAD_TEXT)) >= 2, F.lit("resource"))
-        .when(_votes(lower.rlike(WELCOME_TEXT), S.any_node(nodes, NAVIGATION), marks(S.class_has("hero", "banner")),
+        .when(_votes(X.has_word(lower, GUIDE_WORDS), X.has_word(lower, STEP_WORDS), asked >= 3, F.col("has_faq_section"),
+                     X.has_word(lower, DOWNLOAD_WORDS)) >= 2, F.lit("resource"))
+        .when(_votes(X.has_word(lower, WELCOME_WORDS), S.any_node(nodes, NAVIGATION), marks(S.class_has("hero", "banner")),
                      tags("header") & tags("footer"), sections >= 3) >= 3, F.lit("homepage"))
         .otherwise(F.lit("resource"))
     )
 
 
-def with_page_type(rows: DataFrame, url: str = "url", title: str = "raw_title", text: str = "body_text") -> DataFrame:
-    """Stage 3: decide ``page_type`` and the trust factors that depend on it."""
-    return rows.withColumn("page_type", _page_type(url, title, text)).withColumn("trust_factors", _trust_by_type())
+def with_page_type(rows: DataFrame, url: str = "url", title: str = "raw_title", lower: str = "body_lower") -> DataFrame:
+    """Stage 3: decide ``page_type`` and the trust factors that depend on it. ``lower`` names the lower-cased text."""
+    return rows.withColumn("page_type", _page_type(url, title, lower)).withColumn("trust_factors", _trust_by_type())
 
 
 @built_once
-def _page_type(url: str, title: str, text: str) -> Column:
-    return F.coalesce(url_page_type(F.col(url), F.col("url_path")), content_page_type(F.col(title), F.col(text)))
+def _page_type(url: str, title: str, lower: str) -> Column:
+    return F.coalesce(url_page_type(F.col(url), F.col("url_path")), content_page_type(F.col(title), F.col(lower)))
 
 
 @built_once
@@ -359,18 +361,18 @@ def trust_factors(page_type: Column) -> Column:
             factor(marks(S.class_has("hero", "value")), "value proposition", 15),
             factor(F.length("footer_text") > 100, "comprehensive footer", 10)))
         .when(page_type == "about", group(
-            factor(lower.rlike(COMPANY_TEXT), "company background", 25),
-            factor(lower.rlike(MISSION_TEXT), "mission/vision", 20),
+            factor(X.has_word(lower, COMPANY_WORDS), "company background", 25),
+            factor(X.has_word(lower, MISSION_WORDS), "mission/vision", 20),
             factor(marks(team), "team photos", 15)))
         .when(page_type == "contact", group(
             factor(body.rlike(PHONE_TEXT), "phone number", 20),
             factor(body.rlike(EMAIL_TEXT), "email address", 15),
             factor(S.any_node(nodes, S.tag("form")), "contact form", 20),
-            factor(body.rlike(PLACE_TEXT), "physical address", 15)))
+            factor(X.has_word(lower, PLACE_WORDS), "physical address", 15)))
         .when(page_type == "service", group(
             factor(marks(S.either(S.class_has("price"), S.has_class("pricing"))), "pricing information", 20),
             factor(marks(S.class_has("review", "testimonial")), "customer testimonials", 25),
-            factor(body.rlike(GUARANTEE_TEXT), "guarantee/refund policy", 15)))
+            factor(X.has_word(lower, GUARANTEE_WORDS), "guarantee/refund policy", 15)))
         .when(page_type == "blog", group(factor(F.lit(True), "editorial content", 100)))
         .when(page_type == "faq", group(
             answered,

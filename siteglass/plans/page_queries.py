@@ -420,9 +420,9 @@ def prepared_with_summary(t: Tables):
  {_like_any('low', X.EXPERTISE_KEYWORDS)} AS expertise, {_like_any('low', X.AI_OVERVIEW_KEYWORDS)} AS overview, {_like_any('low', X.COMPARISON_WORDS)} AS comparisons,
  regexp_matches(text, '\d+\.') AS numbered FROM t""")
 def text_features(t: Tables):
-    x, low = C("text"), F.lower("text")
-    return t.texts.select(
-        "doc_id", X.readability(x).alias("readability"), X.has_facts(x).alias("facts"), X.content_format(x, F.lit(0)).alias("format"),
+    x, low = C("text"), C("low")
+    return t.texts.withColumn("low", F.lower("text")).select(
+        "doc_id", X.readability(x).alias("readability"), X.has_facts(low).alias("facts"), X.content_format(low, F.lit(0)).alias("format"),
         X.question_answering(x, F.lit(1)).alias("answering"), F.size(X.matched_keywords(low, X.EXPERTISE_KEYWORDS)).alias("expertise"),
         F.size(X.matched_keywords(low, X.AI_OVERVIEW_KEYWORDS)).alias("overview"), F.size(X.matched_keywords(low, X.COMPARISON_WORDS)).alias("comparisons"),
         x.rlike(r"[0-9]+\.").alias("numbered"),

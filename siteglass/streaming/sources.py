@@ -11,13 +11,15 @@ from ..session import shared_dir, tune
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
-    """Event table as a stream. The file limit bounds what one micro-batch can hold of any key.
+def read_events(spark: SparkSession, folder: str, files_per_trigger: int | None = None, bytes_per_trigger: int = 512 * 1024 * 1024) -> DataFrame:
+    """Event table as a stream. The admission limit (bytes, or a number of files) bounds what one
+    micro-batch can hold of any key, however hot.
 
     Watermarks need an instant, so the zone-less ``ts`` becomes ``event_time`` (UTC).
     """
     tune(spark)
-    reader = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    limit = ("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else ("maxBytesPerTrigger", bytes_per_trigger)
+    reader = spark.readStream.schema(EVENT_SCHEMA).option(*limit)
     # A glob serves a table stored as one file as well as one stored as a folder.
     return reader.parquet(f"{folder}/events.parque[t]").withColumn("event_time", F.col("ts").cast("timestamp"))
 
