@@ -132,7 +132,7 @@ def record(parsed: DataFrame, url: str = "url") -> DataFrame:
     return base.withColumns(
         {
             "body_lower": F.lower("body_text"),
-            "marked": F.filter("nodes", lambda n: F.size(n["attrs"]) > 0),
+            "marked": F.filter("nodes", lambda n: (F.size(n["attrs"]) > 0) | n["cls"].isNotNull() | n["id"].isNotNull()),
             "url_path": F.coalesce(U.path_of(F.col(url)), F.lit("")),
         }
     )

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NODE = T.StructType(
@@ -50,6 +51,9 @@ SIBLING_ENDS = {
 }
 TEXT_TAGS = HEADINGS | frozenset("a dt dd title".split())
 BOILERPLATE = frozenset("script style nav footer header aside".split())
+# Attributes the selectors look at; class and id have columns of their own. Others (style, data-*, handlers)
+# stay behind in the scanner.
+KEPT_ATTRS = frozenset("alt content datetime href itemprop media name property rel role src srcset type".split())
 # ----------------------------------------------------------------------------
 
 _ATTR = r"[\s/]+[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?"
@@ -246,8 +250,9 @@ def _parse_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             names = attrs.get("class")
             cls.append(None if names is None else " " + " ".join(names.split()) + " ")
             ident.append(attrs.get("id"))
-            keys.extend(attrs)
-            values.extend(attrs.values())
+            for key in KEPT_ATTRS & attrs.keys():
+                keys.append(key)
+                values.append(attrs[key])
             attr_offsets.append(len(keys))
             text.append(page.text[page.a[i] : page.b[i]] if name in TEXT_TAGS else None)
             if _is_ld(page, i):
@@ -290,15 +295,25 @@ def _parse_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+# Markup per output batch: pages differ in size by orders of magnitude, and elements take more room than markup.
+SLICE_BYTES = 4 * 1024 * 1024
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _parse_batch(batch)
+        start = size = 0
+        for row, length in enumerate(pc.binary_length(batch.column("__html")).to_pylist()):
+            if size and size + (length or 0) > SLICE_BYTES:
+                yield _parse_batch(batch.slice(start, row - start))
+                start, size = row, 0
+            size += length or 0
+        yield _parse_batch(batch.slice(start))
 
 
 def parse_pages(pages: DataFrame, html: Column | str = "html") -> DataFrame:
     """Replace the markup column by ``page_text``, ``kept_text``, ``nodes``, ``json_ld``, ``schema_types``.
 
-    ``json_ld`` holds the JSON-LD blocks that parse; ``html_length`` keeps the markup size.
+    Elements keep the attributes in ``KEPT_ATTRS``. ``json_ld`` holds the JSON-LD blocks that parse; ``html_length`` keeps the markup size.
     """
     source = F.col(html) if isinstance(html, str) else html
     name = html if isinstance(html, str) else None

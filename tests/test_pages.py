@@ -153,3 +153,13 @@ def test_empty_and_null_pages(spark):
     rows = spark.createDataFrame([(1, "https://e.com/", None), (2, "bad url", "<a href='/x'>y</a>")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in extract(parse_pages(rows)).collect()}
     assert got[1]["body"] == "" and got[1]["metrics"]["word_count"] == 0 and got[2]["internal_links"] == []
+
+
+def test_small_slices_give_the_same_rows(spark, monkeypatch):
+    from siteglass.sources import markup
+
+    rows = spark.createDataFrame([(i, "https://e.com/", f"<p data-x='1' class='c{i}'>{'w' * i}</p>") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    want = {r["page_id"]: (r["page_text"], len(r["nodes"])) for r in parse_pages(rows).collect()}
+    monkeypatch.setattr(markup, "SLICE_BYTES", 60)
+    got = {r["page_id"]: (r["page_text"], len(r["nodes"])) for r in parse_pages(rows).collect()}
+    assert got == want and len(got) == 40 and want[3] == ("www", 2)
