@@ -140,27 +140,31 @@ def orphans(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return pages.withColumn("norm", U.normalize_crawl(F.col("url"))).join(linked, "norm", "left_anti").drop("norm")
 
 
-def final_canonical(chain: DataFrame, max_hops: int = 1024) -> DataFrame:
+def final_canonical(chain: DataFrame) -> DataFrame:
     """Follow canonical chains (``node`` -> ``target``) to their end, by pointer doubling.
 
-    log2(max_hops) self-joins. A chain that runs into a cycle ends at the cycle's smallest node.
+    A chain that runs into a cycle ends at the cycle's smallest node. Every round doubles the hops,
+    so the number of self-joins is the logarithm of the longest chain or cycle. A round in which no
+    chain ended and no smallest node changed is the last: an unfinished open chain would have had
+    a tail that ends in it, and the spans seen from a cycle's nodes then agree and cover the cycle.
     A popular target is the skewed side of a join whose other side has one row per node.
     """
     ensure_checkpoint_dir(chain.sparkSession)
-    step = chain.select("node", F.col("target").alias("jump"), F.least("node", "target").alias("low"), F.lit(True).alias("open"))
-    ends = chain.select(F.col("target").alias("node")).distinct().join(chain, "node", "left_anti")
+    # A page that names itself is an end, not a cycle.
+    step = chain.filter("node != target").select("node", F.col("target").alias("jump"), F.least("node", "target").alias("low"), F.lit(True).alias("open"))
+    nodes = chain.select("node").unionByName(chain.select(F.col("target").alias("node"))).distinct()
+    ends = nodes.join(step.select("node"), "node", "left_anti")
     ends = ends.select("node", F.col("node").alias("jump"), F.col("node").alias("low"), F.lit(False).alias("open"))
     state = step.unionByName(ends).checkpoint()
-    hops = 1
-    while hops < max_hops:
+    while True:
         nxt = state.select(F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("low").alias("l2"), F.col("open").alias("o2"))
+        moved = F.col("open") & (~F.col("o2") | (F.col("l2") < F.col("low")))
         state = state.join(nxt, "jump").select(
-            "node", F.col("j2").alias("jump"), F.least("low", "l2").alias("low"), (F.col("open") & F.col("o2")).alias("open")
+            "node", F.col("j2").alias("jump"), F.least("low", "l2").alias("low"), (F.col("open") & F.col("o2")).alias("open"), moved.alias("moved")
         ).checkpoint()
-        hops *= 2
-        if state.filter("open").isEmpty():  # every chain has ended
+        if state.filter("moved").isEmpty():
             break
-    # Still open after max_hops: the chain circles, and the jump lies on its cycle.
+    # What is still open circles, and its jump lies on the cycle.
     circle = state.select(F.col("node").alias("jump"), F.col("low").alias("cycle_low"))
     return state.join(circle, "jump").select(
         "node", F.when(F.col("open"), F.col("cycle_low")).otherwise(F.col("jump")).alias("final"), F.col("open").alias("cyclic")

@@ -19,6 +19,8 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    # State commits write the changes of a micro-batch, not a full snapshot.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Windows and sorts over wide generated projections stay in codegen.
     "spark.sql.codegen.maxFields": "200",
     # Call-site capture costs several JVM calls per column operation while plans are built.

@@ -80,9 +80,26 @@ def test_frontier_and_modes(spark):
 
 
 def test_canonical_chains(spark):
-    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 11), (20, 10), (30, 4)], "node int, target int")
-    got = {r["node"]: (r["final"], r["cyclic"]) for r in links.final_canonical(chain, 16).collect()}
-    assert got == {1: (4, False), 2: (4, False), 3: (4, False), 4: (4, False), 30: (4, False), 10: (11, True), 11: (11, True), 12: (11, True), 20: (11, True)}
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 11), (20, 10), (30, 4), (40, 40), (41, 40)], "node int, target int")
+    got = {r["node"]: (r["final"], r["cyclic"]) for r in links.final_canonical(chain).collect()}
+    assert got == {1: (4, False), 2: (4, False), 3: (4, False), 4: (4, False), 30: (4, False), 10: (11, True), 11: (11, True), 12: (11, True), 20: (11, True), 40: (40, False), 41: (40, False)}
+
+
+def test_long_chains_and_cycles_against_a_walk(spark):
+    rng = random.Random(11)
+    target = {i: rng.randrange(300) for i in range(300) if rng.random() < 0.97}
+    target.update({1000 + i: 1001 + i for i in range(70)})  # a long chain to an end
+    target.update({2000 + i: 2000 + (i + 1) % 6 for i in range(6)})  # a cycle of six
+
+    def walk(n):
+        seen = []
+        while n in target and n not in seen and target[n] != n:
+            seen.append(n)
+            n = target[n]
+        return (n, False) if target.get(n, n) == n else (min(seen[seen.index(n):]), True)
+
+    got = {r["node"]: (r["final"], r["cyclic"]) for r in links.final_canonical(spark.createDataFrame(list(target.items()), "node int, target int")).collect()}
+    assert got == {n: walk(n) for n in set(target) | set(target.values())}
 
 
 def test_orphans_and_inbound(spark):
