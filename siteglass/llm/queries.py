@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import rules, simhash, tokens
-from .common import read
+from . import gam, rules, simhash, tokens, toxicity
+from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,3 +37,13 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))[0]
+
+
+@query
+def op3_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return gam.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"), fold("doc_id", 3) == 1)
+
+
+@query
+def op4_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"), fold("doc_id", 5) == 0)
