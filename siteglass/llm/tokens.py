@@ -25,7 +25,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 STABLE = r"[\x00-ԯḀ-⁯₠-₿℀-⯿　-ヿ一-鿯가-힣＀-￯\U0001F300-\U0001FAFF]*"
 
 #: Distinct pre-tokens whose piece counts a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
+
+#: Pre-tokens given to the tokenizer at once: its results are objects of about a kilobyte.
+ENCODED = 10_000
 
 
 class PieceCounter:
@@ -62,7 +65,9 @@ class PieceCounter:
         if len(self.pieces) > self.remembered:
             self.pieces.clear()
         new = list(set().union(*(c for c, _ in counted)) - self.pieces.keys())
-        self.pieces.update(zip(new, map(len, self.tokenizer.encode_batch(new, add_special_tokens=False))))
+        for start in range(0, len(new), ENCODED):
+            part = new[start:start + ENCODED]
+            self.pieces.update(zip(part, map(len, self.tokenizer.encode_batch(part, add_special_tokens=False))))
         pieces = self.pieces
         return [n + sum(f * pieces[t] for t, f in c.items()) for c, n in counted]
 
@@ -77,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(tokenizer)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, limit=2 << 20):
             sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
             counts = counter(texts)
             yield made(batch, n_bytes=pa.array(sizes, pa.int64()), n_tokens=pa.array(counts, pa.int64()), over_limit=pa.array([n > limit for n in counts], pa.bool_()))
