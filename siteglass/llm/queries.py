@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import gam, rules, simhash, tokens, toxicity
+from . import decontamination, gam, rules, simhash, tokens, toxicity
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,8 @@ def op3_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"), fold("doc_id", 5) == 0)
+
+
+@query
+def op1_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
