@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, gam, rules, simhash, tokens, toxicity
+from . import decontamination, gam, passages, rules, simhash, tokens, toxicity
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op4_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, folder, "documents"))
