@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, gam, passages, rules, simhash, tokens, toxicity
+from . import decontamination, gam, mixing, passages, rules, simhash, tokens, toxicity
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,18 @@ def op1_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(read(spark, folder, "documents"))
+
+
+#: Shares of the languages in the mixture.
+LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def labelled_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the labels table covers, with their language as domain."""
+    return docs.join(read(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+
+
+@query
+def op7_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    return mixing.mixed(docs, labelled_languages(spark, docs, folder), LANGUAGE_WEIGHTS, ["doc_id"])
