@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, gam, mixing, passages, rules, simhash, tokens, toxicity
+from . import chat, decontamination, gam, mixing, passages, rules, simhash, tokens, toxicity, warc
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,13 @@ def labelled_languages(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 def op7_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
     return mixing.mixed(docs, labelled_languages(spark, docs, folder), LANGUAGE_WEIGHTS, ["doc_id"])
+
+
+@query
+def op8_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read(spark, folder, "pages"))
+
+
+@query
+def op9_chat_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.recover(read(spark, folder, "conversations"))
