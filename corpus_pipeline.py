@@ -4,9 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteglass.llm import decontamination, mixing, passages, rules, simhash
 from siteglass.llm.common import kept, read
+from siteglass.llm.queries import LANGUAGE_WEIGHTS, labelled_languages
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base conditions and the learned decision list keep (operator 5)."""
+    judged, _ = rules.judge(docs, read(spark, sf_dir, "labels"), carry=True)
+    return judged.where("_kept").drop("_kept")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group (operator 2); of its repeated rows one."""
+    return simhash.without_near_duplicates(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages whose first occurrence is elsewhere (operator 6)."""
+    return passages.without_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, verbatim or re-parameterised (operator 1)."""
+    return decontamination.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the rates at which their languages' tokens meet the target weights (operator 7)."""
+    return mixing.mixed(docs, labelled_languages(spark, docs, sf_dir), LANGUAGE_WEIGHTS)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
+
+#: Learned rules, fingerprints and posteriors have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

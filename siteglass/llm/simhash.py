@@ -45,15 +45,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per row of ``docs``; fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *carried: str) -> DataFrame:
+    """(doc_id, carried long columns, fp) per row of ``docs``; fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            yield made(batch, fp=np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+            yield made(batch, **{c: batch.column(c) for c in carried}, fp=np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, f"doc_id {kind}, {''.join(f'{c} bigint, ' for c in carried)}fp bigint")
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -103,6 +103,15 @@ def similar_fingerprints(fps: DataFrame, distance: int = DISTANCE, m: int = SEGM
     return left.join(right, near).select(F.col("l.fp").alias("a"), F.col("r.other").alias("b")).distinct()
 
 
+def with_components(fps: DataFrame, distance: int, m: int, chain: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of rows (doc_id, fp)."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(similar_fingerprints(distinct.select("fp"), distance, m, chain))
+    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return grouped.join(named, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, m: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
@@ -112,9 +121,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     Every ``m`` and ``chain`` gives the same rows; more segments make longer keys, for larger tables.
     """
     fps = kept(fingerprints(docs, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(similar_fingerprints(distinct.select("fp"), distance, m, chain))
-    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = grouped.join(named, "root").select("fp", "component_id")
+    classes = with_components(fps, distance, m, chain).select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, m: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
+    """``docs``, all columns, with one row of each near-duplicate component: that of the smallest doc_id (null ids last).
+
+    Of different rows with this id the one of the lowest hash stays, of equal rows one. Rows are told apart by a 64-bit hash of their
+    columns (maps left out). Only ids, fingerprints and hashes are grouped; the texts are joined to the rows that stay.
+    """
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    keyed = docs.withColumn("_row", row)
+    fps = kept(fingerprints(keyed, shingle, "_row"), "fingerprints")
+    classes = with_components(fps, distance, m, chain).select("fp", "root")
+    first = fps.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("head"))
+    return keyed.join(first.select(F.col("head._row").alias("_row")), "_row").dropDuplicates(["_row"]).drop("_row")
