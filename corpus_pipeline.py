@@ -12,7 +12,7 @@ from siteglass.llm.queries import LANGUAGE_WEIGHTS, labelled_languages
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base conditions and the learned decision list keep (operator 5)."""
     judged, _ = rules.judge(docs, read(spark, sf_dir, "labels"), carry=True)
-    return judged.where("_kept").drop("_kept")
+    return judged.where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

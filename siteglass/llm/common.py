@@ -33,6 +33,11 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def whole(frame: DataFrame) -> Column:
+    """All columns of a table as one struct: carried so, their names can't clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in frame.columns])
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of an id written as text, modulo ``parts``; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(0))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import whole
+
 WINDOW, LITERALS, COVERAGE, CONSISTENCY = 8, 4, 0.3, 0.5
 
 #: Windows of a benchmark that are broadcast at most (about 24 bytes each); more are joined by a shuffle. Results are equal.
@@ -110,5 +112,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item (see :func:`contamination`)."""
-    bad = contamination(docs, benchmark, **settings).select(F.col("doc_key").alias("_bad_key")).distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_bad_key"), "left_anti")
+    bad = contamination(docs, benchmark, **settings).select("doc_key").distinct()
+    keyed = docs.select(whole(docs).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    return keyed.join(bad, "doc_key", "left_anti").select("row.*")

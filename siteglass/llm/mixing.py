@@ -63,7 +63,7 @@ def learn_domains(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str
 
 
 def posteriors(docs: DataFrame, prior: np.ndarray, likelihood: np.ndarray, names: list[str]) -> DataFrame:
-    """The named columns of ``docs`` and ``_p``, the domain posteriors of the whole text.
+    """The named columns of ``docs`` and ``p``, the domain posteriors of the whole text.
 
     Byte pairs of a text are far from independent, so their evidence counts by the square root of their number: long texts stay
     soft where they are mixed. An empty text has the prior.
@@ -79,9 +79,9 @@ def posteriors(docs: DataFrame, prior: np.ndarray, likelihood: np.ndarray, names
             score[[not t for t in texts]] = prior
             p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(list(p), pa.list_(pa.float64()))], names=[*names, "_p"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(list(p), pa.list_(pa.float64()))], names=[*names, "p"])
 
-    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("_p", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("p", T.ArrayType(T.DoubleType()))])
     return docs.mapInArrow(run, schema)
 
 
@@ -95,15 +95,15 @@ def rate(gradients: list[list[float]], posterior: Column) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
-    """Gradient steps for rows (_n tokens, _p posteriors), and the shares reached.
+    """Gradient steps for rows (n tokens, p posteriors), and the shares reached.
 
     Minimises the squared distance between expected domain totals and ``targets`` (shares of all tokens) over rates of at least
     zero, in the metric of the documents' tokens: a step changes a rate by the document's posteriors, whatever its length.
     The step is the inverse of the largest row sum of the totals' Gram matrix, so every step lowers the distance.
     """
     k = len(targets)
-    total_of = lambda value: [F.sum(F.col("_n") * value * F.get("_p", F.lit(i))).alias(str(i)) for i in range(k)]
-    first = rows.agg(F.sum("_n").alias("n"), *total_of(F.lit(1.0)), *[F.sum(F.col("_n") * F.get("_p", F.lit(i)) * F.get("_p", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
+    total_of = lambda value: [F.sum(F.col("n") * value * F.get("p", F.lit(i))).alias(str(i)) for i in range(k)]
+    first = rows.agg(F.sum("n").alias("n"), *total_of(F.lit(1.0)), *[F.sum(F.col("n") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
     if not first.n:
         return [], [0.0] * k
     gram = np.array([[first[f"g{i}_{j}"] for j in range(k)] for i in range(k)]) / first.n
@@ -111,7 +111,7 @@ def fit_rates(rows: DataFrame, targets: list[float], iterations: int = ITERATION
     shares, gradients = np.array([first[str(i)] for i in range(k)]) / first.n, []
     while len(gradients) < iterations and np.abs(shares - targets).max() > tolerance:
         gradients.append([float(x) for x in step * (shares - targets)])
-        got = rows.agg(*total_of(rate(gradients, F.col("_p")))).first()
+        got = rows.agg(*total_of(rate(gradients, F.col("p")))).first()
         shares = np.array([got[str(i)] for i in range(k)]) / first.n
     return gradients, [float(x) for x in shares]
 
@@ -123,21 +123,22 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     equal weights. ``rate`` is the expected number of copies of the document in the mixture, ``copies`` its whole-number draw: the rate rounded
     up or down by a hash of id and text. Words (white-space separated) are the tokens that totals count. Null and
     empty texts have 0 words, the prior as posteriors, and a rate like any other; repeated rows and null ids are rated each. No labelled
-    rows: no p_ columns, rate 1. Domains that no document has can't reach a target; the rest is then fitted as closely as squares allow.
+    rows: no p_ columns, rate 1. Columns of ``docs`` with one of the new names are replaced. Domains that no document has can't reach a target; the rest is then fitted as closely as squares allow.
     """
     names, prior, likelihood = learn_domains(labelled)
     bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))
     words = F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("double")
-    shown = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]
+    new = {"n_words", "rate", "copies", *(f"p_{n}" for n in names)}
+    shown = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns) if c not in new]
     if not names:
         return docs.select(*shown, words.cast("long").alias("n_words"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
     weights = [1.0 if targets is None else max(0.0, targets.get(n, 0.0)) for n in names]
     scale = sum(weights) or 1.0
     drawn = (F.xxhash64("doc_id", "text", F.lit("draw")) % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
-    carried = [*(docs.columns if columns is None else columns), "_n", "_draw"]
-    rows = kept(posteriors(docs.withColumns({"_n": words, "_draw": drawn}), prior, likelihood, carried), "posteriors")
-    gradients, _ = fit_rates(rows.select("_n", "_p"), [w / scale for w in weights], iterations)
+    carried = docs.select("text", F.struct(*shown).alias("row"), words.alias("n"), drawn.alias("draw"))
+    rows = kept(posteriors(carried, prior, likelihood, ["row", "n", "draw"]), "posteriors")
+    gradients, _ = fit_rates(rows.select("n", "p"), [w / scale for w in weights], iterations)
     return rows.select(
-        *shown, F.col("_n").cast("long").alias("n_words"), *[F.get("_p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)],
-        rate(gradients, F.col("_p")).alias("rate"), F.floor(rate(gradients, F.col("_p")) + F.col("_draw")).alias("copies"),
+        "row.*", F.col("n").cast("long").alias("n_words"), *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)],
+        rate(gradients, F.col("p")).alias("rate"), F.floor(rate(gradients, F.col("p")) + F.col("draw")).alias("copies"),
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import kept, text_slices
+from .common import kept, text_slices, whole
 
 PASSAGE, LEAD = 50, 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -210,14 +210,16 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, lead: int = LEAD) -
     windows, texts = repeated_windows(docs, passage, lead)
     later = windows.where("key <> owner_key or start <> owner_start").withColumn("owner_id", F.lit(None).cast("int"))
     cuts = spans(later, passage).groupBy("key").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
-    plan = texts.join(cuts, "key", "left").where("copies > 1 or _cuts is not null").select(F.col("key").alias("_key"), F.col("first_id").alias("_first"), F.col("copies").alias("_copies"), "_cuts")
-    joined = docs.join(plan, text_key(docs) == F.col("_key"), "left").drop("_key")
+    plan = texts.join(cuts, "key", "left").where("copies > 1 or _cuts is not null").select("key", "first_id", "copies", F.col("_cuts").alias("cuts"))
+    joined = docs.select(text_key(docs).alias("key"), whole(docs).alias("row"), F.col("text")).join(plan, "key", "left")
     names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in text_slices(batches):
             texts, keep = batch.column("text").to_pylist(), []
-            ids, first, copies, cuts = (batch.column(c).to_pylist() for c in ("doc_id", "_first", "_copies", "_cuts"))
+            columns = batch.column("row").flatten()
+            ids = columns[names.index("doc_id")].to_pylist()
+            first, copies, cuts = (batch.column(c).to_pylist() for c in ("first_id", "copies", "cuts"))
             for i, text in enumerate(part):
                 cut = cuts[i] or []
                 if (copies[i] or 0) > 1 and ids[i] != first[i] and len(text.encode("utf-8", "surrogatepass").split()) >= passage:
@@ -226,11 +228,10 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, lead: int = LEAD) -
                 if cut:
                     texts[i] = cut_words(text, [(c["start_word"], c["end_word"]) for c in cut])
                 keep.append(not cut or bool(texts[i].strip()))
-            columns = [batch.column(c) for c in names]
             columns[names.index("text")] = pa.array(texts, batch.schema.field("text").type)
             if "n_chars" in names:
-                kind = batch.schema.field("n_chars").type
-                columns[names.index("n_chars")] = pa.array([len(texts[i]) if cuts[i] else v for i, v in enumerate(batch.column("n_chars").to_pylist())], kind)
+                sizes = columns[names.index("n_chars")]
+                columns[names.index("n_chars")] = pa.array([len(texts[i]) if cuts[i] else v for i, v in enumerate(sizes.to_pylist())], sizes.type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     return joined.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, fold, kept
+from .common import SPACES, fold, kept, whole
 
 SYMBOLS = "#*$%&|<>"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -71,20 +71,19 @@ def repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(slow(windows))
 
 
-def with_stats(docs: DataFrame, name: str = "_stats") -> DataFrame:
-    """``docs`` with a struct of whole-text statistics; a null text counts as empty."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+def with_stats(docs: DataFrame, carried: Column) -> DataFrame:
+    """(row, stats): a struct of carried columns of ``docs`` and one of whole-text statistics; a null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.btrim(text, F.lit(SPACES))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHAR))
     cut = docs.select(
-        *columns,
+        carried.alias("row"),
         F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS)).alias("_words"), lines.alias("_lines"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("_chars"), removed(text, SYMBOLS).cast("long").alias("_symbols"),
         removed(text, "!").alias("_bangs"), removed(text, "0123456789").alias("_digits"), F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).alias("_upper"),
     )
     hashed = cut.select(
-        *columns, "_chars", "_symbols", "_bangs", "_digits", "_upper", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
+        "row", "_chars", "_symbols", "_bangs", "_digits", "_upper", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
         F.size("_lines").alias("_n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_dup"),
     )
     windows = F.when(
@@ -92,26 +91,26 @@ def with_stats(docs: DataFrame, name: str = "_stats") -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.size("_hashes") - 3), lambda i: F.xxhash64(F.get("_hashes", i), F.get("_hashes", i + 1), F.get("_hashes", i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
     counted = hashed.select(
-        *columns, "_chars", "_symbols", "_bangs", "_digits", "_upper", "_n_lines", "_dup", F.size("_hashes").cast("long").alias("_n"),
+        "row", "_chars", "_symbols", "_bangs", "_digits", "_upper", "_n_lines", "_dup", F.size("_hashes").cast("long").alias("_n"),
         F.size(F.array_distinct("_hashes")).alias("_distinct"), windows.alias("_windows"),
     )
-    repeats = counted.select(*columns, *[c for c in counted.columns if c not in docs.columns and c != "_windows"], repeated_words(F.col("_windows")).cast("long").alias("_repeats"))
+    repeats = counted.select(*[c for c in counted.columns if c != "_windows"], repeated_words(F.col("_windows")).cast("long").alias("_repeats"))
     per_word = lambda c: F.col(c) / F.greatest("_n", F.lit(1))
     per_char = lambda c: F.col(c) / F.greatest("_chars", F.lit(1))
     return repeats.select(
-        *columns,
+        "row",
         F.struct(
             F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"),
             F.col("_repeats").alias("n_repeat_words"), ((F.col("_n") < 50) | (100 * F.col("_repeats") > 50 * F.col("_n"))).alias("base_failed"),
             per_word("_symbols").alias("symbols"), per_word("_bangs").alias("bangs"), per_char("_upper").alias("upper"), per_char("_digits").alias("digits"),
             (F.col("_dup") / F.greatest("_n_lines", F.lit(1))).alias("dup_lines"), per_word("_repeats").alias("repeats"), per_word("_distinct").alias("distinct"),
             per_word("_chars").alias("mean_chars"),
-        ).alias(name),
+        ).alias("stats"),
     )
 
 
 def learn(stats: DataFrame, labels: DataFrame, max_rules: int = 12, max_terms: int = 3, min_precision: float = 0.8, min_count: int = 5) -> list[Rule]:
-    """Decision list for rejecting texts, learned from all labelled rows of ``stats`` (doc_id, _stats).
+    """Decision list for rejecting texts, learned from all labelled rows of ``stats`` (doc_id, stats).
 
     ``labels`` (doc_id, quality): rows with a null id or label are ignored, several labels of an id are averaged. Two thirds of
     the ids grow rules, the others prune them: a rule keeps the first terms that do best on the pruning rows, and the list ends
@@ -120,9 +119,9 @@ def learn(stats: DataFrame, labels: DataFrame, max_rules: int = 12, max_terms: i
     """
     names = list(FEATURES)
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
-    bins = F.array(*[sum((F.col(f"_stats.{f}") >= t).cast("int") for t in FEATURES[f]) for f in names])
+    bins = F.array(*[sum((F.col(f"stats.{f}") >= t).cast("int") for t in FEATURES[f]) for f in names])
     table = kept(
-        stats.join(marks, "doc_id").where("not _stats.base_failed").select(bins.alias("bins"), "bad", (fold("doc_id", 3) == 2).alias("prune"))
+        stats.join(marks, "doc_id").where("not stats.base_failed").select(bins.alias("bins"), "bad", (fold("doc_id", 3) == 2).alias("prune"))
         .groupBy("bins", "bad", "prune").agg(F.count("*").alias("n")),
         "rule-patterns",
     )
@@ -180,7 +179,7 @@ def learn(stats: DataFrame, labels: DataFrame, max_rules: int = 12, max_terms: i
     return rules
 
 
-def verdict(rules: list[Rule], stats: str = "_stats") -> tuple[Column, Column]:
+def verdict(rules: list[Rule], stats: str = "stats") -> tuple[Column, Column]:
     """(kept, rule): the list as one ordered condition; ``rule`` is the number of the rule that rejected, from 1."""
     fired, number = F.when(F.col(f"{stats}.base_failed"), False), F.when(F.col(f"{stats}.base_failed"), F.lit(None).cast("int"))
     for i, rule in enumerate(rules):
@@ -195,13 +194,13 @@ def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> tuple[Data
     """Verdicts of all ``docs`` by a list learned from ``labels``, and the list.
 
     Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule. With ``carry`` the rows
-    hold the columns of ``docs`` and ``_kept`` instead. Whole texts are read once, for learning and judging. A null text
+    are (row, kept) instead, where row is a struct of all columns of ``docs``. Whole texts are read once, for learning and judging. A null text
     counts as empty and fails the base conditions; repeated rows are judged each; null ids are judged and teach nothing.
     """
-    stats = kept(with_stats(docs if carry else docs.select("doc_id", "text")).drop(*[] if carry else ["text"]), "rule-stats")
-    rules = learn(stats.select("doc_id", "_stats"), labels)
+    stats = kept(with_stats(docs, whole(docs) if carry else F.struct("doc_id")), "rule-stats")
+    rules = learn(stats.select("row.doc_id", "stats"), labels)
     keep, number = verdict(rules)
     if carry:
-        return stats.select(*[F.col(f"`{c}`") for c in docs.columns], keep.alias("_kept")), rules
-    base = [F.col(f"_stats.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return stats.select("doc_id", *base, keep.alias("kept"), number.alias("rule")), rules
+        return stats.select("row", keep.alias("kept")), rules
+    base = [F.col(f"stats.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
+    return stats.select("row.doc_id", *base, keep.alias("kept"), number.alias("rule")), rules

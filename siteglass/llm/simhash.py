@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import kept, made, text_slices
+from .common import kept, made, text_slices, whole
 from .graph import components
 
 SHINGLE, SEED, DISTANCE, SEGMENTS, CHAIN = 4, 42, 4, 7, 5
@@ -131,9 +131,9 @@ def without_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle:
     Of different rows with this id the one of the lowest hash stays, of equal rows one. Rows are told apart by a 64-bit hash of their
     columns (maps left out). Only ids, fingerprints and hashes are grouped; the texts are joined to the rows that stay.
     """
-    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    keyed = docs.withColumn("_row", row)
-    fps = kept(fingerprints(keyed, shingle, "_row"), "fingerprints")
+    mark = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    keyed = docs.select(whole(docs).alias("row"), mark.alias("mark"))
+    fps = kept(fingerprints(keyed.select("row.doc_id", "row.text", "mark"), shingle, "mark"), "fingerprints")
     classes = with_components(fps, distance, m, chain).select("fp", "root")
-    first = fps.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("head"))
-    return keyed.join(first.select(F.col("head._row").alias("_row")), "_row").dropDuplicates(["_row"]).drop("_row")
+    first = fps.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("head"))
+    return keyed.join(first.select("head.mark"), "mark").dropDuplicates(["mark"]).select("row.*")
