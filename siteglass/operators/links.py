@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as U
 from ..session import ensure_checkpoint_dir
-from .ordered import first_seen, ranked
+from .ordered import first_seen, ranked, top_per_key
 
 # --- fixed values: queue priority by origin --------------------------------------------
 BASE_PRIORITY, SITEMAP_PRIORITY, LINK_PRIORITY = 1.0, 0.5, 0.3
@@ -50,14 +50,21 @@ def in_visit_order(queue: DataFrame, width: int = 10_000) -> DataFrame:
     """Add ``visit`` (from 1): depth, then priority descending, then arrival. Hot runs are cut by depth,
     priority and ranges of arrival, which all follow the order."""
     bucket = F.struct("depth", (-F.col("priority")).alias("p"), F.floor(F.col("pos") / width).alias("block"))
-    order = [F.col("depth"), F.col("priority").desc(), F.col("pos"), F.col("url_hash")]
-    return ranked(queue, ["run_id"], bucket, order, "visit")
+    return ranked(queue, ["run_id"], bucket, visit_columns(), "visit")
 
 
-def sample(queue: DataFrame, size: Column) -> DataFrame:
-    """First ``size`` of every run in visit order; null or 0 keeps the run whole."""
-    ordered = queue if "visit" in queue.columns else in_visit_order(queue)
-    return ordered.filter(~F.coalesce(size > 0, F.lit(False)) | (F.col("visit") <= size))
+def visit_columns() -> list[Column]:
+    return [F.col("depth"), F.col("priority").desc(), F.col("pos"), F.col("url_hash")]
+
+
+def sample(queue: DataFrame, size: int | None, order: Sequence[Column] | None = None, spread: str = "url_hash", keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """First ``size`` of every run in visit order, with ``visit`` (from 1); None or 0 keeps the run whole.
+
+    Only ``size`` rows of each split of a run are sorted together, the run itself never is.
+    """
+    if not size:
+        return in_visit_order(queue)
+    return top_per_key(queue, list(keys), order or visit_columns(), size, F.col(spread)).withColumnRenamed("rank", "visit")
 
 
 def new_links(links: DataFrame, seen: DataFrame, key: str = "url_hash") -> DataFrame:
@@ -67,19 +74,20 @@ def new_links(links: DataFrame, seen: DataFrame, key: str = "url_hash") -> DataF
 def hop_depths(edges: DataFrame, roots: DataFrame, depth_limit: int, keys: Sequence[str] = ()) -> DataFrame:
     """Nodes reached from ``roots`` within ``depth_limit`` hops, with their least depth.
 
-    ``edges``: keys, src, dst. ``roots``: keys, node. One equi-join per round on distinct edges;
+    ``edges``: src, dst, and the keys if each key has edges of its own. ``roots``: keys, node. One equi-join per round on distinct edges;
     a hub node is one skewed join key, which adaptive execution splits because the frontier side
     has one row per node. Rounds are checkpointed to the shared folder, so a lost executor costs
     one round at most and lineage stays short.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     keys = list(keys)
-    links = edges.select(*keys, "src", "dst").distinct().checkpoint()
+    shared = [k for k in keys if k in edges.columns]
+    links = edges.select(*shared, "src", "dst").distinct().checkpoint()
     seen = roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = seen
     for depth in range(1, depth_limit + 1):
         step = (
-            frontier.select(*keys, F.col("node").alias("src")).join(links, [*keys, "src"])
+            frontier.select(*keys, F.col("node").alias("src")).join(links, [*shared, "src"])
             .select(*keys, F.col("dst").alias("node")).distinct()
             .join(seen, [*keys, "node"], "left_anti")
             .withColumn("depth", F.lit(depth)).checkpoint()
@@ -93,41 +101,51 @@ def hop_depths(edges: DataFrame, roots: DataFrame, depth_limit: int, keys: Seque
     return seen
 
 
-def crawl_frontier(extracted: DataFrame, queue: DataFrame, depth_limit: int, exclude: Sequence[str] = ()) -> DataFrame:
-    """URLs a full run visits: the queue plus internal links up to ``depth_limit`` hops away.
+def crawl_frontier(extracted: DataFrame, queue: DataFrame, depth_limit: int, exclude: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """URLs a full run visits: the queue plus internal links up to ``depth_limit`` hops away, per run if ``keys`` names the run.
 
-    ``extracted``: stored pages (url, host, internal_links). Links must stay on the page's host and
-    pass the exclusions; URLs are compared in crawl form.
+    ``extracted``: stored pages (url, host, internal_links; no run, as a page's links are the same in each). Links must stay on the page's
+    host and pass the exclusions; URLs are compared in crawl form.
     """
     edges = (
         page_links(extracted)
         .filter((U.host_of(F.col("target")) == F.col("host")) & U.passes_patterns(F.col("target"), exclude=exclude))
         .select(U.normalize_crawl(F.col("url")).alias("src"), U.normalize_crawl(F.col("target")).alias("dst"))
     )
-    return hop_depths(edges, queue.select(F.col("url").alias("node")), depth_limit)
+    return hop_depths(edges, queue.select(*keys, F.col("url").alias("node")), depth_limit, keys)
+
+
+def discovered(extracted: DataFrame, queue: DataFrame, depth_limit: int, exclude: Sequence[str] = ()) -> DataFrame:
+    """Full discovery per run: the queue with its priorities, and found links with the priority of links behind them.
+
+    Links have no order of arrival that survives distribution; of equal depth and priority they stand in the order of their hash.
+    """
+    found = crawl_frontier(extracted, queue, depth_limit, exclude, ["run_id"]).filter("depth > 0")
+    links = found.select("run_id", U.url_hash(F.col("node")).alias("url_hash"), F.col("node").alias("url"), F.lit(None).cast("long").alias("pos"), F.lit(LINK_PRIORITY).alias("priority"), "depth")
+    return queue.select("run_id", "url_hash", "url", "pos", "priority", "depth").unionByName(links)
 
 
 def select_urls(run_type: str, queue: DataFrame, extracted: DataFrame | None = None, depth_limit: int = 3,
-                sample_size: int | None = None, changed: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """(url, depth) a run visits, by run type.
+                sample_size: int | None = None, changed: DataFrame | None = None, strict: bool = False, bases: DataFrame | None = None,
+                exclude: Sequence[str] = ()) -> DataFrame:
+    """(run_id, url, depth) that each run of the queue visits, by run type.
 
-    full: queue and links; sitemap_only: queue; sample: first ``sample_size`` of full discovery
-    (``strict``: of the base URLs only); delta: queue entries whose content changed (``changed``:
+    full: queue and links; sitemap_only: queue; sample: the first ``sample_size`` of full discovery in visit order
+    (``strict``: of the base URLs only, ``bases``: run_id, url); delta: queue entries whose content changed (``changed``:
     url); manual: the given queue at depth 0.
     """
     if run_type not in RUN_TYPES:
         raise ValueError(f"run_type must be one of {RUN_TYPES}")
-    flat = queue.select("url", F.lit(0).alias("depth"))
+    flat = queue.select("run_id", "url", F.lit(0).alias("depth"))
     if run_type in ("sitemap_only", "manual"):
         return flat
     if run_type == "delta":
-        return flat.join(changed.select("url").distinct(), "url", "left_semi")
+        return flat.join(changed.select("url").distinct(), "url", "left_semi").select("run_id", "url", "depth")
     if run_type == "sample" and strict:
-        return sample(queue.filter(F.col("priority") == BASE_PRIORITY), F.lit(sample_size)).select("url", "depth")
-    full = crawl_frontier(extracted, queue, depth_limit).select(F.col("node").alias("url"), "depth")
-    if run_type == "full":
-        return full
-    return full.orderBy("depth", "url").limit(sample_size)
+        own = bases.select("run_id", U.normalize_crawl(F.col("url")).alias("url")).distinct()
+        return sample(queue.join(own, ["run_id", "url"], "left_semi"), sample_size).select("run_id", "url", "depth")
+    full = discovered(extracted, queue, depth_limit, exclude)
+    return (full if run_type == "full" else sample(full, sample_size)).select("run_id", "url", "depth")
 
 
 def inbound_counts(edges: DataFrame, target: str = "target") -> DataFrame:
@@ -141,13 +159,12 @@ def orphans(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def final_canonical(chain: DataFrame) -> DataFrame:
-    """Follow canonical chains (``node`` -> ``target``) to their end, by pointer doubling.
+    """Follow canonical chains (``node`` -> ``target``, one per node) to their end, by pointer doubling.
 
-    A chain that runs into a cycle ends at the cycle's smallest node. Every round doubles the hops,
-    so the number of self-joins is the logarithm of the longest chain or cycle. A round in which no
-    chain ended and no smallest node changed is the last: an unfinished open chain would have had
-    a tail that ends in it, and the spans seen from a cycle's nodes then agree and cover the cycle.
-    A popular target is the skewed side of a join whose other side has one row per node.
+    A chain that runs into a cycle, from a tail of any length, ends at the cycle's smallest node. Every round doubles the hops. The nodes
+    that are still jumped to only become fewer, and once a round leaves their number unchanged they are exactly the ends and
+    the nodes of cycles. It is the last one if, besides, the smallest node seen changed for none of them: then it is the same along
+    each cycle, all of which has been seen. A popular target is the skewed side of a join whose other side has one row per node.
     """
     ensure_checkpoint_dir(chain.sparkSession)
     # A page that names itself is an end, not a cycle.
@@ -155,15 +172,17 @@ def final_canonical(chain: DataFrame) -> DataFrame:
     nodes = chain.select("node").unionByName(chain.select(F.col("target").alias("node"))).distinct()
     ends = nodes.join(step.select("node"), "node", "left_anti")
     ends = ends.select("node", F.col("node").alias("jump"), F.col("node").alias("low"), F.lit(False).alias("open"))
-    state = step.unionByName(ends).checkpoint()
+    state, known = step.unionByName(ends).checkpoint(), None
     while True:
         nxt = state.select(F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("low").alias("l2"), F.col("open").alias("o2"))
-        moved = F.col("open") & (~F.col("o2") | (F.col("l2") < F.col("low")))
         state = state.join(nxt, "jump").select(
-            "node", F.col("j2").alias("jump"), F.least("low", "l2").alias("low"), (F.col("open") & F.col("o2")).alias("open"), moved.alias("moved")
+            "node", F.col("j2").alias("jump"), F.least("low", "l2").alias("low"), (F.col("open") & F.col("o2")).alias("open"), (F.col("l2") < F.col("low")).alias("moved")
         ).checkpoint()
-        if state.filter("moved").isEmpty():
+        jumped = state.select(F.col("jump").alias("node")).distinct()
+        count = jumped.count()
+        if count == known and state.filter("open and moved").join(jumped, "node", "left_semi").isEmpty():
             break
+        known = count
     # What is still open circles, and its jump lies on the cycle.
     circle = state.select(F.col("node").alias("jump"), F.col("low").alias("cycle_low"))
     return state.join(circle, "jump").select(

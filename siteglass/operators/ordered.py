@@ -14,8 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def _bucketed(df: DataFrame, bucket: Column) -> DataFrame:
-    return df.withColumn("_bucket", bucket)
+def _slotted(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Partitioned by ``_slot``, the key and bucket as one struct: structs compare null fields as equal, so no row is lost, and
+    the windows, the summary per bucket and the join below all use this one exchange."""
+    return df.withColumn("_slot", F.struct(*keys, bucket.alias("_bucket"))).repartition("_slot")
+
+
+def _over_buckets(keys: Sequence[str]):
+    return Window.partitionBy(*[F.col(f"_slot.{k}") for k in keys]).orderBy("_slot._bucket")
 
 
 def running_before(
@@ -23,17 +29,16 @@ def running_before(
 ) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows of the key (0 for the first).
 
-    ``bucket`` must not decrease along ``order``; ``order`` must be total within a key.
+    ``bucket`` must not decrease along ``order``; ``order`` must be total within a key. Null keys form a key, null buckets come first.
     """
-    rows = _bucketed(df.withColumn("_value", value), bucket)
-    sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
-    over_buckets = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*BEFORE)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(over_buckets), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*BEFORE)
+    rows = _slotted(df.withColumn("_value", value), keys, bucket)
+    sums = rows.groupBy("_slot").agg(F.sum("_value").alias("_sum"))
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(_over_buckets(keys).rowsBetween(*BEFORE)), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy("_slot").orderBy(*order).rowsBetween(*BEFORE)
     return (
-        rows.join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .drop("_value", "_bucket", "_offset")
+        rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(offsets, "_slot")
+        .withColumn(name, F.col("_offset") + F.col("_inside"))
+        .drop("_value", "_slot", "_offset", "_inside")
     )
 
 
@@ -47,18 +52,15 @@ def with_previous(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, name: str
 ) -> DataFrame:
     """Add ``struct<value>`` of the previous row of the key as ``name`` (null for the first row)."""
-    rows = _bucketed(df, bucket)
-    ends = rows.groupBy(*keys, "_bucket").agg(
-        F.max_by(F.struct(F.col(value).alias("value")), F.struct(*order)).alias("_last")
-    )
-    over_buckets = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = ends.withColumn("_carried", F.lag("_last").over(over_buckets)).drop("_last")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    rows = _slotted(df, keys, bucket)
+    ends = rows.groupBy("_slot").agg(F.max_by(F.struct(F.col(value).alias("value")), F.struct(*order)).alias("_last"))
+    carried = ends.withColumn("_carried", F.lag("_last").over(_over_buckets(keys))).drop("_last")
+    inside = Window.partitionBy("_slot").orderBy(*order)
     return (
         rows.withColumn("_near", F.lag(F.struct(F.col(value).alias("value"))).over(inside))
-        .join(carried, [*keys, "_bucket"])
+        .join(carried, "_slot")
         .withColumn(name, F.coalesce("_near", "_carried"))
-        .drop("_bucket", "_near", "_carried")
+        .drop("_slot", "_near", "_carried")
     )
 
 

@@ -152,10 +152,10 @@ def visit_order(t: Tables):
 
 @query("sampled_queue", "E6 L4", QUEUE + "SELECT run_id, url, visit FROM v WHERE visit <= 7")
 def sampled_queue(t: Tables):
-    return links.sample(_queue(t), F.lit(7)).select("run_id", "url", "visit")
+    return links.sample(_queue(t), 7).select("run_id", "url", "visit")
 
 
-@query("delta_urls", "L4 E3", QUEUE + "SELECT DISTINCT url, 0 AS depth FROM q WHERE url IN (SELECT crawl FROM f WHERE page_id % 2 = 0)")
+@query("delta_urls", "L4 E3", QUEUE + "SELECT DISTINCT run_id, url, 0 AS depth FROM q WHERE url IN (SELECT crawl FROM f WHERE page_id % 2 = 0)")
 def delta_urls(t: Tables):
     changed = t.raw("pages").filter("page_id % 2 = 0").select(U.normalize_crawl(C("url")).alias("url"))
     return links.select_urls("delta", _queue(t), changed=changed).distinct()
@@ -199,12 +199,12 @@ def hop_depths(t: Tables):
     return links.hop_depths(one.unionByName(two), root, 3)
 
 
-@query("final_canonicals", "L7", """WITH RECURSIVE c AS (SELECT o_orderkey AS node, o_custkey AS target FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey <> o_custkey),
- starts AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey % 3 <> 0 UNION SELECT o_custkey FROM orders WHERE o_orderkey % 3 <> 0), w(start, node, step) AS (SELECT node, node, 0 FROM starts UNION ALL SELECT start, target, step + 1 FROM w JOIN c ON c.node = w.node WHERE step < 400),
+@query("final_canonicals", "L7", """WITH RECURSIVE c AS (SELECT o_orderkey AS node, o_custkey AS target FROM orders WHERE o_orderkey <> o_custkey),
+ starts AS (SELECT o_orderkey AS node FROM orders UNION SELECT o_custkey FROM orders), w(start, node, step) AS (SELECT node, node, 0 FROM starts UNION ALL SELECT start, target, step + 1 FROM w JOIN c ON c.node = w.node WHERE step < 400),
  last AS (SELECT start, max(step) AS steps, arg_max(node, step) AS ended, min(node) FILTER (step >= 200) AS low FROM w GROUP BY start)
  SELECT start AS node, CASE WHEN steps = 400 THEN low ELSE ended END AS final, steps = 400 AS cyclic FROM last""")
 def final_canonicals(t: Tables):
-    chain = t.raw("orders").filter("o_orderkey % 3 <> 0").select(C("o_orderkey").alias("node"), C("o_custkey").alias("target"))
+    chain = t.raw("orders").select(C("o_orderkey").alias("node"), C("o_custkey").alias("target"))
     return links.final_canonical(chain)
 
 

@@ -420,8 +420,7 @@ def budget_cut(t: Tables):
 
 @query("run_sample", "E6 E7", ctes("items") + """, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos, part, supp, amount) AS visit FROM items) SELECT run_id, visit, part, amount FROM r WHERE visit <= 3""")
 def run_sample(t: Tables):
-    rows = ordered.ranked(t.items, ["run_id"], F.floor(C("pos") / 1000), [C("pos"), C("part"), C("supp"), C("amount")], "visit")
-    return links.sample(rows, F.lit(3)).select("run_id", "visit", "part", "amount")
+    return links.sample(t.items, 3, [C("pos"), C("part"), C("supp"), C("amount")], "part").select("run_id", "visit", "part", "amount")
 
 
 @query("rescore_batch", "E10", ctes("snapshots") + """, cur AS (SELECT page_id, arg_max(snapshot_id, (snapshot_at, snapshot_id)) AS current_snapshot_id, arg_max(run_id, (snapshot_at, snapshot_id)) AS run_id FROM snapshots GROUP BY page_id)

@@ -60,7 +60,7 @@ def test_queue_order_and_sample(spark):
     queue = _queue(spark)
     order = [(r["url"], r["priority"]) for r in links.in_visit_order(queue).orderBy("visit").collect()]
     assert order == [("https://e.com/", 1.0), ("https://e.com/b", 0.9), ("https://e.com/c", 0.5)]
-    assert links.sample(queue, F.lit(2)).count() == 2 and links.sample(queue, F.lit(None).cast("int")).count() == 3
+    assert links.sample(queue, 2).count() == 2 and links.sample(queue, None).count() == 3
 
 
 def test_frontier_and_modes(spark):
@@ -74,7 +74,15 @@ def test_frontier_and_modes(spark):
     assert got == {"/": 0, "/b": 0, "/c": 0, "/d": 1, "/f": 2}
     assert links.select_urls("sitemap_only", queue).count() == 3
     assert links.select_urls("full", queue, extracted, 1).count() == 5
-    assert [r["url"] for r in links.select_urls("sample", queue, sample_size=1, strict=True).collect()] == ["https://e.com/"]
+    bases = spark.createDataFrame([(1, "https://e.com/")], "run_id int, url string")
+    assert [r["url"] for r in links.select_urls("sample", queue, sample_size=1, strict=True, bases=bases).collect()] == ["https://e.com/"]
+    two = queue.unionByName(queue.withColumn("run_id", F.lit(2)).filter("url like '%b'"))
+    both = {(r["run_id"], r["url"][13:], r["depth"]) for r in links.select_urls("full", two, extracted, 2, exclude=["bad"]).collect()}
+    assert both == {(1, "/", 0), (1, "/b", 0), (1, "/c", 0), (1, "/d", 1), (1, "/f", 2), (2, "/b", 0)}
+    first = {(r["run_id"], r["url"][13:]) for r in links.select_urls("sample", two, extracted, 2, sample_size=1).collect()}
+    assert first == {(1, "/"), (2, "/b")}
+    priorities = {r["url"][13:]: r["priority"] for r in links.discovered(extracted, queue, 2, ["bad"]).collect()}
+    assert priorities == {"/": 1.0, "/b": 0.9, "/c": 0.5, "/d": 0.3, "/f": 0.3}
     changed = spark.createDataFrame([("https://e.com/b",)], "url string")
     assert [r["url"] for r in links.select_urls("delta", queue, changed=changed).collect()] == ["https://e.com/b"]
 
@@ -102,6 +110,24 @@ def test_long_chains_and_cycles_against_a_walk(spark):
     assert got == {n: walk(n) for n in set(target) | set(target.values())}
 
 
+def test_tails_of_all_lengths_into_cycles(spark):
+    """Ids that rise, fall or are mixed along tails of 1 to 500 nodes, into cycles of 1 to 50."""
+    rng, target, final, base = random.Random(4), {}, {}, 0
+    for tail, cycle in ((1, 2), (4, 2), (5, 1), (33, 7), (100, 50), (257, 3), (500, 50)):
+        for shape in ("rising", "falling", "mixed"):
+            ids = list(range(base, base + tail + cycle))
+            base += 1000
+            if shape == "falling":
+                ids.reverse()
+            elif shape == "mixed":
+                rng.shuffle(ids)
+            for a, b in zip(ids, [*ids[1:], ids[tail]]):
+                target[a] = b
+            final.update({n: (min(ids[tail:]), cycle > 1) for n in ids})
+    got = {r["node"]: (r["final"], r["cyclic"]) for r in links.final_canonical(spark.createDataFrame(list(target.items()), "node int, target int")).collect()}
+    assert got == final
+
+
 def test_orphans_and_inbound(spark):
     edges = spark.createDataFrame([("https://e.com/a/",), ("https://e.com/a/",), ("https://e.com/b",)], "target string")
     pages = spark.createDataFrame([(1, "https://e.com/a"), (2, "https://e.com/z")], "page_id int, url string")

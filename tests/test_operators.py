@@ -45,6 +45,20 @@ def test_bucketed_windows_equal_plain_windows(spark):
     assert top.select("id", "rank").exceptAll(best.select("id", "rank")).isEmpty() and top.count() == best.count()
 
 
+def test_bucketed_windows_lose_no_null(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3]), i, rng.choice([None, *range(300)]), rng.choice(["a", "b", None])) for i in range(300)]
+    events = spark.createDataFrame(rows, "key int, id int, minute int, value string")
+    w, bucket = Window.partitionBy("key").orderBy("minute", "id"), F.floor(F.col("minute") / 20)
+    got = ordered.with_previous(events, ["key"], bucket, ["minute", "id"], "value", "p").select("id", F.col("p.value").alias("p"), F.col("p").isNull().alias("first"))
+    want = events.select("id", F.lag("value").over(w).alias("p"), (F.row_number().over(w) == 1).alias("first"))
+    assert got.count() == 300 and got.exceptAll(want).isEmpty()
+    rank = ordered.ranked(events, ["key"], bucket, [F.col("minute"), F.col("id")], "n").select("id", "n")
+    assert rank.count() == 300 and rank.exceptAll(events.select("id", F.row_number().over(w).cast("long").alias("n"))).isEmpty()
+    plan = ordered.running_before(events, ["key"], bucket, [F.col("minute"), F.col("id")], F.lit(1), "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
 def test_upsert_keeps_discovery_and_given_fields(spark):
     old = "timestamp'2020-01-01 00:00:00'"
     target = spark.sql(f"select 1 project_id, 'h1' url_hash, 'u1' url, 'blog' page_type, 5 last_crawl_run_id, {old} first_discovered_at, cast(null as timestamp) last_crawled_at union all select 1, 'h0', 'u0', 'x', 1, {old}, {old}")
