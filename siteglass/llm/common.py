@@ -26,11 +26,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Frees the shuffle files of a query when the query ends, instead of when the driver next collects its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_made: list[str] = []
+
+
 def kept(frame: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: a cut of the lineage that outlives any executor."""
-    path = scratch(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Write a table to the shared folder and read it again: a cut of the lineage that outlives any executor.
+
+    Once the table is written nothing reads the shuffles behind it again, so their files go at once.
+    """
+    spark = frame.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before) if before else spark.conf.unset(FREE_SHUFFLES)
+    _made.append(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def made_since(mark: int) -> list[str]:
+    return _made[mark:]
+
+
+def made_so_far() -> int:
+    return len(_made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder, by the file system they are on."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def whole(frame: DataFrame) -> Column:

@@ -133,7 +133,8 @@ def shared_leads(suffixes: DataFrame) -> DataFrame:
 
 
 def extended_windows(texts: DataFrame, passage: int, lead: int) -> DataFrame:
-    """(window, first_id, key, start): hashes of the windows whose minimiser is among ``places`` of the text."""
+    """(window, first_id, key, start, again): hashes of the windows whose minimiser is among ``places`` of the text, and whether
+    the text has had the window before."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in text_slices(batches):
@@ -141,12 +142,17 @@ def extended_windows(texts: DataFrame, passage: int, lead: int) -> DataFrame:
             for i, (key, places, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("places").to_pylist(), part)):
                 hashes = word_hashes(text)
                 start = np.flatnonzero(np.isin(minimisers(hashes, passage, lead)[0], np.array(places)))
-                whole = rolling(hashes, passage)[start].view(np.int64)
+                whole_hashes = rolling(hashes, passage)[start].view(np.int64)
+                again = np.ones(len(start), bool)
+                again[np.unique(whole_hashes, return_index=True)[1]] = False
                 if len(start):
-                    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array([ids[i].as_py()] * len(start), ids.type), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32))], names=["window", "first_id", "key", "start"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(whole_hashes), pa.array([ids[i].as_py()] * len(start), ids.type), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32)), pa.array(again)],
+                        names=["window", "first_id", "key", "start", "again"],
+                    )
 
     kind = texts.schema["first_id"].dataType.simpleString()
-    return texts.mapInArrow(gathered(run), f"window bigint, first_id {kind}, key bigint, start int")
+    return texts.mapInArrow(gathered(run), f"window bigint, first_id {kind}, key bigint, start int, again boolean")
 
 
 def text_key(docs: DataFrame):
@@ -156,8 +162,8 @@ def text_key(docs: DataFrame):
 def repeated_windows(docs: DataFrame, passage: int = PASSAGE, lead: int = LEAD) -> tuple[DataFrame, DataFrame]:
     """Windows of distinct texts that occur in other texts, and the distinct texts.
 
-    Windows: (key, start, first_id, owner_key, owner_start, owner_id), where the owner is the first occurrence by (lowest doc_id of its text,
-    key, start). Texts: (key, first_id, copies), by the hash of the text.
+    Windows: (key, start, owner_id, later). The owner is the lowest doc_id that has the window; ``later`` marks all but the first
+    occurrence in the owner's text. Texts: (key, first_id, copies), by the hash of the text.
     """
     keyed = docs.select(text_key(docs).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = kept(keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("doc_id").alias("n"), F.max("doc_id").alias("_last")), "texts")
@@ -167,10 +173,9 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, lead: int = LEAD)
     # One row of each text is read again: the one with the lowest id.
     again = keyed.join(places, "key").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     windows = kept(extended_windows(again.select("key", "first_id", "places", "text"), passage, lead), "windows")
-    owners = windows.groupBy("window").agg(F.min(F.struct("first_id", "key", "start")).alias("owner"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    repeated = windows.join(owners.select("window", "owner"), "window").select(
-        "key", "start", "first_id", F.col("owner.key").alias("owner_key"), F.col("owner.start").alias("owner_start"), F.col("owner.first_id").alias("owner_id")
-    )
+    owners = windows.groupBy("window").agg(F.min("first_id").alias("owner_id"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    later = F.col("again") | ~F.col("first_id").eqNullSafe(F.col("owner_id"))
+    repeated = windows.join(owners.select("window", "owner_id"), "window").select("key", "start", "owner_id", later.alias("later"))
     return repeated, texts
 
 
@@ -203,13 +208,12 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, lead: int = LEAD)
 def without_repeats(docs: DataFrame, passage: int = PASSAGE, lead: int = LEAD) -> DataFrame:
     """``docs`` with all its columns, each repeated passage left in its first document only.
 
-    Words of windows whose first occurrence is elsewhere are cut, with the white space behind them, and ``n_chars`` (where there is one) is set anew.
-    Whole copies of texts of at least ``passage`` words stay in the row with the lowest doc_id. Documents of which nothing
+    Words of windows that a document of lower id has, or this one before, are cut, with the white space behind them, and ``n_chars`` (where there is one) is set anew.
+    Whole copies of texts of at least ``passage`` words stay in the rows with the lowest doc_id. Rows of one id count as one document. Documents of which nothing
     is left go; untouched documents stay as they are, also empty and null ones.
     """
     windows, texts = repeated_windows(docs, passage, lead)
-    later = windows.where("key <> owner_key or start <> owner_start").withColumn("owner_id", F.lit(None).cast("int"))
-    cuts = spans(later, passage).groupBy("key").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
+    cuts = spans(windows.where("later"), passage).groupBy("key").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
     plan = texts.join(cuts, "key", "left").where("copies > 1 or _cuts is not null").select("key", "first_id", "copies", F.col("_cuts").alias("cuts"))
     joined = docs.select(text_key(docs).alias("key"), whole(docs).alias("row"), F.col("text")).join(plan, "key", "left")
     names = docs.columns
