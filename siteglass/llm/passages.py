@@ -174,8 +174,10 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, lead: int = LEAD)
     again = keyed.join(places, "key").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     windows = kept(extended_windows(again.select("key", "first_id", "places", "text"), passage, lead), "windows")
     owners = windows.groupBy("window").agg(F.min("first_id").alias("owner_id"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    # Written, so that the join below has a shuffle on either side and a passage of very many texts can be split.
+    owners = kept(owners.select("window", "owner_id"), "owners")
     later = F.col("again") | ~F.col("first_id").eqNullSafe(F.col("owner_id"))
-    repeated = windows.join(owners.select("window", "owner_id"), "window").select("key", "start", "owner_id", later.alias("later"))
+    repeated = windows.join(owners, "window").select("key", "start", "owner_id", later.alias("later"))
     return repeated, texts
 
 
