@@ -1,4 +1,4 @@
-"""Rounding and clamping rules shared by every score."""
+"""Rounding rules shared by every score."""
 
 from __future__ import annotations
 
@@ -10,11 +10,6 @@ def round_half_up(value: Column) -> Column:
     return F.floor(value + F.lit(0.5)).cast("int")
 
 
-def clamp(value: Column, low: float, high: float) -> Column:
-    """Limit to [low, high]; null stays null (``least``/``greatest`` alone would skip it)."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
-
-
 def ratio(part: Column, whole: Column, scale: float = 1.0) -> Column:
     """part / whole * scale, 0 where the whole is 0 or missing."""
     return F.when(whole > 0, part / whole * F.lit(float(scale))).otherwise(F.lit(0.0))

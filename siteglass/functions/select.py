@@ -137,10 +137,6 @@ def count_nodes(nodes: Column, test: Predicate) -> Column:
     return F.size(pick(nodes, test))
 
 
-def first_node(nodes: Column, test: Predicate) -> Column:
-    return F.get(pick(nodes, test), F.lit(0))
-
-
 def first_value(nodes: Column, test: Predicate, value: Callable[[Column], Column]) -> Column:
     """``value`` of the first match; the filter runs once and ``value`` on one element."""
     return F.get(F.transform(F.slice(pick(nodes, test), 1, 1), value), F.lit(0))

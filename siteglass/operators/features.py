@@ -148,7 +148,7 @@ def features(parsed: DataFrame, url: str = "url", load_time: Column | None = Non
     for stage in feature_stages(url, year):
         rows = rows.withColumns(stage)
     load = F.coalesce(F.lit(0) if load_time is None else load_time, F.lit(0)).cast("double")
-    return rows.withColumn("load_time", load).drop("_items", "_lists")
+    return rows.withColumn("load_time", load).drop("_marked_lists", "_lists")
 
 
 @built_once
@@ -157,11 +157,10 @@ def feature_stages(url: str, year: int | None) -> tuple[dict[str, Column], ...]:
     nodes, marked, body, lower = (F.col(c) for c in ("nodes", "marked", "body_text", "body_lower"))
     question_headings = S.pick(nodes, S.both(S.tag("h2", "h3", "h4"), lambda n: X.is_question(n["text"])))
     ordered, bulleted = S.tag("ol"), S.tag("ul")
-    items = S.pick(nodes, S.tag("li"))
     lists = S.pick(nodes, S.tag("ol", "ul"))
     first_p = S.first_value(nodes, S.tag("p"), lambda n: S.slice_text(F.col("page_text"), n))
     first = {
-            "_items": items,
+            "_marked_lists": S.pick(nodes, S.tag("li", "ol", "ul")),
             "_lists": lists,
             "first_paragraph": F.coalesce(first_p, F.lit("")),
             "paragraph_count": S.count_nodes(nodes, S.tag("p")),
@@ -177,15 +176,21 @@ def feature_stages(url: str, year: int | None) -> tuple[dict[str, Column], ...]:
         }
 
     def items_in(kind: S.Predicate) -> Column:
-        def within(n: Column) -> Column:
-            return F.exists("_lists", lambda m: kind(m) & (m["i"] < n["i"]) & (m["last"] >= n["i"]))
+        """Items inside a list of the kind. Elements stand in document order and nest, so an item is inside one exactly
+        where the furthest end of the lists before it is not behind it: one pass, however many lists there are."""
+        start = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n"))
 
-        return F.size(F.filter("_items", within))
+        def step(acc: Column, n: Column) -> Column:
+            inside = ((n["tag"] == "li") & (acc["end"] >= n["last"])).cast("int")
+            end = F.when(kind(n) & (n["last"] > acc["end"]), n["last"]).otherwise(acc["end"])
+            return F.struct(end.alias("end"), (acc["n"] + inside).alias("n"))
+
+        return F.aggregate("_marked_lists", start, step, lambda acc: acc["n"])
 
     second = {
             "ordered_items": items_in(ordered),
             "bulleted_items": items_in(bulleted),
-            "list_items": F.size(F.filter("_items", lambda n: F.exists("_lists", lambda m: (m["i"] < n["i"]) & (m["last"] >= n["i"])))),
+            "list_items": items_in(S.tag("ol", "ul")),
             "question_headings": F.size(question_headings),
         }
     images = F.size("images")

@@ -155,6 +155,30 @@ def with_scores(rows: DataFrame) -> DataFrame:
     ).drop(*[f"_{s}" for s in SCORES])
 
 
+#: Why each finding matters, and an example where one helps (own wording; the level is that of the finding's impact).
+ADVICE = {
+    "Content too short": ("High: thorough pages are quoted far more often than thin ones", None),
+    "No direct answer in opening": ("High: answer engines lift the opening sentences", "Before: 'People often ask how tall it is.' After: 'It is 324 metres tall.'"),
+    "Content format not optimized for AI": ("Medium: lists, comparisons and steps are easier to quote", None),
+    "Lacks factual backing": ("Medium: backed claims carry more authority", "'According to the 2023 census, 41% of households ...'"),
+    "Poor heading hierarchy": ("Medium: headings in order show how the text is built", None),
+    "Insufficient question-answer pairs": ("High: a question with its answer can be quoted as it stands", "A heading 'What is a sitemap?' with a two-sentence answer below."),
+    "Missing author information": ("High: a named expert is a main sign of trust", None),
+    "No contact information": ("Medium: a reachable publisher is trusted more", None),
+    "No authoritative citations": ("Medium: links to authorities raise credibility", "Link a figure to the study or the agency that published it."),
+    "No publication or update dates": ("Medium: dated, current pages are preferred", None),
+    "Site not using HTTPS": ("High: an encrypted site is the least that is expected", None),
+    "Missing viewport meta tag": ("High: pages are judged by their mobile view", None),
+    "Slow page loading": ("High: slow pages rank lower", None),
+    "Missing meta description": ("Medium: the description tells what the page answers", "'How to repot an orchid in five steps, with the right season and soil.'"),
+    "Images missing alt text": ("Medium: alt texts help readers and machines alike", None),
+    "No structured data markup": ("High: markup states outright what a page is about", None),
+    "Missing FAQ structured data": ("High: marked-up questions are shown directly", "A page with three or more questions carries one FAQPage block."),
+    "Missing HowTo structured data": ("Medium: marked-up steps are read as instructions", None),
+    "Missing Article structured data": ("Medium: the content type becomes explicit", None),
+}
+
+
 def _rules() -> list[tuple[str, str, str, str, str, Column, Column | None]]:
     """(score group, category, priority, issue, advice, condition, current value)."""
     contact = C("has_contact") | C("has_contact_page")
@@ -198,10 +222,12 @@ def recommendations() -> Column:
             F.lit(issue).alias("issue"),
             F.lit(advice).alias("recommendation"),
             (F.lit(None).cast("string") if current is None else current).alias("current"),
+            F.lit(ADVICE[issue][0]).alias("impact"),
+            F.lit(ADVICE[issue][1]).cast("string").alias("example"),
         )
         found.append(F.when((C(f"{group}_score") < 70) & condition, item))
     ranked = F.array_sort(F.array_compact(F.array(*found)))
-    fields = ("category", "priority", "issue", "recommendation", "current")
+    fields = ("category", "priority", "issue", "recommendation", "current", "impact", "example")
     return F.transform(ranked, lambda r: F.struct(*[r[f].alias(f) for f in fields]))
 
 

@@ -66,8 +66,11 @@ def score_rows(df: DataFrame, criteria: str = "criteria_scores") -> DataFrame:
     return with_defaults(merged, {"ai_tokens_used": F.lit(0)}).withColumn("overall_score", overall_score(F.col(criteria)))
 
 
-def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append to a parquet table. Rows of a partition value are spread over tasks, so a hot one stays parallel."""
+def append(df: DataFrame, path: str, partition_by: Sequence[str] = (), files: int = 4) -> None:
+    """Append to a parquet table. Rows of a partition value are clustered into at most ``files`` tasks, hence files: a hot one stays
+    parallel, and small ones do not become a file for each task."""
+    if partition_by:
+        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(files)))
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
@@ -83,13 +86,15 @@ def upsert_pages(
         F.min_by("url", "pos").alias("n_url"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"n_{c}") for c in given],
     )
+    # A new page counts as crawled where the batch names its run.
+    crawled = F.col("n_last_crawl_run_id").isNotNull() if "last_crawl_run_id" in given else F.lit(False)
     joined = target.withColumn("_old", F.lit(True)).join(newest.withColumn("_new", F.lit(True)), list(key), "full_outer")
     return joined.select(
         *key,
         F.coalesce("url", "n_url").alias("url"),
         *[F.coalesce(f"n_{c}", c).alias(c) for c in given],
         F.coalesce("first_discovered_at", F.when(F.col("_old").isNull(), now)).alias("first_discovered_at"),
-        F.when(F.col("_new") & (F.col("_old").isNotNull() | F.col("n_last_crawl_run_id").isNotNull()), now)
+        F.when(F.col("_new") & (F.col("_old").isNotNull() | crawled), now)
         .otherwise(F.col("last_crawled_at"))
         .alias("last_crawled_at"),
     )

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordered import top_per_key
 
-# Largest query set sent to every task: 4096 vectors of 1536 doubles are 50 MB.
-MAX_QUERIES = 4096
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -31,58 +25,42 @@ def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFra
     return parts.groupBy(by).agg(F.transform(ordered, lambda p: p["x"]).alias("centroid"))
 
 
-def _scorer(query_ids: list, matrix: np.ndarray, k: int):
-    """Over one partition of stored vectors: the k best of each query (a queries x k table, never all pairs)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_ids = best = None
-        for batch in batches:
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            if not len(ids):
-                continue
-            vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            norms = np.linalg.norm(vectors, axis=1)
-            usable = norms > 0
-            ids, unit_rows = ids[usable], vectors[usable] / norms[usable, None]
-            scores = matrix @ unit_rows.T
-            all_ids = np.broadcast_to(ids, scores.shape)
-            if best is not None:
-                scores, all_ids = np.hstack([best, scores]), np.hstack([best_ids, all_ids])
-            order = np.lexsort((all_ids, -scores), axis=1)[:, :k]
-            best, best_ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
-        if best is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.asarray(query_ids), best.shape[1])), pa.array(best_ids.ravel()), pa.array(best.ravel())],
-                names=["query_id", "vec_id", "similarity"],
-            )
+def _best(k: int):
+    """Over a block of stored vectors and one of queries: the k best of each query, ties by id."""
+
+    def unit_rows(table: pa.Table) -> np.ndarray:
+        rows = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+    def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if stored.num_rows and asked.num_rows:
+            stored = stored.sort_by("vec_id")
+            ids, rows = stored.column("vec_id").to_numpy(), unit_rows(stored)
+            for name, query in zip(asked.column("query_id").to_numpy(), unit_rows(asked)):
+                scores = rows @ query
+                near = np.argsort(-scores, kind="stable")[:k]
+                out.append((np.full(len(near), name), ids[near], scores[near]))
+        return pa.table({c: np.concatenate(values) for c, values in zip(("query_id", "vec_id", "similarity"), zip(*out))})
 
     return run
 
 
-def top_related(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query_vector: str = "vector") -> DataFrame:
+def top_related(
+    vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query_vector: str = "vector", vector_blocks: int = 32, query_blocks: int = 1
+) -> DataFrame:
     """Exact k most similar stored vectors for each query vector, ties by id.
 
-    The query set travels to the tasks in blocks of at most ``MAX_QUERIES``; a larger set takes
-    several passes over the stored vectors instead of a bigger broadcast. Each partition
-    sends on k rows per query, never all pairs, and the k best of those are kept per query.
+    Stored vectors and queries are dealt into blocks by hash and every pair of blocks meets in one task; it sends on k rows per
+    query, never all pairs, and the k best of those are kept. Nothing goes through the driver. The numbers of blocks are
+    parameters: a task holds one block of each. Null and zero vectors have no similarity and are left out on either side; a query
+    meets vectors of its own length. No queries, no rows.
     """
-    numbered = queries.select("query_id", query_vector)
-    total = numbered.count()
-    blocks = max(1, -(-total // MAX_QUERIES))
-    passes = []
-    for block in range(blocks):
-        part = numbered if blocks == 1 else numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks * 2)).isin(2 * block, 2 * block + 1))
-        rows = part.toArrow()  # bounded by MAX_QUERIES on average, checked by the count above
-        if not rows.num_rows:
-            continue
-        matrix = np.asarray(rows.column(query_vector).to_pylist(), dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-        source = vectors.filter(F.col(vector).isNotNull()).select("vec_id", F.col(vector).alias("vector"))
-        passes.append(source.mapInArrow(_scorer(rows.column("query_id").to_pylist(), matrix, k), "query_id long, vec_id long, similarity double"))
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
+    usable = lambda df, id_, v: df.select(id_, F.col(v).cast("array<double>").alias("vector")).where(F.size("vector") > 0).where(~F.exists("vector", lambda x: x.isNull()) & (dot(F.col("vector"), F.col("vector")) > 0))
+    stored = usable(vectors, "vec_id", vector).withColumns({"p": F.pmod(F.xxhash64("vec_id"), F.lit(vector_blocks)), "q": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
+    asked = usable(queries, "query_id", query_vector).withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"), "p": F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)))})
+    of = lambda df: df.withColumn("p", F.col("p").cast("int")).withColumn("size", F.size("vector")).groupBy("p", "q", "size")
+    found = of(stored).cogroup(of(asked)).applyInArrow(_best(k), "query_id long, vec_id long, similarity double")
     return top_per_key(found, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], k, F.col("vec_id"))
 
 

@@ -25,11 +25,11 @@ class Tables:
     @property
     def stored_pages(self) -> DataFrame:
         """Markup is split over all cores: a page table is few bytes on disk and much work per byte."""
-        return spread(read_pages(self.spark, f"{self.folder}/pages.parquet"))
+        return spread(read_pages(self.spark, f"{self.folder}/pages.parquet"), "page_id")
 
     @property
     def texts(self) -> DataFrame:
-        return spread(self.raw("documents").select("doc_id", "text"))
+        return spread(self.raw("documents").select("doc_id", "text"), "doc_id")
 
     @property
     def organizations(self) -> DataFrame:
@@ -114,10 +114,10 @@ class Tables:
         )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for CPU-heavy work on a small table; a table with enough partitions stays as it is."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Texts dealt out by key over ``spark.sql.shuffle.partitions`` tasks: markup is few bytes on disk and much work per byte,
+    and neither the size of the files nor that of the table changes the plan."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 # --- the same roles in SQL --------------------------------------------------------------

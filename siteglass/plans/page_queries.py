@@ -314,12 +314,19 @@ RULES_SQL = WITH_FEATURES + """, rules AS (
  found AS (SELECT page_id, r.i AS issue, CASE r.p WHEN 3 THEN 'high' ELSE 'medium' END AS priority, CAST(row_number() OVER (PARTITION BY page_id ORDER BY r.p DESC, r.c DESC, r.o) AS INT) AS rank FROM rules WHERE r.k) """
 
 
-@query("page_recommendations", "H53 F4", RULES_SQL + "SELECT page_id, rank, priority, issue FROM found")
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+ADVICE_SQL = ", advice(issue, impact, example) AS (VALUES " + ", ".join(f"({_quoted(i)}, {_quoted(a)}, {_quoted(e)})" for i, (a, e) in scoring.ADVICE.items()) + ") "
+
+
+@query("page_recommendations", "H53 F4", RULES_SQL + ADVICE_SQL + "SELECT page_id, rank, priority, issue, impact, example FROM found JOIN advice USING (issue)")
 def page_recommendations(t: Tables):
     found = scoring.with_recommendations(scoring.with_scores(_features(t)))
     # The outer form keeps the optimizer from deriving a filter that repeats the whole expression below the stages.
     return found.select("page_id", F.posexplode_outer("recommendations").alias("pos", "r")).filter("r is not null").select(
-        "page_id", (C("pos") + 1).alias("rank"), C("r.priority").alias("priority"), C("r.issue").alias("issue")
+        "page_id", (C("pos") + 1).alias("rank"), C("r.priority").alias("priority"), C("r.issue").alias("issue"), C("r.impact").alias("impact"), C("r.example").alias("example")
     )
 
 
@@ -401,12 +408,12 @@ def prepared_content(t: Tables):
     return p.select("page_id", "method", "original_tokens", "savings_percent", F.regexp_extract("context", r"^([\s\S]*?)Links: ", 1).alias("head"))
 
 
-@query("prepared_with_summary", "H40 H41 D21", WITH_DOC + """, s AS (SELECT *, CAST(ceil(length(body) / 4.0) AS INT) AS o, CAST(ceil(least(length(body), 1200) / 4.0) AS INT) AS s FROM d)
+@query("prepared_with_summary", "H40 H41 D21", WITH_DOC + """, s AS (SELECT *, CAST(ceil(length(body) / 4.0) AS INT) AS o, CAST(ceil(length(regexp_replace(body, '[aeiou]', '', 'g')) / 4.0) AS INT) AS s FROM d)
  SELECT page_id, CASE WHEN o > 1000 THEN 'ai-summarized' ELSE 'structured-only' END AS method, CASE WHEN o > 1000 THEN o - s ELSE 0 END AS savings_tokens,
  CASE WHEN o > 1000 THEN CAST(floor((o - s) / o * 100 + 0.5) AS INT) ELSE 0 END AS savings_percent FROM s""")
 def prepared_with_summary(t: Tables):
-    # The summary is an input column; here the opening of the body stands in for an outside summary.
-    rows = _extracted(t).withColumn("summary", F.substring("body", 1, 1200))
+    # The summary is an input column; here the whole body in shorthand, without vowels, stands in for an outside summary.
+    rows = _extracted(t).withColumn("summary", F.regexp_replace("body", "[aeiou]", ""))
     return tokens.prepare_content(rows, summary="summary").select("page_id", "method", "savings_tokens", "savings_percent")
 
 
