@@ -21,6 +21,9 @@ from .graph import components
 
 SHINGLE, SEED, DISTANCE, SEGMENTS, CHAIN = 4, 42, 4, 7, 5
 
+#: Values of a key that are joined pair by pair; keys with more are joined by way of stars, with the same components.
+CROWD = 256
+
 # Bits of every byte value, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 PLACE = np.arange(8, dtype=np.int64) * 256
@@ -77,8 +80,8 @@ def bits(value: Column, offset: int, width: int) -> Column:
     return F.shiftrightunsigned(value, offset).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def similar_fingerprints(fps: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
-    """All pairs (a, b), a < b, of the distinct values ``fp`` with at most ``distance`` differing bits."""
+def chain_keys(fps: DataFrame, distance: int, m: int, chain: int) -> DataFrame:
+    """(fp, key, start): the values of a chain's unchanged segments, for every start and every way to place them."""
     cut, places = segments(m), equal_places(m, distance, chain)
     keys = []
     for start in range(m):
@@ -88,8 +91,12 @@ def similar_fingerprints(fps: DataFrame, distance: int = DISTANCE, m: int = SEGM
                 offset, width = cut[(start + p) % m]
                 key = F.shiftleft(key, width).bitwiseOR(bits(F.col("fp"), offset, width))
             keys.append(F.struct(key.alias("key"), F.lit(start).cast("tinyint").alias("start")))
-    rows = fps.select("fp", F.inline(F.array(*keys)))
-    left, right = rows.alias("l"), rows.select("key", F.col("fp").alias("other")).alias("r")
+    return fps.select("fp", F.inline(F.array(*keys)))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, distance: int, m: int, ordered: bool) -> DataFrame:
+    """Pairs (a, b) that share a key, keep the budgets of the whole chain from its start, and differ in at most ``distance`` bits."""
+    cut, left, right = segments(m), left.alias("l"), right.select("key", F.col("fp").alias("other")).alias("r")
     diff = F.col("l.fp").bitwiseXOR(F.col("r.other"))
     within = F.lit(False)
     for start in range(m):
@@ -99,14 +106,45 @@ def similar_fingerprints(fps: DataFrame, distance: int = DISTANCE, m: int = SEGM
             total = total + F.bit_count(bits(diff, offset, width))
             held = held & (total <= n * distance // m)
         within = within | ((F.col("l.start") == start) & held)
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.other")) & within & (F.bit_count(diff) <= distance)
+    apart = F.col("l.fp") < F.col("r.other") if ordered else F.col("l.fp") != F.col("r.other")
+    near = (F.col("l.key") == F.col("r.key")) & apart & within & (F.bit_count(diff) <= distance)
     return left.join(right, near).select(F.col("l.fp").alias("a"), F.col("r.other").alias("b")).distinct()
 
 
+def similar_fingerprints(fps: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
+    """All pairs (a, b), a < b, of the distinct values ``fp`` with at most ``distance`` differing bits."""
+    rows = chain_keys(fps, distance, m, chain)
+    return near_pairs(rows, rows, distance, m, ordered=True)
+
+
+def connecting_links(fps: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS, chain: int = CHAIN, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between values ``fp`` that join the same components as all pairs within ``distance``.
+
+    A key of up to ``crowd`` values is joined pair by pair. The values of more crowded keys, those of a large group of near copies, are first
+    linked in stars: values that are one flip away from the same word are at most two bits apart. In a crowded key only the values
+    outside the star component that has most of its rows are then held against all of its rows, as within a component no further link matters.
+    """
+    rows = chain_keys(fps, distance, m, chain)
+    crowded = kept(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
+    links = near_pairs(rows.join(crowded, "key", "left_anti"), rows, distance, m, ordered=True)
+    if crowded.isEmpty():
+        return links
+    full = kept(rows.join(crowded, "key"), "crowded-rows")
+    words = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
+    around = full.select("fp").distinct().select("fp", F.explode(words).alias("word"))
+    hubs = around.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("word", "hub")
+    stars = around.join(hubs, "word").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct() if distance >= 2 else links.limit(0)
+    stars = kept(stars, "stars")
+    named = full.join(components(stars).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    most = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"))
+    rest = named.join(most.select("key", "most.root"), ["key", "root"], "left_anti").select("key", "fp", "start")
+    return links.union(stars).union(near_pairs(rest, full, distance, m, ordered=False))
+
+
 def with_components(fps: DataFrame, distance: int, m: int, chain: int) -> DataFrame:
     """(fp, root, component_id) of the distinct fingerprints of rows (doc_id, fp)."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(similar_fingerprints(distinct.select("fp"), distance, m, chain))
+    roots = components(connecting_links(distinct.select("fp"), distance, m, chain))
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     return grouped.join(named, "root").select("fp", "root", "component_id")

@@ -106,6 +106,20 @@ def test_chains_find_every_pair(spark, m, chain, distance):
     assert got == want and want
 
 
+@pytest.mark.parametrize("distance", [4, 2, 1])
+def test_crowded_keys_give_the_same_components(spark, distance):
+    r = random.Random(distance)
+    base, weak = r.getrandbits(64), r.sample(range(64), 9)
+    values = {base ^ sum(1 << b for b in weak if r.random() < 0.4) for _ in range(150)}  # one dense group
+    values |= {base ^ sum(1 << b for b in r.sample(range(64), n)) for n in range(1, 14) for _ in range(6)}  # and a thin hull
+    values |= {r.getrandbits(64) for _ in range(30)}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {x.node: x.root for x in graph.components(simhash.connecting_links(frame, distance, crowd=8)).collect()}
+    roots = roots_of(len(values), lambda i, j: bin((values[i] ^ values[j]) & (1 << 64) - 1).count("1") <= distance)
+    assert [got.get(v, v) for v in values] == [values[k] for k in roots]
+
+
 def test_one_row_per_component_stays(docs, texts, nothing):
     left = simhash.without_near_duplicates(docs)
     assert left.columns == docs.columns
