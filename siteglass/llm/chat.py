@@ -1,7 +1,7 @@
 """Chat transcripts: roles recovered by a hidden Markov model, turns rendered in one canonical form.
 
 A line's hidden state is the role that speaks and whether its turn begins there. Observed are the class of speaker marker, the
-length and whether the line asks. Counts of labelled transcripts give the probabilities. A transcript is cut into blocks of turns; a block
+length and whether the line asks. Counts of labelled transcripts give the probabilities. A long transcript is cut into blocks of turns; a block
 sums up the best path from each state before it to each state at its end, the blocks of a transcript are chained, and each
 block is then decoded between its fixed ends. So a transcript of any length is decoded exactly, and no task holds more than blocks.
 """
@@ -166,7 +166,8 @@ def parse(pieces: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
     def decode(key, frame):
         lines = split_block(frame)
-        path = viterbi(transitions, score(lines), int(frame["entry"].iloc[0]), int(frame["exit"].iloc[0]))
+        entry, last = frame["entry"].iloc[0], frame["exit"].iloc[0]
+        path = viterbi(transitions, score(lines), STATES if pd.isna(entry) else int(entry), None if pd.isna(last) else int(last))
         parts: list[list] = []
         for line, state in zip(lines, path):
             if state < len(ROLES) or not parts:
@@ -174,11 +175,13 @@ def parse(pieces: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             parts[-1][3].append(line[marker(line)[1]:] if state < len(ROLES) else line)
         return pd.DataFrame([(key[0], key[1], n, begins, role, len(x), "\n".join(x)) for n, begins, role, x in parts], columns=["conv_id", "block", "local", "begins", "role", "n_lines", "text"])
 
-    blocks = pieces.groupBy("conv_id", "block")
+    # A transcript of one block begins at the start and ends anywhere; only longer ones are summed up and chained.
+    longer = pieces.groupBy("conv_id").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select(F.col("conv_id").alias("_c"))
+    blocks = pieces.join(longer, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi").groupBy("conv_id", "block")
     paths = blocks.applyInPandas(summary, f"conv_id {kind}, block bigint, paths array<double>")
     # Of a block only its matrix goes on: one row for every BLOCK turns.
     ends = paths.groupBy("conv_id").applyInPandas(chain, f"conv_id {kind}, block bigint, entry int, exit int").withColumnsRenamed({"conv_id": "_c", "block": "_b"})
-    bounded = pieces.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).drop("_c", "_b")
+    bounded = pieces.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")), "left").drop("_c", "_b")
     parts = kept(bounded.groupBy("conv_id", "block").applyInPandas(decode, f"conv_id {kind}, block bigint, local int, begins boolean, role string, n_lines int, text string"), "chat-parts")
     begun = parts.groupBy("conv_id", "block").agg(F.max("local").alias("n"))
     order = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
