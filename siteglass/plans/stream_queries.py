@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
-from ..streaming.sources import append_to_table, read_events, update_to_table
+from ..streaming.sources import append_to_table, fold_to_table, read_events, update_to_table
 from .bindings import Tables
 from .registry import query
 
@@ -24,13 +24,13 @@ def _ntz(df):
 @query("stream_rate_limit", "J1", "SELECT time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '2000-01-01') AS window_start, user_id % 10 AS client, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 def stream_rate_limit(t: Tables):
     requests = _events(t).withColumn("client", C("user_id") % 10)
-    return _ntz(update_to_table(jobs.over_rate(requests, 1, late="40 days"), "rate", ["window_start", "client"]))
+    return _ntz(update_to_table(jobs.over_rate(requests, 1), "rate", ["window_start", "client"]))
 
 
 @query("stream_usage", "J5", "SELECT time_bucket(INTERVAL 60 SECOND, ts, TIMESTAMP '2000-01-01') AS window_start, event_type AS endpoint, count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2")
 def stream_usage(t: Tables):
     requests = _events(t).select("event_time", C("event_type").alias("endpoint"), F.when(C("event_type") == "error", 500).otherwise(200).alias("status_code"))
-    return _ntz(update_to_table(jobs.usage(requests, late="40 days"), "usage", ["window_start", "endpoint"]))
+    return _ntz(update_to_table(jobs.usage(requests), "usage", ["window_start", "endpoint"]))
 
 
 @query("stream_run_progress", "J3", "SELECT user_id AS run_id, count(*) AS events, count(*) FILTER (event_type IN ('view', 'click')) AS pages_discovered, count(*) FILTER (event_type = 'purchase') AS pages_processed FROM events GROUP BY 1")
@@ -41,12 +41,12 @@ def stream_run_progress(t: Tables):
 
 @query("stream_content_changes", "J2", "SELECT key, event_id FROM (SELECT user_id AS key, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type AS changed FROM events) WHERE changed")
 def stream_content_changes(t: Tables):
-    return append_to_table(jobs.content_changes(_events(t), "user_id", F.sha2("event_type", 256)), "changes")
+    return fold_to_table(_events(t), "changes", jobs.content_changes("user_id", F.sha2("event_type", 256)))
 
 
 @query("stream_token_budget", "J4", "SELECT key, event_id FROM (SELECT user_id AS key, event_id, COALESCE(sum(floor(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM events) WHERE used < 500")
 def stream_token_budget(t: Tables):
-    return append_to_table(jobs.within_token_budget(_events(t), "user_id", F.floor("value"), 500), "budget")
+    return fold_to_table(_events(t), "budget", jobs.within_token_budget("user_id", F.floor("value"), 500))
 
 
 def _cool_down_sql(seconds: int) -> str:
@@ -85,7 +85,7 @@ def stream_life_cycle(t: Tables):
 
 @query("stream_first_submissions", "J9", "SELECT DISTINCT user_id || '-' || event_type AS job_id FROM events")
 def stream_first_submissions(t: Tables):
-    return append_to_table(jobs.first_submissions(_events(t).withColumn("job_id", F.concat_ws("-", "user_id", "event_type")), late="40 days"), "jobs")
+    return append_to_table(jobs.first_submissions(_events(t).withColumn("job_id", F.concat_ws("-", "user_id", "event_type"))), "jobs")
 
 
 @query("stream_attempts", "J9", "SELECT user_id || '-' || event_type AS job_id, count(*) AS attempts, count(*) < 3 AS may_retry FROM events GROUP BY 1")

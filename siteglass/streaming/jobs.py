@@ -1,5 +1,6 @@
 """Streaming forms of the time-driven behaviours. Windowed counts use built-in aggregation;
-rules that depend on the previous event of a key use one ordered stateful processor."""
+change detection and budgets are batch steps over a state table, which can split a key; rules that fold event by event use
+one ordered stateful processor."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.ordered import running_before, with_previous
+
 # --- fixed values --------------------------------------------------------------------
 RATE_WINDOW, RATE_LIMIT = "15 minutes", 100
 USAGE_WINDOW = "60 seconds"
@@ -94,24 +97,59 @@ def _fold(events: DataFrame, key: str, value: Column, value_type: str, step: Cal
     )
 
 
-def content_changes(events: DataFrame, key: str, content_hash: Column) -> DataFrame:
-    """key, event_id of snapshots whose content differs from the key's previous one."""
+def _keyed(events: DataFrame, key: str, value: Column) -> DataFrame:
+    return events.select(F.col(key).alias("key"), "event_id", "event_time", value.alias("value"))
 
-    def step(state, value, micros):
-        return (value,), state is None or state[0] != value
 
-    return _fold(events, key, content_hash, "string", step, "hash string", "boolean").filter("result").drop("result")
+def _carried(now: DataFrame, before: DataFrame | None, ttl: str) -> DataFrame:
+    """State after a micro-batch: the rows of its keys, and older ones that are not yet ``ttl`` behind its newest event."""
+    if before is None:
+        return now
+    newest = now.agg(F.max("at")).first()[0]
+    old = before.join(now.select(F.col("key").alias("_k")), F.col("key").eqNullSafe(F.col("_k")), "left_anti")
+    young = old if newest is None else old.filter(F.col("at") >= F.lit(newest) - F.expr(f"INTERVAL {ttl}"))
+    return now.unionByName(young.select(now.columns))
 
 
-def within_token_budget(events: DataFrame, key: str, tokens: Column, limit: int) -> DataFrame:
-    """key, event_id of the items scored before the key's budget was used up (the last may overshoot)."""
+def _with_state(rows: DataFrame, before: DataFrame | None, column: str, kind: str) -> DataFrame:
+    if before is None:
+        return rows.withColumn(column, F.lit(None).cast(kind))
+    return rows.join(before.select(F.col("key").alias("_k"), column), F.col("key").eqNullSafe(F.col("_k")), "left").drop("_k")
 
-    def step(state, value, micros):
-        used = state[0] if state else 0
-        allowed = used < limit
-        return (used + int(value or 0) if allowed else used,), allowed
 
-    return _fold(events, key, tokens, "long", step, "used long", "boolean").filter("result").drop("result")
+def content_changes(key: str, content_hash: Column, bucket: str = "hour", ttl: str = "90 days"):
+    """Step: key, event_id of snapshots whose content differs from the key's previous one.
+
+    Inside a micro-batch previous is by time and id, before that it is the last of the micro-batch before: a snapshot is compared
+    on arrival. A key is sorted in slices of ``bucket``; keys idle for ``ttl`` are forgotten, and count as new.
+    """
+
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = _keyed(batch, key, content_hash)
+        near = _with_state(with_previous(rows, ["key"], F.date_trunc(bucket, "event_time"), ["event_time", "event_id"], "value", "_prev"), before, "last", "struct<value: string>")
+        changed = near.filter(~F.coalesce(F.coalesce("_prev", "last")["value"].eqNullSafe(F.col("value")) & F.coalesce("_prev", "last").isNotNull(), F.lit(False)))
+        order = F.struct("event_time", "event_id")
+        now = rows.groupBy("key").agg(F.max_by(F.struct("value"), order).alias("last"), F.max("event_time").alias("at"))
+        return changed.select("key", "event_id"), _carried(now, before, ttl)
+
+    return step
+
+
+def within_token_budget(key: str, tokens: Column, limit: int, bucket: str = "hour", ttl: str = "90 days"):
+    """Step: key, event_id of the items scored before the key's budget was used up (the last may overshoot).
+
+    Tokens are at least zero. Order and expiry are those of :func:`content_changes`.
+    """
+
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = _keyed(batch, key, F.coalesce(tokens, F.lit(0)).cast("long"))
+        running = running_before(rows, ["key"], F.date_trunc(bucket, "event_time"), [F.col("event_time"), F.col("event_id")], F.col("value"), "earlier")
+        kept = _with_state(running, before, "used", "long").filter(F.coalesce("used", F.lit(0)) + F.col("earlier") < limit)
+        sums = _with_state(rows.groupBy("key").agg(F.sum("value").alias("now"), F.max("event_time").alias("at")), before, "used", "long")
+        now = sums.select("key", (F.coalesce("used", F.lit(0)) + F.col("now")).alias("used"), "at")
+        return kept.select("key", "event_id"), _carried(now, before, ttl)
+
+    return step
 
 
 def cool_down(events: DataFrame, key: str, seconds: int = COOL_DOWN_SECONDS) -> DataFrame:

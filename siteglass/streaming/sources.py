@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -40,6 +41,26 @@ def append_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
+def fold_to_table(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Run ``step(batch, state) -> (output, state)`` over all available input; the state is a table with a row per key.
+
+    Each micro-batch reads the state of the one before and writes output and state under its own number, so a replayed batch
+    overwrites itself. The step is batch code: it can split a key over tasks.
+    """
+    spark = stream.sparkSession
+    base = _folder(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{base}/state/batch={number - 1}") if number else None
+        out, after = step(batch, before)
+        out.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+        after.write.mode("overwrite").parquet(f"{base}/state/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{base}/data").parquet(f"{base}/data").drop("batch")
+
+
 def update_to_table(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Run an update-mode aggregation; each micro-batch writes its changed rows under its own number, so a
     replayed batch overwrites itself. The newest row per key is the result."""

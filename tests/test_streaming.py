@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from siteglass.plans.analysis import analyze
 from siteglass.sources.pages import read_pages, stream_pages
 from siteglass.streaming import jobs
-from siteglass.streaming.sources import append_to_table, read_events, update_to_table
+from siteglass.streaming.sources import append_to_table, fold_to_table, read_events, update_to_table
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def split(spark, folder):
 
 def test_changes_across_batches(spark, split):
     events = read_events(spark, split, files_per_trigger=1)
-    got = append_to_table(jobs.content_changes(events, "user_id", F.sha2("event_type", 256)), "t")
+    got = fold_to_table(events, "t", jobs.content_changes("user_id", F.sha2("event_type", 256)))
     batch = spark.read.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{split}/events.parquet")
     prev = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     want = batch.withColumn("p", prev).filter(~F.col("p").eqNullSafe(F.col("event_type"))).select("event_id")
@@ -36,10 +36,40 @@ def test_changes_across_batches(spark, split):
 def test_usage_across_batches(spark, split):
     events = read_events(spark, split, files_per_trigger=1)
     shaped = events.select("event_time", F.col("event_type").alias("endpoint"), F.lit(200).alias("status_code"))
-    got = update_to_table(jobs.usage(shaped, late="40 days"), "u", ["window_start", "endpoint"])
+    got = update_to_table(jobs.usage(shaped), "u", ["window_start", "endpoint"])
     assert got.agg(F.sum("total")).collect()[0][0] == 1000
 
 
+def _write_events(spark, base, name, rows):
+    spark.createDataFrame(rows, "event_id long, minute int, user_id long, event_type string, value double").select(
+        "event_id", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("minute"))).cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", F.lit("{}").alias("props"),
+    ).coalesce(1).write.mode("append").parquet(f"{base}/events.parquet")
+    return name
+
+
+def test_late_rows_are_dropped_and_windows_closed(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+    for i, minute in enumerate((0, 300, 600, 1, 601)):  # the fourth is ten hours late
+        _write_events(spark, base, i, [(i, minute, 1, "view", 1.0)])
+    shaped = read_events(spark, base, files_per_trigger=1).select("event_time", F.col("event_type").alias("endpoint"), F.lit(200).alias("status_code"))
+    got = {r["window_start"].strftime("%H:%M"): r["total"] for r in update_to_table(jobs.usage(shaped), "late", ["window_start", "endpoint"]).collect()}
+    assert got == {"00:00": 1, "05:00": 1, "10:00": 1, "10:01": 1}
+
+
+def test_budget_and_changes_carry_state_and_expire(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+    batches = [[(0, 0, 1, "a", 60.0), (1, 1, 1, "a", 30.0), (2, 2, 2, "a", 10.0), (3, 2, None, "x", 99.0)], [(4, 10, 1, "a", 20.0), (5, 11, 1, "b", 20.0), (6, 12, None, "x", 9.0)], [(7, 60 * 24 * 99, 1, "b", 5.0), (8, 60 * 24 * 99, 2, "a", 5.0)]]
+    for i, rows in enumerate(batches):
+        _write_events(spark, base, i, rows)
+    read = lambda: read_events(spark, base, files_per_trigger=1)
+    changes = {r["event_id"] for r in fold_to_table(read(), "c", jobs.content_changes("user_id", F.col("event_type"), ttl="200 days")).collect()}
+    assert changes == {0, 2, 3, 5}
+    again = {r["event_id"] for r in fold_to_table(read(), "c", jobs.content_changes("user_id", F.col("event_type"), ttl="1 hour")).collect()}
+    assert again == {0, 2, 3, 5}  # keys of the last micro-batch were read before they expired
+    kept = {r["event_id"] for r in fold_to_table(read(), "b", jobs.within_token_budget("user_id", F.col("value"), 100)).collect()}
+    assert kept == {0, 1, 2, 3, 4, 6, 8}
+
+
 def test_life_cycle_rejects_illegal(spark):
     base = tempfile.mkdtemp(prefix="spark-")
     actions = ["resume", "start", "start", "pause", "start", "resume", "complete", "pause"]
@@ -55,7 +85,7 @@ def test_life_cycle_rejects_illegal(spark):
 
 def test_budget_and_cool_down(spark, split):
     events = read_events(spark, split, files_per_trigger=2)
-    kept = append_to_table(jobs.within_token_budget(events, "user_id", F.floor("value"), 100), "b")
+    kept = fold_to_table(events, "b", jobs.within_token_budget("user_id", F.floor("value"), 100))
     first = append_to_table(jobs.cool_down(read_events(spark, split), "user_id", 10**9), "c").filter("allowed")
     users = spark.read.parquet(f"{split}/events.parquet").select("user_id").distinct().count()
     assert first.count() == users and kept.select("key").distinct().count() == users
