@@ -64,8 +64,12 @@ LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
 def labelled_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the labels table covers, with their language as domain."""
-    return docs.join(read(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+    """Documents that the labels table covers, with their language as domain.
+
+    Labels grow with the documents, so they are never broadcast: a small table takes the same plan as a large one.
+    """
+    labelled = read(spark, folder, "labels").select("doc_id").distinct().hint("merge")
+    return docs.join(labelled, "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
 
 
 @query
