@@ -161,6 +161,44 @@ def delta_urls(t: Tables):
     return links.select_urls("delta", _queue(t), changed=changed).distinct()
 
 
+def _bare(url: str) -> str:
+    return f"regexp_replace(regexp_replace({url}, '#.*$', ''), '([^/])/$', '\\1')"
+
+
+# Queue and links up to three hops away, per run; links have priority 0.3 and no place in the order of arrival.
+DISCOVERED = (QUEUE + ", " + _link_sql(f""", e AS (SELECT DISTINCT {_bare('p.url')} AS src, {_bare('target')} AS dst FROM edges JOIN pages p USING (page_id) WHERE own AND target NOT LIKE '%spam%'),
+ walk(run_id, url, depth) AS (SELECT run_id, url, 0 FROM q UNION SELECT run_id, dst, depth + 1 FROM walk JOIN e ON src = url WHERE depth < 3),
+ whole AS (SELECT run_id, url, min(depth) AS depth FROM walk GROUP BY run_id, url),
+ ranked AS (SELECT w.*, row_number() OVER (PARTITION BY w.run_id ORDER BY depth, COALESCE(q.priority, 0.3) DESC, q.pos NULLS FIRST, sha256(w.url)) AS visit FROM whole w LEFT JOIN q ON w.run_id = q.run_id AND w.url = q.url) """).removeprefix("WITH ")).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _discovery(t: Tables, mode: str, **settings) -> DataFrame:
+    pages = E.extract_pages(t.stored_pages).select("page_id", "url", "host", "internal_links")
+    return links.select_urls(mode, _queue(t), pages, 3, exclude=["spam"], **settings)
+
+
+@query("full_run_urls", "L4 L3", DISCOVERED + "SELECT run_id, url, depth FROM whole")
+def full_run_urls(t: Tables):
+    return _discovery(t, "full")
+
+
+@query("sample_run_urls", "L4 E6", DISCOVERED + "SELECT run_id, url, depth FROM ranked WHERE visit <= 60")
+def sample_run_urls(t: Tables):
+    # More than a run's sitemap has, so that found links are among them.
+    return _discovery(t, "sample", sample_size=60)
+
+
+@query("sitemap_run_urls", "L4", QUEUE + "SELECT run_id, url, 0 AS depth FROM q")
+def sitemap_run_urls(t: Tables):
+    return links.select_urls("sitemap_only", _queue(t))
+
+
+@query("manual_run_urls", "L4", WITH_URLS + "SELECT DISTINCT page_id % 5 AS run_id, crawl AS url, 0 AS depth FROM f")
+def manual_run_urls(t: Tables):
+    given = t.raw("pages").select((C("page_id") % 5).alias("run_id"), U.normalize_crawl(C("url")).alias("url")).distinct()
+    return links.select_urls("manual", given)
+
+
 FRONTIER = _link_sql(""", t AS (SELECT DISTINCT regexp_replace(regexp_replace(target, '#.*$', ''), '([^/])/$', '\\1') AS url FROM edges WHERE own),
  b AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '([^/])/$', '\\1') AS url FROM pages)""")
 
