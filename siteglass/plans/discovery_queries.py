@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls as U
 from ..operators import extraction as E
-from ..operators import links, vectors
+from ..operators import history, links, ordered, vectors
 from ..sources import robots, sitemaps
 from .bindings import Tables
 from .page_queries import WITH_URLS, _link_sql
@@ -155,9 +155,13 @@ def sampled_queue(t: Tables):
     return links.sample(_queue(t), 7).select("run_id", "url", "visit")
 
 
-@query("delta_urls", "L4 E3", QUEUE + "SELECT DISTINCT run_id, url, 0 AS depth FROM q WHERE url IN (SELECT crawl FROM f WHERE page_id % 2 = 0)")
+@query("delta_urls", "L4 E3", QUEUE + """, c AS (SELECT user_id, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS changed,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events)
+ SELECT DISTINCT run_id, url, 0 AS depth FROM q WHERE url IN (SELECT crawl FROM f JOIN c ON user_id = page_id WHERE back = 1 AND changed)""")
 def delta_urls(t: Tables):
-    changed = t.raw("pages").filter("page_id % 2 = 0").select(U.normalize_crawl(C("url")).alias("url"))
+    # Pages whose latest snapshot differs from the one before.
+    last = ordered.latest(history.with_change(t.snapshots), ["page_id"], ["snapshot_at", "snapshot_id"], ["changed"]).filter("changed")
+    changed = t.raw("pages").join(last, "page_id").select(U.normalize_crawl(C("url")).alias("url"))
     return links.select_urls("delta", _queue(t), changed=changed).distinct()
 
 
@@ -228,11 +232,11 @@ def orphan_pages(t: Tables):
     return links.orphans(t.raw("pages").select("page_id", "url"), edges).select("page_id")
 
 
-@query("hop_depths", "L3", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
+@query("hop_depths", "L3", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION SELECT l_suppkey, l_partkey FROM lineitem),
  b(node, depth) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM b JOIN e ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY node""")
 def hop_depths(t: Tables):
     one = t.raw("lineitem").select(C("l_partkey").alias("src"), C("l_suppkey").alias("dst"))
-    two = t.raw("lineitem").filter("l_returnflag = 'R' and l_linenumber = 1").select(C("l_suppkey").alias("src"), C("l_partkey").alias("dst"))
+    two = t.raw("lineitem").select(C("l_suppkey").alias("src"), C("l_partkey").alias("dst"))
     root = t.raw("part").filter("p_partkey = 7").select(C("p_partkey").alias("node"))
     return links.hop_depths(one.unionByName(two), root, 3)
 
