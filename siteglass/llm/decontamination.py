@@ -40,11 +40,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(numbered), F.lit(TOKEN), F.lit(0))
 
 
-def templates(rows: DataFrame, window: int, *keys: str) -> DataFrame:
-    """(keys, hashes, literal, slots): a hash per template token, whether it is a literal, and (index, type, value) of the slots."""
+def templates(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, plain, hashes, literal, slots): hashes per token of its value and of its template form, whether it is a literal, and
+    (index, type, value) of the slots."""
     cut = rows.select(*keys, tokens(F.col("text")).alias("_tokens"))
     return cut.select(
         *keys,
+        F.transform("_tokens", lambda w: F.xxhash64(F.when(w.startswith(MARK + "n"), F.substring(w, 3, 1 << 20)).otherwise(w))).alias("plain"),
         F.transform("_tokens", lambda w: F.xxhash64(F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))).alias("hashes"),
         F.transform("_tokens", lambda w: (~w.startswith(MARK)).cast("int")).alias("literal"),
         F.filter(
@@ -54,48 +56,68 @@ def templates(rows: DataFrame, window: int, *keys: str) -> DataFrame:
     )
 
 
-def windows(made: DataFrame, window: int, *keys: str) -> DataFrame:
-    """A row per window: its hash and position. Fewer tokens than a window give one window of them all; none give none."""
-    last = F.size("hashes") - window
-    rows = made.where(F.size("hashes") > 0).select("*", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias("pos"))
-    whole = F.xxhash64(*[F.get("hashes", F.col("pos") + i) for i in range(window)])  # what lies beyond the end is null and adds nothing
-    return rows.select(*keys, "pos", whole.alias("h"))
+def hashed(form: str, length: int) -> Column:
+    """Hash of the window at ``pos``; what lies beyond the end is null and adds nothing."""
+    return F.xxhash64(*[F.get(form, F.col("pos") + i) for i in range(length)])
+
+
+def item_windows(made: DataFrame, window: int, *keys: str) -> DataFrame:
+    """(keys, size, p, rich, h): hashes of each window of an item, by its values and, where it has literals enough (``rich``), by its template.
+
+    Fewer tokens than a window give one window of them all; none give none.
+    """
+    rows = made.where(F.size("hashes") > 0).select("*", F.size("hashes").alias("size"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("hashes") - window, F.lit(0)))).alias("pos"))
+    literals = F.aggregate(F.slice("literal", F.col("pos") + 1, window), F.lit(0), lambda a, x: a + x)
+    judged = rows.select(*keys, "size", F.col("pos").alias("p"), (literals >= F.least(F.lit(LITERALS), F.col("size"))).alias("rich"), hashed("plain", window).alias("plain"), hashed("hashes", window).alias("form"))
+    return judged.select(*keys, "size", "p", "rich", F.explode(F.array("plain", F.when(F.col("rich") & (F.col("form") != F.col("plain")), F.col("form")))).alias("h")).where("h is not null")
+
+
+def document_windows(made: DataFrame, lengths: list[int], *keys: str) -> DataFrame:
+    """(keys, pos, h): hashes of the windows of each length, by values and, where that differs, by template."""
+    size, least = F.size("hashes"), min(lengths)
+    rows = made.where(size >= least).select("*", F.explode(F.sequence(F.lit(0), size - least)).alias("pos"))
+    names = [(f"_{form}{n}", form, n) for n in lengths for form in ("plain", "hashes")]
+    cut = rows.select(*keys, "pos", size.alias("_size"), *[hashed(form, n).alias(name) for name, form, n in names])
+    there = lambda n, c: c if n == least else F.when(F.col("pos") + n <= F.col("_size"), c)
+    each = [there(n, c) for n in lengths for c in (F.col(f"_plain{n}"), F.when(F.col(f"_hashes{n}") != F.col(f"_plain{n}"), F.col(f"_hashes{n}")))]
+    return cut.select(*keys, "pos", F.explode(F.array(*each)).alias("h")).where("h is not null")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """Pairs of a document and a benchmark item it holds, per distinct document row.
 
-    doc_id, doc_key (hash of id and text), item_id, n_windows (template windows of the item that the document has), item_windows, coverage
-    (their share), start_token and end_token of the best alignment, n_slots (aligned slots), slot_consistency (distinct item values per
-    distinct pair of values; 1 without slots), kind ('verbatim' where all slots agree, else 'reparameterised').
-    Returned are pairs with at least the given coverage and consistency. Windows with fewer than four literal words are not
-    looked up. Items under ``window`` tokens match documents of just these tokens. Null and empty texts match nothing; null ids are kept;
+    doc_id, doc_key (hash of id and text), item_id, n_windows (windows of the item that the document has), item_windows, coverage
+    (their share, of all windows or of those with literals enough, whichever is more), start_token and end_token of the best alignment,
+    n_slots (aligned slots), slot_consistency (distinct item values per distinct pair of values; 1 without slots), kind ('verbatim' where all
+    slots agree, else 'reparameterised').
+    Returned are pairs with at least the given coverage and consistency. Every window is looked up by its words and slot values, and those with
+    at least four literal words by their template, too. An item under ``window`` tokens is one window of its own length, which is looked up
+    at each place of a document. Null and empty texts match nothing; null ids are kept;
     repeated rows of a document, and of an item, count once; an empty table gives an empty result; other columns are ignored.
     """
-    literal = F.aggregate(F.slice("literal", F.col("pos") + 1, window), F.lit(0), lambda a, x: a + x)
-    items = templates(benchmark.select("item_id", "text").distinct(), window, "item_id")
-    item_windows = windows(items, window, "item_id", "hashes", "literal", "slots")
-    item_windows = item_windows.where(literal >= F.least(F.lit(LITERALS), F.size("hashes"))).select("item_id", "h", F.col("pos").alias("p"))
-    known = item_windows.cache()
-    n_known = known.count()
-    side = F.broadcast(known) if n_known <= BROADCAST_WINDOWS else known
+    items = templates(benchmark.select("item_id", "text").distinct(), "item_id")
+    known = item_windows(items, window, "item_id").cache()
+    # The lengths are at most ``window`` numbers.
+    seen = known.agg(F.count("*").alias("n"), F.collect_set(F.least("size", F.lit(window))).alias("lengths")).first()
+    side = F.broadcast(known) if seen.n <= BROADCAST_WINDOWS else known
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"))
-    found = windows(templates(keyed, window, "doc_id", "doc_key"), window, "doc_id", "doc_key", "slots").join(side, "h")
+    found = document_windows(templates(keyed, "doc_id", "doc_key"), sorted(seen.lengths) or [window], "doc_id", "doc_key", "slots").join(side, "h")
     lines = found.groupBy("doc_key", "doc_id", "item_id", (F.col("pos") - F.col("p")).alias("shift")).agg(
-        F.countDistinct("p").alias("n"), F.min("p").alias("first"), F.max("p").alias("last"), F.first("slots").alias("slots")
+        F.countDistinct("p").alias("n"), F.countDistinct(F.when(F.col("rich"), F.col("p"))).alias("n_rich"), F.min("p").alias("first"), F.max("p").alias("last"), F.first("slots").alias("slots")
     )
     best = lines.groupBy("doc_key", "doc_id", "item_id").agg(
-        F.sum("n").alias("n"), F.max_by(F.struct("shift", "first", "last"), F.struct("n", -F.col("shift"))).alias("at"), F.first("slots").alias("slots")
+        F.sum("n").alias("n"), F.sum("n_rich").alias("n_rich"), F.max_by(F.struct("shift", "first", "last"), F.struct("n", -F.col("shift"))).alias("at"), F.first("slots").alias("slots")
     )
-    sizes = known.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    sizes = known.groupBy("item_id").agg(F.countDistinct("p").alias("item_windows"), F.countDistinct(F.when(F.col("rich"), F.col("p"))).alias("rich_windows"), F.min(F.least("size", F.lit(window))).alias("length"))
     held = items.select("item_id", F.col("slots").alias("item_slots")).join(sizes, "item_id")
-    joined = best.join(held, "item_id").withColumn("n_windows", F.least("n", "item_windows")).withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
+    share = F.greatest(F.col("n_windows") / F.col("item_windows"), F.least("n_rich", "rich_windows") / F.nullif("rich_windows", F.lit(0)))
+    joined = best.join(held, "item_id").withColumn("n_windows", F.least("n", "item_windows")).withColumn("coverage", share).where(F.col("coverage") >= coverage)
     there = F.map_from_arrays(F.transform("slots", lambda s: s["i"]), F.transform("slots", lambda s: F.concat(s["type"], s["value"])))
     aligned = joined.withColumn("there", there).withColumn(
         "pairs",
         F.filter(
             F.transform(
-                F.filter("item_slots", lambda s: (s["i"] >= F.col("at.first")) & (s["i"] < F.col("at.last") + window)),
+                F.filter("item_slots", lambda s: (s["i"] >= F.col("at.first")) & (s["i"] < F.col("at.last") + F.col("length"))),
                 lambda s: F.struct(F.concat(s["type"], s["value"]).alias("item"), F.try_element_at(F.col("there"), s["i"] + F.col("at.shift")).alias("doc")),
             ),
             lambda x: x["doc"].isNotNull(),
@@ -105,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     checked = aligned.withColumn("slot_consistency", F.when(of_both == 0, F.lit(1.0)).otherwise(of_item / of_both)).where(F.col("slot_consistency") >= consistency)
     return checked.select(
         "doc_id", "doc_key", "item_id", "n_windows", "item_windows", "coverage", (F.col("at.first") + F.col("at.shift")).alias("start_token"),
-        (F.col("at.last") + F.col("at.shift") + window).alias("end_token"), F.size("pairs").alias("n_slots"), "slot_consistency",
+        (F.col("at.last") + F.col("at.shift") + F.col("length")).alias("end_token"), F.size("pairs").alias("n_slots"), "slot_consistency",
         F.when(F.exists("pairs", lambda x: x["item"] != x["doc"]), "reparameterised").otherwise("verbatim").alias("kind"),
     )
 

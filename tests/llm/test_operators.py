@@ -365,6 +365,22 @@ def test_contamination_against_plain_windows(spark, monkeypatch):
     assert {(x.doc_id, x.item_id): x.n_windows for x in decontamination.contamination(docs, bench).collect()} == want
 
 
+def test_short_items_and_items_of_numbers(spark):
+    items = ["What is 12 * 7 + 9 - 3?", "Compute 14 + 7, 8 - 3, 9 * 2 and 5 + 6.", "What is the capital of France?", "lorem dolor"]
+    r = random.Random(2)
+    rows = [(i, f"{sentence(r, 30)} {t} {sentence(r, 30)}") for i, t in enumerate(items)] + [(10, items[2]), (11, sentence(r, 50)), (12, "12 * 7"), (13, "lorem")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontamination.contamination(docs, bench).collect()}
+    assert set(got) == {(i, i) for i in range(4)} | {(10, 2)} and {x.kind for x in got.values()} == {"verbatim"}
+    assert all(x.coverage == 1 and x.n_windows == x.item_windows for x in got.values())
+    assert got[10, 2].end_token - got[10, 2].start_token == 6 and got[3, 3].end_token - got[3, 3].start_token == 2
+    # Only windows rich in numbers are lost where the values change.
+    item = "A box holds 3 red, 4 blue, 5 green, 6 white and 7 black balls of the same size and weight"
+    changed = item.replace("3", "13").replace("4", "14").replace("5", "15").replace("6", "16").replace("7", "17")
+    got = decontamination.contamination(spark.createDataFrame([(1, changed)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [x.kind for x in got] == ["reparameterised"] and got[0].coverage == 1
+
+
 # --- op7 ---------------------------------------------------------------------------------
 
 def test_rates_meet_targets(spark, docs, nothing):
