@@ -381,6 +381,17 @@ def test_short_items_and_items_of_numbers(spark):
     assert [x.kind for x in got] == ["reparameterised"] and got[0].coverage == 1
 
 
+def test_repeated_phrases_and_long_items(spark):
+    r = random.Random(4)
+    word = lambda n: " ".join(sentence(r, n).lower().replace(".", "").split())
+    item, long = word(17), word(300)  # 10 and 293 windows
+    phrase, part = " ".join(item.split()[:8]), " ".join(long.split()[100:180])
+    rows = [(1, f"{phrase} {word(5)} {phrase} {word(6)} {phrase}"), (2, f"{word(9)} {part} {word(9)}"), (3, " ".join(long.split()[:22])), (5, " ".join(long.split()[:23])), (4, f"{item} {item}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, item), (1, long)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_windows, x.end_token - x.start_token) for x in decontamination.contamination(docs, bench).collect()}
+    assert got == {(2, 1): (73, 80), (4, 0): (10, 17), (5, 1): (16, 23)}
+
+
 # --- op7 ---------------------------------------------------------------------------------
 
 def test_rates_meet_targets(spark, docs, nothing):
