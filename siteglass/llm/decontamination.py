@@ -89,17 +89,18 @@ def document_windows(made: DataFrame, lengths: list[int], *keys: str) -> DataFra
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY, run: int = RUN) -> DataFrame:
     """Pairs of a document and a benchmark item it holds, per distinct document row.
 
-    doc_id, doc_key (hash of id and text), item_id, n_windows (distinct windows of the item that the document has), item_windows, coverage
+    doc_id, doc_key (hash of id and text), item_id, item_key (hash of id and text), n_windows (distinct windows of the item that the document has), item_windows, coverage
     (their share, of all windows or of those with literals enough, whichever is more), start_token and end_token of the best alignment,
     n_slots (aligned slots), slot_consistency (distinct item values per distinct pair of values; 1 without slots), kind ('verbatim' where all
     slots agree, else 'reparameterised').
     Returned are pairs with at least the given coverage, or ``run`` tokens of the item in a row, and at least the given consistency. Every window is looked up by its words and slot values, and those with
     at least four literal words by their template, too. An item under ``window`` tokens is one window of its own length, which is looked up
-    at each place of a document. Null and empty texts match nothing; null ids are kept;
+    at each place of a document. Null and empty texts match nothing; null ids are kept,
+    and different texts of one item_id are items of their own;
     repeated rows of a document, and of an item, count once; an empty table gives an empty result; other columns are ignored.
     """
-    items = templates(benchmark.select("item_id", "text").distinct(), "item_id")
-    known = item_windows(items, window, "item_id").cache()
+    items = templates(benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("item_key")).distinct(), "item_id", "item_key")
+    known = item_windows(items, window, "item_key").cache()
     # The lengths are at most ``window`` numbers.
     seen = known.agg(F.count("*").alias("n"), F.collect_set(F.least("size", F.lit(window))).alias("lengths")).first()
     side = F.broadcast(known) if seen.n <= BROADCAST_WINDOWS else known
@@ -107,23 +108,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     found = document_windows(templates(keyed, "doc_id", "doc_key"), sorted(seen.lengths) or [window], "doc_id", "doc_key", "slots").join(side, "h")
     # Of the slots only those beside the item go on. A pair of windows counts once, whatever form it was found by.
     near = F.filter("slots", lambda x: (x["i"] >= F.col("shift")) & (x["i"] < F.col("shift") + F.col("size")))
-    pairs = found.withColumn("shift", F.col("pos") - F.col("p")).withColumn("slots", near).groupBy("doc_key", "doc_id", "item_id", "shift", "p").agg(F.first("rich").alias("rich"), F.first("slots").alias("slots"))
+    pairs = found.withColumn("shift", F.col("pos") - F.col("p")).withColumn("slots", near).groupBy("doc_key", "doc_id", "item_key", "shift", "p").agg(F.first("rich").alias("rich"), F.first("slots").alias("slots"))
     # An item window that a document repeats is new on one shift only.
-    line, again = Window.partitionBy("doc_key", "doc_id", "item_id", "shift").orderBy("p"), Window.partitionBy("doc_key", "doc_id", "item_id", "p").orderBy("shift")
+    line, again = Window.partitionBy("doc_key", "doc_id", "item_key", "shift").orderBy("p"), Window.partitionBy("doc_key", "doc_id", "item_key", "p").orderBy("shift")
     marked = pairs.withColumn("new", (F.row_number().over(again) == 1).cast("int")).withColumn("island", F.col("p") - F.row_number().over(line))
-    runs = marked.groupBy("doc_key", "doc_id", "item_id", "shift", "island").agg(
+    runs = marked.groupBy("doc_key", "doc_id", "item_key", "shift", "island").agg(
         F.count("*").alias("n"), F.sum("new").alias("new"), F.sum(F.col("new") * F.col("rich").cast("int")).alias("rich"), F.min("p").alias("first"), F.max("p").alias("last"), F.first("slots").alias("slots")
     )
-    lines = runs.groupBy("doc_key", "doc_id", "item_id", "shift").agg(
+    lines = runs.groupBy("doc_key", "doc_id", "item_key", "shift").agg(
         F.sum("n").alias("n"), F.max("n").alias("run"), F.sum("new").alias("new"), F.sum("rich").alias("rich"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("slots").alias("slots")
     )
-    best = lines.groupBy("doc_key", "doc_id", "item_id").agg(
+    best = lines.groupBy("doc_key", "doc_id", "item_key").agg(
         F.sum("new").alias("n_windows"), F.sum("rich").alias("n_rich"), F.max("run").alias("run"), F.max_by(F.struct("shift", "first", "last", "slots"), F.struct("n", -F.col("shift"))).alias("at")
     ).withColumn("slots", F.col("at.slots"))
-    sizes = known.groupBy("item_id").agg(F.countDistinct("p").alias("item_windows"), F.countDistinct(F.when(F.col("rich"), F.col("p"))).alias("rich_windows"), F.min(F.least("size", F.lit(window))).alias("length"))
-    held = items.select("item_id", F.col("slots").alias("item_slots")).join(sizes, "item_id")
+    sizes = known.groupBy("item_key").agg(F.countDistinct("p").alias("item_windows"), F.countDistinct(F.when(F.col("rich"), F.col("p"))).alias("rich_windows"), F.min(F.least("size", F.lit(window))).alias("length"))
+    held = items.select("item_id", "item_key", F.col("slots").alias("item_slots")).join(sizes, "item_key")
     share = F.greatest(F.col("n_windows") / F.col("item_windows"), F.col("n_rich") / F.nullif("rich_windows", F.lit(0)))
-    joined = best.join(held, "item_id").withColumn("coverage", share).where((F.col("coverage") >= coverage) | (F.col("run") + F.col("length") > run))
+    joined = best.join(held, "item_key").withColumn("coverage", share).where((F.col("coverage") >= coverage) | (F.col("run") + F.col("length") > run))
     there = F.map_from_arrays(F.transform("slots", lambda s: s["i"]), F.transform("slots", lambda s: F.concat(s["type"], s["value"])))
     aligned = joined.withColumn("there", there).withColumn(
         "pairs",
@@ -138,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     of_item, of_both = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))), F.size(F.array_distinct("pairs"))
     checked = aligned.withColumn("slot_consistency", F.when(of_both == 0, F.lit(1.0)).otherwise(of_item / of_both)).where(F.col("slot_consistency") >= consistency)
     return checked.select(
-        "doc_id", "doc_key", "item_id", "n_windows", "item_windows", "coverage", (F.col("at.first") + F.col("at.shift")).alias("start_token"),
+        "doc_id", "doc_key", "item_id", "item_key", "n_windows", "item_windows", "coverage", (F.col("at.first") + F.col("at.shift")).alias("start_token"),
         (F.col("at.last") + F.col("at.shift") + F.col("length")).alias("end_token"), F.size("pairs").alias("n_slots"), "slot_consistency",
         F.when(F.exists("pairs", lambda x: x["item"] != x["doc"]), "reparameterised").otherwise("verbatim").alias("kind"),
     )

@@ -392,6 +392,16 @@ def test_repeated_phrases_and_long_items(spark):
     assert got == {(2, 1): (73, 80), (4, 0): (10, 17), (5, 1): (16, 23)}
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    r = random.Random(8)
+    items = [sentence(r, 20) for _ in range(6)]
+    docs = spark.createDataFrame([(i, f"{sentence(r, 20)} {t}") for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7 if i < 5 else None, t) for i, t in enumerate(items)], "item_id long, text string")
+    got = decontamination.contamination(docs, bench).collect()
+    assert sorted((x.doc_id, x.item_id or 0, x.n_windows, x.item_windows) for x in got) == [(i, 7 if i < 5 else 0, 13, 13) for i in range(6)]
+    assert len({x.item_key for x in got}) == 6 and decontamination.without_contaminated(docs, bench).count() == 0
+
+
 # --- op7 ---------------------------------------------------------------------------------
 
 def test_rates_meet_targets(spark, docs, nothing):
