@@ -402,6 +402,18 @@ def test_items_that_share_an_id_or_have_none(spark):
     assert len({x.item_key for x in got}) == 6 and decontamination.without_contaminated(docs, bench).count() == 0
 
 
+def test_names_where_sentences_begin_and_case(spark):
+    items = ["Tom has 12 apples. Sarah gives him 5 more.", "At the market of Boston the baker Miller sells bread to Anna and Peter near the old Harbour bridge", 'He said: "Robert counts the birds (Linda counts the trees) in the garden"']
+    docs = spark.createDataFrame([
+        (0, "Mary has 31 apples. Laura gives him 8 more."), (1, items[1].lower()), (2, items[1].upper()), (3, items[0].upper()),
+        (4, items[2].replace("Robert", "Walter").replace("Linda", "Emma")), (5, "Tom likes pears. Sarah gives them 5 nuts."),
+    ], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontamination.contamination(docs, bench).collect()}
+    assert {k: x.kind for k, x in got.items()} == {(0, 0): "reparameterised", (1, 1): "verbatim", (2, 1): "verbatim", (3, 0): "verbatim", (4, 2): "reparameterised"}
+    assert all(got[k].coverage == 1 for k in ((1, 1), (2, 1), (3, 0))) and got[0, 0].slot_consistency == 1
+
+
 # --- op7 ---------------------------------------------------------------------------------
 
 def test_rates_meet_targets(spark, docs, nothing):
