@@ -1,14 +1,15 @@
 """Mixing to target weights with soft domain membership.
 
-A naive Bayes classifier over byte pairs, learned from a labelled table, gives each document posteriors over the domains. Projected
-gradient descent then fits a rate of at least zero per document, such that the expected tokens of each domain meet its share of
+A naive Bayes classifier over byte pairs, learned from a labelled table, gives each document posteriors over the domains. A projected
+gradient method then fits a rate of at least zero per document, such that the expected tokens of each domain meet its share of
 the total. A gradient is one number per domain, so an iteration is one aggregation of the documents' posteriors and nothing
-but the gradients reaches the driver; a document's rate is a fold over the gradients so far.
+but the gradients reaches the driver; a document's rate is one projection of their sum.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import SPACES, kept, made, text_slices
 
 CODES = 1 << 16
-ITERATIONS, TOLERANCE = 60, 1e-4
+#: No limit: the fit ends at the tolerance or at the optimum.
+ITERATIONS, TOLERANCE, LEAST_WEIGHT = None, 1e-4, 1e-10
 
 # Lower case for A-Z; other bytes stay as they are.
 LOWER = np.arange(256, dtype=np.uint32)
@@ -94,29 +96,62 @@ def rate(gradients: list[list[float]], posterior: Column) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - shift(g)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], iterations: int | None = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
     """Gradient steps for rows (n tokens, p posteriors), and the shares reached.
 
     Minimises the squared distance between expected domain totals and ``targets`` (shares of all tokens) over rates of at least
     zero, in the metric of the documents' tokens: a step changes a rate by the document's posteriors, whatever its length.
-    The step is the inverse of the largest row sum of the totals' Gram matrix, so every step lowers the distance.
+    Steps are summed and projected once: a rate is max(0, 1 - p . v). The penalty ``weight`` / 2 times the squared distance of the rates from 1 makes v unique;
+    it shrinks until the targets are met or it is negligible, which is the optimum where they can't be met. Each step is preconditioned by
+    the inverse Gram matrix of the documents with a rate above zero and halved until it lowers the dual objective, so few aggregations do at any skew.
+    None for ``iterations`` (aggregations after the first) sets no limit.
     """
-    k = len(targets)
-    total_of = lambda value: [F.sum(F.col("n") * value * F.get("p", F.lit(i))).alias(str(i)) for i in range(k)]
-    first = rows.agg(F.sum("n").alias("n"), *total_of(F.lit(1.0)), *[F.sum(F.col("n") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-    if not first.n:
+    k, target = len(targets), np.array(targets, dtype=float)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def totals(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares, Gram matrix of the rows with a rate above zero and mean squared rate, at the rates of ``v``."""
+        rated = rows.select("n", "p", rate([v.tolist()], F.col("p")).alias("r"))
+        at, live = (lambda i: F.get("p", F.lit(i))), F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
+        got = rated.agg(F.sum("n"), F.sum(F.col("n") * F.col("r") * F.col("r")), *[F.sum(F.col("n") * F.col("r") * at(i)) for i in range(k)], *[F.sum(live * at(i) * at(j)) for i, j in pairs]).first()
+        if not got[0]:
+            return np.zeros(k), np.zeros((k, k)), -1.0
+        values, gram = np.array(got[1:], dtype=float) / got[0], np.zeros((k, k))
+        for (i, j), x in zip(pairs, values[1 + k:]):
+            gram[i, j] = gram[j, i] = x
+        return values[1:1 + k], gram, values[0]
+
+    v, weight, used = np.zeros(k), 1e-2, 0
+    shares, gram, square = totals(v)
+    if square < 0:
         return [], [0.0] * k
-    gram = np.array([[first[f"g{i}_{j}"] for j in range(k)] for i in range(k)]) / first.n
-    step = 1 / max(gram.sum(1).max(), 1e-12)
-    shares, gradients = np.array([first[str(i)] for i in range(k)]) / first.n, []
-    while len(gradients) < iterations and np.abs(shares - targets).max() > tolerance:
-        gradients.append([float(x) for x in step * (shares - targets)])
-        got = rows.agg(*total_of(rate(gradients, F.col("p")))).first()
-        shares = np.array([got[str(i)] for i in range(k)]) / first.n
-    return gradients, [float(x) for x in shares]
-
-
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, columns: list[str] | None = None, iterations: int = ITERATIONS) -> DataFrame:
+    open_ended = lambda: iterations is None or used < iterations
+    while np.abs(shares - target).max() > tolerance and open_ended():
+        slope = shares - target - weight * v
+        if np.abs(slope).max() <= tolerance / 10:
+            if weight <= LEAST_WEIGHT:
+                break
+            weight /= 100
+            continue
+        step = np.linalg.solve(gram + weight * np.eye(k), slope)
+        dual, gain, length = square / 2 + target @ v + weight / 2 * (v @ v), slope @ step, 1.0
+        while open_ended():
+            near, used = v + length * step, used + 1
+            found = totals(near)
+            if found[2] / 2 + target @ near + weight / 2 * (near @ near) <= dual - 1e-4 * length * gain:
+                v, (shares, gram, square) = near, found
+                break
+            length /= 2
+            if length < 1e-9:  # as low as doubles tell
+                break
+        if length < 1e-9:
+            if weight <= LEAST_WEIGHT:
+                break
+            weight /= 100
+    return [v.tolist()], [float(x) for x in shares]
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, columns: list[str] | None = None, iterations: int | None = ITERATIONS) -> DataFrame:
     """``docs``, its given ``columns`` (None: all), with n_words, p_<domain> for each domain, rate and copies.
 
     ``labelled`` (text, domain) teaches the domains. ``targets``: weight per domain, scaled to sum 1, missing ones are 0; None gives
@@ -124,6 +159,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     up or down by a hash of id and text. Words (white-space separated) are the tokens that totals count. Null and
     empty texts have 0 words, the prior as posteriors, and a rate like any other; repeated rows and null ids are rated each. No labelled
     rows: no p_ columns, rate 1. Columns of ``docs`` with one of the new names are replaced. Domains that no document has can't reach a target; the rest is then fitted as closely as squares allow.
+    The metadata of a p_ column has the domain's target and the share reached; a target that is missed gives a warning.
     """
     names, prior, likelihood = learn_domains(labelled)
     bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))
@@ -137,8 +173,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     drawn = (F.xxhash64("doc_id", "text", F.lit("draw")) % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
     carried = docs.select("text", F.struct(*shown).alias("row"), words.alias("n"), drawn.alias("draw"))
     rows = kept(posteriors(carried, prior, likelihood, ["row", "n", "draw"]), "posteriors")
-    gradients, _ = fit_rates(rows.select("n", "p"), [w / scale for w in weights], iterations)
+    targets = [w / scale for w in weights]
+    gradients, shares = fit_rates(rows.select("n", "p"), targets, iterations)
+    if max(abs(a - b) for a, b in zip(shares, targets)) > TOLERANCE:
+        warnings.warn(f"target shares not met: {dict(zip(names, targets))}, reached: {dict(zip(names, shares))}", stacklevel=2)
     return rows.select(
-        "row.*", F.col("n").cast("long").alias("n_words"), *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)],
+        "row.*", F.col("n").cast("long").alias("n_words"), *[F.get("p", F.lit(i)).alias(f"p_{n}", metadata={"target": targets[i], "reached": shares[i]}) for i, n in enumerate(names)],
         rate(gradients, F.col("p")).alias("rate"), F.floor(rate(gradients, F.col("p")) + F.col("draw")).alias("copies"),
     )

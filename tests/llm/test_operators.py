@@ -451,6 +451,18 @@ def test_rates_stay_nonnegative_where_targets_cannot_be_met(spark):
 
 # --- op8 ---------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("sizes", [(90, 6, 3, 1), (970, 10, 10, 10)])
+def test_rates_meet_targets_of_rare_domains(spark, sizes):
+    """Near-hard posteriors with a hot domain; the shares reached are on the columns, too."""
+    rows = [(float(20 + j % 7), [0.997 if d == i else 0.001 for d in range(4)]) for i, size in enumerate(sizes) for j in range(size)]
+    frame, targets = spark.createDataFrame(rows, "n double, p array<double>"), [0.5, 0.2, 0.2, 0.1]
+    gradients, shares = mixing.fit_rates(frame, targets)
+    fitted = frame.select("n", "p", mixing.rate(gradients, F.col("p")).alias("r")).collect()
+    got = [sum(x.n * x.r * x.p[d] for x in fitted) / sum(x.n for x in fitted) for d in range(4)]
+    assert np.allclose(got, targets, atol=2e-4) and np.allclose(got, shares) and min(x.r for x in fitted) >= 0
+    assert len(mixing.fit_rates(frame, [1.0, 0.0, 0.0, 0.0])[1]) == 4
+
+
 def test_archives_round_trip(spark, tmp_path):
     r = random.Random(6)
     html = ["", None, "x", "<p>café</p>", *[f"<html>{sentence(r, 50)}</html>" for _ in range(200)]]
