@@ -1,7 +1,7 @@
 """Chat transcripts: roles recovered by a hidden Markov model, turns rendered in one canonical form.
 
 A line's hidden state is the role that speaks and whether its turn begins there. Observed are the class of speaker marker, the
-length and whether the line asks. Counts of labelled transcripts give the probabilities. A long transcript is cut into blocks of turns; a block
+length and whether the line asks. Counts of labelled transcripts give the probabilities. A long transcript is cut into blocks of rows by position; a block
 sums up the best path from each state before it to each state at its end, the blocks of a transcript are chained, and each
 block is then decoded between its fixed ends. So a transcript of any length is decoded exactly, and no task holds more than blocks.
 """
@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.ordered import BEFORE, ranked
 from .common import fold, kept
 
 ROLES = ("system", "user", "assistant")
@@ -54,13 +55,24 @@ SYMBOLS = MARKER_CLASSES * LENGTHS * 2
 
 
 def lines_of(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, block, place, role, lines) of turns; place orders turns of equal number."""
-    ordered = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    return ordered.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK))
+    """(conv_id, turn, role, text, place, block) of distinct turns. The place is the row's number in its transcript, from 0, by turn (null
+    first), role, and hash of the text; a block is BLOCK places.
+
+    Rows are numbered inside ranges of turns, and there inside ranges of hashes for each turn and role, so rows of one turn, or of all
+    null ids, never come together.
+    """
+    lines = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    cut = lines.withColumn("_range", F.floor(F.col("turn") / BLOCK)).withColumn("_hash", F.xxhash64("text"))
+    inside = ranked(cut, ["conv_id", "_range"], F.struct("turn", "role", F.shiftright("_hash", 52)), [F.col(c) for c in ("turn", "role", "_hash", "text")], "_in")
+    before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(*BEFORE)
+    sizes = cut.groupBy("conv_id", "_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select(F.col("conv_id").alias("_c"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = inside.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return placed.select("conv_id", "turn", "role", "text", (F.col("_start") + F.col("_in") - 1).alias("place")).withColumn("block", F.floor(F.col("place") / BLOCK))
 
 
 def as_transcripts(turns: DataFrame, unmarked: int = 4) -> DataFrame:
-    """Transcript pieces (conv_id, turn, block, role, text) as people paste them: markers of a style that depends on the transcript; one
+    """Transcript pieces (conv_id, turn, role, text, place, block) as people paste them: markers of a style that depends on the transcript; one
     turn in ``unmarked`` has none. The role stays beside the text only for learning and for tests."""
     styles = [("System: ", "User: ", "Assistant: "), ("[system] ", "[human] ", "[bot] "), ("Context: ", "Q: ", "A: "), ("**system**: ", "**me**: ", "**ai**: "), ("<|system|> ", "<|customer|> ", "<|agent|> ")]
     style = F.abs(F.xxhash64("conv_id", F.lit("style"))) % len(styles)
@@ -75,8 +87,8 @@ def as_transcripts(turns: DataFrame, unmarked: int = 4) -> DataFrame:
 def learn(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(transitions, emissions) as logarithms, from labelled pieces; row STATES of the transitions is the start.
 
-    All labelled pieces are counted, with one half added to each count. A turn's forerunner is found by a join on its number, so a very long
-    transcript does not come together.
+    All labelled pieces are counted, with one half added to each count. A piece's forerunner is found by a join on its place, so a very long
+    transcript does not come together, and pieces of equal number are not paired.
     """
     known = pieces.where(F.col("role").isin(*ROLES))
     state = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int") - 1
@@ -90,9 +102,9 @@ def learn(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     emissions = np.full((STATES, SYMBOLS), 0.5)
     for r in emitted:
         emissions[r.state, r.symbol] += r.n
-    here = known.select("conv_id", "turn", state.alias("state"), F.size(F.split("text", "\n")).alias("k"))
-    before = here.select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"), F.col("state").alias("p"), (F.col("k") > 1).alias("long"))
-    joined = here.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left")
+    here = known.select("conv_id", "place", state.alias("state"), F.size(F.split("text", "\n")).alias("k"))
+    before = here.select(F.col("conv_id").alias("c"), (F.col("place") + 1).alias("t"), F.col("state").alias("p"), (F.col("k") > 1).alias("long"))
+    joined = here.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("t")), "left")
     counts = joined.groupBy("p", "long", "state").agg(F.count("*").alias("n"), F.sum(F.col("k") - 1).alias("inner"), F.sum((F.col("k") > 1).cast("int")).alias("opened")).collect()
     transitions = np.zeros((STATES + 1, STATES))
     for s in range(len(ROLES)):  # a turn goes on, or another begins
@@ -129,15 +141,15 @@ def viterbi(transitions: np.ndarray, scores: np.ndarray, entry: int, exit_state:
 
 
 def split_block(frame: pd.DataFrame) -> list[str]:
-    """Lines of a block in order; turns of equal number by role and text."""
-    ordered = frame.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
+    """Lines of a block in order."""
+    ordered = frame.sort_values("place")
     return [line for text in ordered["text"] for line in text.split("\n")]
 
 
 def parse(pieces: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Recovered turns of transcripts: conv_id, turn (from 0), part, role, n_lines, text, rendered.
 
-    ``pieces``: (conv_id, turn, block, role, text), where role only orders pieces of equal number. A part is what a turn has of a block of
+    ``pieces``: (conv_id, place, block, text) and more; the role is not read. A part is what a turn has of a block of
     pieces; almost every turn has one. The text is without its marker; ``rendered`` is the canonical form, with a header where the turn begins.
     """
     transitions, emissions = model

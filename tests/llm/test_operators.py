@@ -544,6 +544,23 @@ def test_long_and_odd_conversations(spark):
     assert chat.recover(turns.limit(0)).collect() == []
 
 
+def test_blocks_hold_few_rows_of_any_transcript(spark):
+    """Null ids, one turn number and null turns with many rows: every block has at most BLOCK pieces, in order."""
+    rows = [(None, i % 3, "user", f"hello {i}") for i in range(500)] + [(1, None, "assistant", f"null turn {i}") for i in range(300)] + [(1, -5, "user", "low"), (1, 90, "user", "late"), (2, 10**9, "user", "a"), (2, 5, "user", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pieces = chat.lines_of(turns).collect()
+    assert max(Counter((x.conv_id, x.block) for x in pieces).values()) <= chat.BLOCK
+    for c, n in ((None, 500), (1, 302), (2, 2)):
+        mine = sorted((x for x in pieces if x.conv_id == c), key=lambda x: x.place)
+        assert [x.place for x in mine] == list(range(n)) and all(x.block == x.place // chat.BLOCK for x in mine)
+        order = [(x.turn is not None, x.turn or 0) for x in mine]
+        assert order == sorted(order)
+    lines = Counter()
+    for x in chat.recover(turns).collect():
+        lines[x.conv_id] += x.n_lines
+    assert lines == {None: 500, 1: 302, 2: 2}
+
+
 # --- pipeline ----------------------------------------------------------------------------
 
 def test_stages_keep_the_columns_and_their_order(spark, folder):
