@@ -23,6 +23,10 @@ RUNTIME_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Windows and sorts over wide generated projections stay in codegen.
     "spark.sql.codegen.maxFields": "200",
+}
+
+# Static settings: only the builder of a session can make them, and no result depends on them.
+BUILD_CONF = {
     # Call-site capture costs several JVM calls per column operation while plans are built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -41,7 +45,7 @@ def build_session(master: str | None = None, name: str = "siteglass", **conf: st
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, "spark.ui.enabled": "false", **conf}.items():
+    for key, value in {**RUNTIME_CONF, **BUILD_CONF, "spark.ui.enabled": "false", **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 
