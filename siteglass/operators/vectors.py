@@ -25,7 +25,13 @@ def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFra
     return parts.groupBy(by).agg(F.transform(ordered, lambda p: p["x"]).alias("centroid"))
 
 
-def _best(k: int):
+def usable(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    """(id, vector as doubles) of the rows that have a direction: not null, empty or zero, and without null entries."""
+    cast = df.select(id_, F.col(vector).cast("array<double>").alias("vector")).where(F.size("vector") > 0)
+    return cast.where(~F.exists("vector", lambda x: x.isNull()) & (dot(F.col("vector"), F.col("vector")) > 0))
+
+
+def best_of_blocks(k: int):
     """Over a block of stored vectors and one of queries: the k best of each query, ties by id."""
 
     def unit_rows(table: pa.Table) -> np.ndarray:
@@ -46,27 +52,33 @@ def _best(k: int):
     return run
 
 
+#: Stored vectors and queries that meet in one task, about.
+BLOCK_ROWS, QUERY_ROWS = 50_000, 2_000
+
+
 def top_related(
-    vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query_vector: str = "vector", vector_blocks: int = 32, query_blocks: int = 1
+    vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query_vector: str = "vector", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS
 ) -> DataFrame:
     """Exact k most similar stored vectors for each query vector, ties by id.
 
-    Stored vectors and queries are dealt into blocks by hash and every pair of blocks meets in one task; it sends on k rows per
-    query, never all pairs, and the k best of those are kept. Nothing goes through the driver. The numbers of blocks are
-    parameters: a task holds one block of each. Null and zero vectors have no similarity and are left out on either side; a query
-    meets vectors of its own length. No queries, no rows.
+    Stored vectors and queries are counted and dealt by hash into blocks of about ``block_rows`` and ``query_rows``; every pair of blocks meets in
+    one task, so tasks grow in number and not in size. A task sends on k rows per query, never all pairs, and the k best of those are kept. Nothing
+    goes through the driver. Null and zero vectors have no similarity and are left out on either side; a query meets vectors of its own
+    length. No queries, no rows.
     """
-    usable = lambda df, id_, v: df.select(id_, F.col(v).cast("array<double>").alias("vector")).where(F.size("vector") > 0).where(~F.exists("vector", lambda x: x.isNull()) & (dot(F.col("vector"), F.col("vector")) > 0))
-    stored = usable(vectors, "vec_id", vector).withColumns({"p": F.pmod(F.xxhash64("vec_id"), F.lit(vector_blocks)), "q": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
-    asked = usable(queries, "query_id", query_vector).withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"), "p": F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)))})
+    stored, asked = usable(vectors, "vec_id", vector), usable(queries, "query_id", query_vector)
+    ps, qs = max(1, -(-vectors.count() // block_rows)), max(1, -(-queries.count() // query_rows))
+    stored = stored.withColumns({"p": F.pmod(F.xxhash64("vec_id"), F.lit(ps)), "q": F.explode(F.sequence(F.lit(0), F.lit(qs - 1)))})
+    asked = asked.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(qs)).cast("int"), "p": F.explode(F.sequence(F.lit(0), F.lit(ps - 1)))})
     of = lambda df: df.withColumn("p", F.col("p").cast("int")).withColumn("size", F.size("vector")).groupBy("p", "q", "size")
-    found = of(stored).cogroup(of(asked)).applyInArrow(_best(k), "query_id long, vec_id long, similarity double")
+    found = of(stored).cogroup(of(asked)).applyInArrow(best_of_blocks(k), "query_id long, vec_id long, similarity double")
     return top_per_key(found, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], k, F.col("vec_id"))
 
 
 def unit(vector: Column) -> Column:
-    length = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+    """The vector over its length; the length is bound once, not computed for each entry."""
+    over = lambda length: F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+    return F.transform(F.array(F.sqrt(dot(vector, vector))), over)[0]
 
 
 def fit_topics(vectors: DataFrame, k: int, vector: str = "embedding", seed: int = 7):

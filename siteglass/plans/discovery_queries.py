@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls as U
 from ..operators import extraction as E
-from ..operators import history, links, ordered, vectors
+from ..operators import cells, history, links, ordered, vectors
 from ..sources import robots, sitemaps
 from .bindings import Tables
 from .page_queries import WITH_URLS, _link_sql
@@ -260,6 +260,46 @@ def related_to_topic(t: Tables):
     return vectors.top_related(base, topics, 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+_NEAREST = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
+ s AS (SELECT query_id, e.vec_id, list_cosine_similarity(v, CAST(e.embedding AS DOUBLE[])) AS sim FROM q CROSS JOIN embeddings e WHERE e.vec_id <> query_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s)"""
+
+#: Nearest neighbours asked for, and the share of them that the cells shall find.
+NEAREST, RECALL = 10, 0.95
+
+
+def _asked(base):
+    return base.filter("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("vector"))
+
+
+def _others(found):
+    """A query is a stored vector itself: it is left out of its own result, and what stood behind it moves up."""
+    kept = found.filter("vec_id <> query_id")
+    own = found.filter("vec_id = query_id").select("query_id", C("rank").alias("own"))
+    moved = kept.join(own, "query_id", "left").withColumn("rank", F.when(C("rank") > C("own"), C("rank") - 1).otherwise(C("rank")))
+    return moved.filter(C("rank") <= NEAREST).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("related_pages", "L1 C15", f"WITH {_NEAREST} SELECT query_id, vec_id, round(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+def related_pages(t: Tables):
+    base = t.raw("embeddings")
+    return _others(vectors.top_related(base, _asked(base), NEAREST + 1))
+
+
+@query("related_in_cells", "L1 C15", None)
+def related_in_cells(t: Tables):
+    base = t.raw("embeddings")
+    index = cells.build(base)
+    probes = cells.probes_for(index, base, _asked(base), NEAREST + 1, RECALL)
+    return _others(cells.search(index, _asked(base), NEAREST + 1, probes))
+
+
+@query("cell_recall", "L1 C15", f"WITH {_NEAREST} SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM r WHERE rank <= 10")
+def cell_recall(t: Tables):
+    measured = cells.recall_of(related_in_cells(t), related_pages(t))
+    return measured.select("queries", "wanted", (C("recall") >= 0.9).alias("reached"))
+
+
 @query("topic_clusters", "L2", None)
 def topic_clusters(t: Tables):
     return vectors.topic_clusters(t.raw("embeddings"), 8)
