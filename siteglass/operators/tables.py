@@ -1,4 +1,4 @@
-"""Table maintenance: record building, append, upsert, update, counters, cascade delete."""
+"""Records of the tables, and appending them. Changes of stored tables: :mod:`.store`."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ CRITERIA = (
     "snippet_optimization", "original_research", "multimedia_richness", "entity_clarity",
 )
 RUN_STATUSES = ("queued", "running", "paused", "completed", "failed")
+ENDED = ("completed", "failed")
 # --------------------------------------------------------------------------------
 
 
@@ -66,65 +67,9 @@ def score_rows(df: DataFrame, criteria: str = "criteria_scores") -> DataFrame:
     return with_defaults(merged, {"ai_tokens_used": F.lit(0)}).withColumn("overall_score", overall_score(F.col(criteria)))
 
 
-def append(df: DataFrame, path: str, partition_by: Sequence[str] = (), files: int = 4) -> None:
-    """Append to a parquet table. Rows of a partition value are clustered into at most ``files`` tasks, hence files: a hot one stays
-    parallel, and small ones do not become a file for each task."""
+def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Append to a parquet table. Rows of a partition value are brought together, and adaptive execution deals them into files by
+    size: a hot value stays parallel, and small ones do not become a file for each task."""
     if partition_by:
-        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
-
-
-def upsert_pages(
-    target: DataFrame, batch: DataFrame, now: Column, given: Sequence[str], key: Sequence[str] = ("project_id", "url_hash")
-) -> DataFrame:
-    """New version of the page table.
-
-    Insert sets ``first_discovered_at``; update keeps it, sets ``last_crawled_at`` and overwrites
-    only the fields given. ``batch`` carries ``pos``: within a key the last non-null value wins.
-    """
-    newest = batch.groupBy(*key).agg(
-        F.min_by("url", "pos").alias("n_url"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"n_{c}") for c in given],
-    )
-    # A new page counts as crawled where the batch names its run.
-    crawled = F.col("n_last_crawl_run_id").isNotNull() if "last_crawl_run_id" in given else F.lit(False)
-    joined = target.withColumn("_old", F.lit(True)).join(newest.withColumn("_new", F.lit(True)), list(key), "full_outer")
-    return joined.select(
-        *key,
-        F.coalesce("url", "n_url").alias("url"),
-        *[F.coalesce(f"n_{c}", c).alias(c) for c in given],
-        F.coalesce("first_discovered_at", F.when(F.col("_old").isNull(), now)).alias("first_discovered_at"),
-        F.when(F.col("_new") & (F.col("_old").isNotNull() | crawled), now)
-        .otherwise(F.col("last_crawled_at"))
-        .alias("last_crawled_at"),
-    )
-
-
-def apply_updates(target: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Overwrite ``columns`` with the non-null values of the matching update row (one per key)."""
-    renamed = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in columns])
-    joined = target.join(renamed, key, "left")
-    return joined.select(*[
-        F.coalesce(f"_u_{c}", c).alias(c) if c in columns else F.col(c) for c in target.columns
-    ])
-
-
-def finish_runs(runs: DataFrame, now: Column) -> DataFrame:
-    """A completed or failed run gets its completion time."""
-    ended = F.col("status").isin("completed", "failed") & F.col("completed_at").isNull()
-    return runs.withColumn("completed_at", F.when(ended, now).otherwise(F.col("completed_at")))
-
-
-def increment_counts(runs: DataFrame, deltas: DataFrame, key: str, counters: Sequence[str]) -> DataFrame:
-    """Add the deltas of each run to its counters; deltas of a run are summed before the join."""
-    sums = deltas.groupBy(key).agg(*[F.sum(c).alias(f"_d_{c}") for c in counters])
-    joined = runs.join(sums, key, "left")
-    return joined.select(*[
-        (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_d_{c}"), F.lit(0))).alias(c) if c in counters else F.col(c)
-        for c in runs.columns
-    ])
-
-
-def cascade_delete(child: DataFrame, deleted: DataFrame, on: str) -> DataFrame:
-    """Rows of ``child`` whose parent is not among the deleted keys."""
-    return child.join(deleted.select(on).distinct(), on, "left_anti")

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.text import initials_label
 from ..operators import filters as L
-from ..operators import history, links, ordered, quality, reports, rubric, tables, tenancy, tokens
+from ..operators import history, links, ordered, quality, reports, rubric, store, tables, tenancy, tokens
 from .bindings import Tables, ctes
 from .registry import query
 
 C = F.col
 AS_OF = "1999-01-10 00:00:00"
 NOON = "2024-02-01 12:00:00"
+#: Buckets of the stored tables that the queries make.
+BUCKETS = 16
 
 
 # --- filters -----------------------------------------------------------------------------------
@@ -489,8 +491,10 @@ def page_upsert(t: Tables):
         F.when(C("event_type") != "error", C("event_type")).alias("page_type"), F.dayofyear("ts").alias("last_crawl_run_id"), C("event_id").alias("pos"),
     )
     now = F.lit("2024-02-01").cast("timestamp")
-    merged = tables.upsert_pages(target, batch, now, ["page_type", "last_crawl_run_id"])
-    return merged.select(
+    table = store.create(target, ["project_id", "url_hash"], BUCKETS, name="pages")
+    for _ in range(2):  # the second time it is a replay, which changes nothing
+        store.upsert_pages(table, batch, 1, now, ["page_type", "last_crawl_run_id"])
+    return table.read().select(
         C("url").cast("long").alias("page_id"), "page_type", "last_crawl_run_id", F.date_format("first_discovered_at", "yyyy-MM-dd").alias("first_discovered"),
         (C("last_crawled_at") == now).eqNullSafe(True).alias("crawled_now"),
     )
@@ -500,22 +504,29 @@ def page_upsert(t: Tables):
  SELECT r.run_id, COALESCE(u.status, r.status) AS status, CASE WHEN COALESCE(u.status, r.status) IN ('completed', 'failed') THEN '2024-02-01' END AS completed_on FROM runs r LEFT JOIN u ON u.run_id = r.run_id""")
 def run_updates(t: Tables):
     updates = t.items.groupBy("run_id").agg(F.when(F.sum("tokens") > 100, F.lit("completed")).alias("status"))
-    new = tables.apply_updates(t.runs.withColumn("completed_at", F.lit(None).cast("timestamp")), updates, "run_id", ["status"])
-    done = tables.finish_runs(new, F.lit("2024-02-01").cast("timestamp"))
-    return done.select("run_id", "status", F.date_format("completed_at", "yyyy-MM-dd").alias("completed_on"))
+    runs = t.runs.withColumn("completed_at", F.lit(None).cast("timestamp"))
+    updates = t.runs.select("run_id").join(updates, "run_id", "left")  # runs without items, too
+    table = store.create(runs, ["run_id"], BUCKETS, name="runs")
+    store.update_runs(table, updates, 1, F.lit("2024-02-01").cast("timestamp"), ["status"])
+    return table.read().select("run_id", "status", F.date_format("completed_at", "yyyy-MM-dd").alias("completed_on"))
 
 
 @query("run_counters", "A10", ctes("runs", "items") + ", d AS (SELECT run_id, sum(tokens) AS t, count(*) AS n FROM items GROUP BY 1) SELECT r.run_id, CAST(pages_processed + COALESCE(n, 0) AS BIGINT) AS pages_processed, CAST(COALESCE(t, 0) AS BIGINT) AS token_usage FROM runs r LEFT JOIN d ON d.run_id = r.run_id")
 def run_counters(t: Tables):
     deltas = t.items.select("run_id", C("tokens").alias("token_usage"), F.lit(1).alias("pages_processed"))
     runs = t.runs.withColumn("token_usage", F.lit(0))
-    return tables.increment_counts(runs, deltas, "run_id", ["pages_processed", "token_usage"]).select("run_id", "pages_processed", "token_usage")
+    table = store.create(runs.withColumn("pages_processed", C("pages_processed").cast("long")).withColumn("token_usage", C("token_usage").cast("long")), ["run_id"], BUCKETS, name="counters")
+    for _ in range(2):  # a replayed batch adds nothing
+        store.add_counts(table, deltas, 1, ["pages_processed", "token_usage"])
+    return table.read().select("run_id", "pages_processed", "token_usage")
 
 
 @query("cascade_delete", "A11", ctes("site_pages", "scores") + "SELECT score_id FROM scores WHERE page_id NOT IN (SELECT page_id FROM site_pages WHERE project_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2))")
 def cascade_delete(t: Tables):
     gone = t.pages.join(t.projects.filter("organization_id = 2").select("project_id"), "project_id", "left_semi")
-    return tables.cascade_delete(t.scores, gone, "page_id").select("score_id")
+    table = store.create(t.scores.select("page_id", "score_id"), ["page_id"], BUCKETS, name="scores")
+    store.delete_children(table, gone)
+    return table.read().select("score_id")
 
 
 @query("resume_pending", "L8", ctes("items") + "SELECT run_id, part FROM (SELECT DISTINCT run_id, part FROM items WHERE state = 'O') x WHERE NOT EXISTS (SELECT 1 FROM items y WHERE y.run_id = x.run_id AND y.part = x.part AND y.state = 'F')")

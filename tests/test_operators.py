@@ -59,18 +59,6 @@ def test_bucketed_windows_lose_no_null(spark):
     assert plan.count("Exchange hashpartitioning") <= 4
 
 
-def test_upsert_keeps_discovery_and_given_fields(spark):
-    old = "timestamp'2020-01-01 00:00:00'"
-    target = spark.sql(f"select 1 project_id, 'h1' url_hash, 'u1' url, 'blog' page_type, 5 last_crawl_run_id, {old} first_discovered_at, cast(null as timestamp) last_crawled_at union all select 1, 'h0', 'u0', 'x', 1, {old}, {old}")
-    batch = spark.sql("select 1 project_id, 'h1' url_hash, 'u1' url, cast(null as string) page_type, 9 last_crawl_run_id, 1 pos union all select 1, 'h2', 'u2', 'product', cast(null as int), 2 union all select 1, 'h2', 'u2', cast(null as string), cast(null as int), 3")
-    now = F.lit("2024-01-01").cast("timestamp")
-    got = {r["url_hash"]: r for r in tables.upsert_pages(target, batch, now, ["page_type", "last_crawl_run_id"]).collect()}
-    assert len(got) == 3
-    assert got["h1"]["page_type"] == "blog" and got["h1"]["last_crawl_run_id"] == 9 and got["h1"]["first_discovered_at"].year == 2020 and got["h1"]["last_crawled_at"].year == 2024
-    assert got["h2"]["page_type"] == "product" and got["h2"]["first_discovered_at"].year == 2024 and got["h2"]["last_crawled_at"] is None
-    assert got["h0"]["last_crawled_at"].year == 2020
-
-
 def test_validation_messages(evaluate):
     rows = evaluate([({"readability": 101, "nope": 5, "indexing": None},), (None,)], "m map<string,int>", {"e": quality.criteria_errors(F.col("m"))})
     assert sorted(rows[0]["e"]) == ["Invalid criterion: nope", "indexing must be a number", "readability must be between 0 and 100"]
