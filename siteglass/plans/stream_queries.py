@@ -35,8 +35,8 @@ def stream_usage(t: Tables):
 
 @query("stream_run_progress", "J3", "SELECT user_id AS run_id, count(*) AS events, count(*) FILTER (event_type IN ('view', 'click')) AS pages_discovered, count(*) FILTER (event_type = 'purchase') AS pages_processed FROM events GROUP BY 1")
 def stream_run_progress(t: Tables):
-    shaped = _events(t).select(C("user_id").alias("run_id"), C("event_type").isin("view", "click").alias("discovered"), (C("event_type") == "purchase").alias("processed"))
-    return update_to_table(jobs.run_progress(shaped), "progress", ["run_id"])
+    step = jobs.run_progress("user_id", C("event_type").isin("view", "click"), C("event_type") == "purchase")
+    return fold_to_table(_events(t), "progress", step, newest_by=["key"]).withColumnRenamed("key", "run_id")
 
 
 @query("stream_content_changes", "J2", "SELECT key, event_id FROM (SELECT user_id AS key, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type AS changed FROM events) WHERE changed")
@@ -80,7 +80,7 @@ def stream_life_cycle(t: Tables):
         F.when(C("event_type") == "click", "start").when(C("event_type") == "view", "pause").when(C("event_type") == "purchase", "resume")
         .when(C("event_type") == "signup", "complete").otherwise("fail")
     )
-    return append_to_table(jobs.life_cycle(_events(t), "user_id", action), "life")
+    return fold_to_table(_events(t), "life", jobs.life_cycle("user_id", action))
 
 
 @query("stream_first_submissions", "J9", "SELECT DISTINCT user_id || '-' || event_type AS job_id FROM events")
@@ -90,4 +90,5 @@ def stream_first_submissions(t: Tables):
 
 @query("stream_attempts", "J9", "SELECT user_id || '-' || event_type AS job_id, count(*) AS attempts, count(*) < 3 AS may_retry FROM events GROUP BY 1")
 def stream_attempts(t: Tables):
-    return update_to_table(jobs.attempts(_events(t).withColumn("job_id", F.concat_ws("-", "user_id", "event_type"))), "attempts", ["job_id"])
+    jobs_of = _events(t).withColumn("job_id", F.concat_ws("-", "user_id", "event_type"))
+    return jobs.may_retry(fold_to_table(jobs_of, "attempts", jobs.attempts("job_id"), newest_by=["key"])).withColumnRenamed("key", "job_id")

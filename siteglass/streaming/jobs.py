@@ -1,16 +1,20 @@
 """Streaming forms of the time-driven behaviours. Windowed counts use built-in aggregation;
-change detection and budgets are batch steps over a state table, which can split a key; rules that fold event by event use
-one ordered stateful processor."""
+change detection, budgets, life cycles and running counters are batch steps over bucketed state, which can split a key; cool-downs use
+a stateful processor with timers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.machine import run_machine
 from ..operators.ordered import running_before, with_previous
+from ..operators.tables import ENDED, RUN_STATUSES
+from .sources import Step
 
 # --- fixed values --------------------------------------------------------------------
 RATE_WINDOW, RATE_LIMIT = "15 minutes", 100
@@ -35,11 +39,36 @@ def over_rate(events: DataFrame, limit: int = RATE_LIMIT, late: str = "1 hour")
     return counted.filter(F.col("requests") > limit).select(F.col("window.start").alias("window_start"), "client", "requests")
 
 
-def run_progress(events: DataFrame) -> DataFrame:
-    """Counters per run; keyed state only, so it runs for as long as runs stay few."""
-    return events.groupBy("run_id").agg(
-        F.count("*").alias("events"), F.count_if("discovered").alias("pages_discovered"), F.count_if("processed").alias("pages_processed")
-    )
+def _until(at: Column, ttl: str) -> Column:
+    return (at + F.expr(f"INTERVAL {ttl}")).alias("until")
+
+
+def running_totals(key: str, totals: Mapping[str, Column], ended: Column | None = None, ttl: str = "90 days", grace: str = "1 hour") -> Step:
+    """Step: key and running totals of the keys of each micro-batch.
+
+    ``totals``: name and what a row adds. A key is remembered for ``ttl`` after its last event, and only for ``grace`` once a row of it has ``ended``;
+    then its state goes, its totals stay in the output, and a key that comes back counts anew.
+    """
+
+    def run(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        over = F.max(F.coalesce(ended, F.lit(False))) if ended is not None else F.lit(False)
+        sums = batch.groupBy(F.col(key).alias("key")).agg(*[F.sum(c).cast("long").alias(f"_{n}") for n, c in totals.items()], over.alias("over"), F.max("event_time").alias("at"))
+        if before is not None:
+            sums = sums.join(before.select(F.col("key").alias("_k"), *totals, F.col("ended").alias("was")), F.col("key").eqNullSafe(F.col("_k")), "left")
+        old = (lambda n: F.coalesce(n, F.lit(0))) if before is not None else (lambda n: F.lit(0))
+        now = sums.select(
+            "key", *[(old(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in totals],
+            (F.col("over") | F.coalesce("was", F.lit(False)) if before is not None else F.col("over")).alias("ended"), "at",
+        ).withColumn("until", F.when(F.col("ended"), _until(F.col("at"), grace)).otherwise(_until(F.col("at"), ttl)))
+        return now.select("key", *totals), now.drop("at")
+
+    return Step(key, run)
+
+
+def run_progress(key: str, discovered: Column, processed: Column, ended: Column | None = None, ttl: str = "90 days") -> Step:
+    """Step: counters of each run; those of an ended run leave the state after an hour."""
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return running_totals(key, {"events": F.lit(1), "pages_discovered": one(discovered), "pages_processed": one(processed)}, ended, ttl)
 
 
 def usage(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -54,131 +83,124 @@ def first_submissions(events: DataFrame, late: str = "7 days") -> DataFrame:
     return events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["job_id"]).select("job_id")
 
 
-def attempts(events: DataFrame) -> DataFrame:
-    """Submissions per job, and whether another retry is allowed."""
-    counted = events.groupBy("job_id").agg(F.count("*").alias("attempts"))
+def attempts(key: str, done: Column | None = None, ttl: str = "7 days") -> Step:
+    """Step: submissions of each job so far; a job that is ``done`` or isn't submitted again within ``ttl`` leaves the state."""
+    return running_totals(key, {"attempts": F.lit(1)}, done, ttl)
+
+
+def may_retry(counted: DataFrame) -> DataFrame:
     return counted.withColumn("may_retry", F.col("attempts") < MAX_ATTEMPTS)
 
 
-class OrderedFold(StatefulProcessor):
-    """Fold a key's events, ordered by time and id inside a micro-batch, over a one-row state.
+class CoolDown(StatefulProcessor):
+    """A key's events spaced by a gap. Only (id, time) of one micro-batch is held per key, and the time of the last allowed event as state.
 
-    ``step(state, value, micros) -> (state, output)``. Only (id, time, value) of one micro-batch is
-    held per key; the source's admission limits bound it. State survives restarts in the checkpoint.
+    Once the watermark is past the gap every event still to come is allowed anyway; an event-time timer then drops the state.
     """
 
-    def __init__(self, step: Callable, state_schema: str, ttl_ms: int | None = None):
-        self._step, self._schema, self._ttl = step, state_schema, ttl_ms
+    def __init__(self, gap: int):
+        self._gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("last", self._schema, self._ttl) if self._ttl else handle.getValueState("last", self._schema)
+        self._handle = handle
+        self._last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["micros", "event_id"], kind="stable")
-        state = self._state.get() if self._state.exists() else None
-        out = []
-        for value, micros in zip(batch["value"], batch["micros"]):
-            state, result = self._step(state, value, int(micros))
-            out.append(result)
-        self._state.update(state)
-        yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"].to_numpy(), "result": out})
+        parts = [(r["micros"].to_numpy(np.int64), r["event_id"].to_numpy(np.int64)) for r in rows]
+        micros, ids = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((ids, micros))
+        micros, ids = micros[order], ids[order]
+        last = self._last.get()[0] if self._last.exists() else None
+        allowed = np.zeros(len(ids), bool)
+        # From one allowed event to the first that is a gap later.
+        at = 0 if last is None else int(np.searchsorted(micros, last + self._gap))
+        while at < len(ids):
+            allowed[at], last = True, int(micros[at])
+            at = max(at + 1, int(np.searchsorted(micros, last + self._gap)))
+        self._last.update((last,))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer((last + self._gap) // 1000 + 1)
+        yield pd.DataFrame({"key": key[0], "event_id": ids, "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._last.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "event_id": pd.Series([], dtype="int64"), "allowed": pd.Series([], dtype="bool")})
 
     def close(self) -> None:
         pass
 
 
-def _fold(events: DataFrame, key: str, value: Column, value_type: str, step: Callable, state_schema: str, result: str) -> DataFrame:
-    shaped = events.select(
-        F.col(key).alias("key"), "event_id", F.unix_micros("event_time").alias("micros"), value.cast(value_type).alias("value")
-    )
-    return shaped.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=OrderedFold(step, state_schema), outputStructType=f"key long, event_id long, result {result}",
-        outputMode="Append", timeMode="None",
-    )
-
-
 def _keyed(events: DataFrame, key: str, value: Column) -> DataFrame:
     return events.select(F.col(key).alias("key"), "event_id", "event_time", value.alias("value"))
 
 
-def _carried(now: DataFrame, before: DataFrame | None, ttl: str) -> DataFrame:
-    """State after a micro-batch: the rows of its keys, and older ones that are not yet ``ttl`` behind its newest event."""
-    if before is None:
-        return now
-    newest = now.agg(F.max("at")).first()[0]
-    old = before.join(now.select(F.col("key").alias("_k")), F.col("key").eqNullSafe(F.col("_k")), "left_anti")
-    young = old if newest is None else old.filter(F.col("at") >= F.lit(newest) - F.expr(f"INTERVAL {ttl}"))
-    return now.unionByName(young.select(now.columns))
-
-
 def _with_state(rows: DataFrame, before: DataFrame | None, column: str, kind: str) -> DataFrame:
     if before is None:
         return rows.withColumn(column, F.lit(None).cast(kind))
     return rows.join(before.select(F.col("key").alias("_k"), column), F.col("key").eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
-def content_changes(key: str, content_hash: Column, bucket: str = "hour", ttl: str = "90 days"):
+def content_changes(key: str, content_hash: Column, bucket: str = "hour", ttl: str = "90 days") -> Step:
     """Step: key, event_id of snapshots whose content differs from the key's previous one.
 
     Inside a micro-batch previous is by time and id, before that it is the last of the micro-batch before: a snapshot is compared
     on arrival. A key is sorted in slices of ``bucket``; keys idle for ``ttl`` are forgotten, and count as new.
     """
 
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def run(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         rows = _keyed(batch, key, content_hash)
         near = _with_state(with_previous(rows, ["key"], F.date_trunc(bucket, "event_time"), ["event_time", "event_id"], "value", "_prev"), before, "last", "struct<value: string>")
         changed = near.filter(~F.coalesce(F.coalesce("_prev", "last")["value"].eqNullSafe(F.col("value")) & F.coalesce("_prev", "last").isNotNull(), F.lit(False)))
         order = F.struct("event_time", "event_id")
-        now = rows.groupBy("key").agg(F.max_by(F.struct("value"), order).alias("last"), F.max("event_time").alias("at"))
-        return changed.select("key", "event_id"), _carried(now, before, ttl)
+        now = rows.groupBy("key").agg(F.max_by(F.struct("value"), order).alias("last"), _until(F.max("event_time"), ttl))
+        return changed.select("key", "event_id"), now
 
-    return step
+    return Step(key, run)
 
 
-def within_token_budget(key: str, tokens: Column, limit: int, bucket: str = "hour", ttl: str = "90 days"):
+def within_token_budget(key: str, tokens: Column, limit: int, bucket: str = "hour", ttl: str = "90 days") -> Step:
     """Step: key, event_id of the items scored before the key's budget was used up (the last may overshoot).
 
     Tokens are at least zero. Order and expiry are those of :func:`content_changes`.
     """
 
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def run(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         rows = _keyed(batch, key, F.coalesce(tokens, F.lit(0)).cast("long"))
         running = running_before(rows, ["key"], F.date_trunc(bucket, "event_time"), [F.col("event_time"), F.col("event_id")], F.col("value"), "earlier")
         kept = _with_state(running, before, "used", "long").filter(F.coalesce("used", F.lit(0)) + F.col("earlier") < limit)
         sums = _with_state(rows.groupBy("key").agg(F.sum("value").alias("now"), F.max("event_time").alias("at")), before, "used", "long")
-        now = sums.select("key", (F.coalesce("used", F.lit(0)) + F.col("now")).alias("used"), "at")
-        return kept.select("key", "event_id"), _carried(now, before, ttl)
+        now = sums.select("key", (F.coalesce("used", F.lit(0)) + F.col("now")).alias("used"), _until(F.col("at"), ttl))
+        return kept.select("key", "event_id"), now
 
-    return step
+    return Step(key, run)
 
 
-def cool_down(events: DataFrame, key: str, seconds: int = COOL_DOWN_SECONDS) -> DataFrame:
+def cool_down(events: DataFrame, key: str, seconds: int = COOL_DOWN_SECONDS, late: str = "1 hour") -> DataFrame:
     """key, event_id, allowed: an event is allowed when the key's last allowed one is ``seconds`` old or more.
 
-    With ``ROBOTS_TTL_SECONDS`` an allowed event is a cache miss that fetches again.
+    A key's state goes once the watermark (``late`` behind the newest event) is past the gap. Events behind the watermark are dropped,
+    and so are events without a time.
     """
-    gap = seconds * 1_000_000
-
-    def step(state, value, micros):
-        allowed = state is None or micros - state[0] >= gap
-        return ((micros,) if allowed else state), allowed
-
-    return _fold(events, key, F.lit(0), "int", step, "at long", "boolean").withColumnRenamed("result", "allowed")
+    shaped = events.where(F.col("event_time").isNotNull()).withWatermark("event_time", late).select(F.col(key).alias("key"), "event_id", F.unix_micros("event_time").alias("micros"), "event_time")
+    return shaped.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=CoolDown(seconds * 1_000_000), outputStructType="key long, event_id long, allowed boolean", outputMode="Append", timeMode="EventTime",
+    )
 
 
-def life_cycle(events: DataFrame, key: str, action: Column) -> DataFrame:
-    """key, event_id, status after the event; an illegal action is rejected as ``!status`` and changes nothing.
+def life_cycle(key: str, action: Column, bucket: str = "hour", ttl: str = "90 days", grace: str = "7 days") -> Step:
+    """Step: key, event_id, status after the event, accepted; an illegal action changes nothing. A run starts queued.
 
-    A run starts queued.
+    A run's events are a scan over transition functions, so a run with most of the rows is many tasks. Its status is remembered for ``ttl`` after its
+    last event, that of an ended run for ``grace``; a run that comes back later starts queued.
     """
-    rules = dict(TRANSITIONS)
 
-    def step(state, value, micros):
-        status = state[0] if state else "queued"
-        target, sources = rules.get(value, (None, ()))
-        legal = target is not None and (sources is None or status in sources)
-        return (target if legal else status,), target if legal else "!" + status
+    def run(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = _keyed(batch, key, action)
+        started = None if before is None else before.select("key", "status")
+        done = run_machine(rows, ["key"], F.date_trunc(bucket, "event_time"), [F.col("event_time"), F.col("event_id")], F.col("value"), TRANSITIONS, RUN_STATUSES, started)
+        last = done.groupBy("key").agg(F.max_by("status", F.struct("event_time", "event_id")).alias("status"), F.max("event_time").alias("at"))
+        until = F.when(F.col("status").isin(*ENDED), _until(F.col("at"), grace)).otherwise(_until(F.col("at"), ttl))
+        return done.select("key", "event_id", "status", "accepted"), last.select("key", "status", until.alias("until"))
 
-    return _fold(events, key, action, "string", step, "status string", "string").select(
-        "key", "event_id", F.regexp_replace("result", "^!", "").alias("status"), (~F.col("result").startswith("!")).alias("accepted")
-    )
+    return Step(key, run)
