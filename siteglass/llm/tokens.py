@@ -1,21 +1,23 @@
 """Token counts of a byte-level BPE without materialising ids.
 
-A text is split into pre-tokens, which the merges never cross. Its token count is therefore the sum,
-over its distinct pre-tokens, of frequency times pieces. Each task counts pre-token frequencies per
-document, sends only the distinct pre-tokens it has not met yet through the tokenizer, and joins the
-two by pre-token. The join is made inside the task, not by a shuffle: the (document, pre-token) rows are
-larger than the text itself, and the pieces of a pre-token cost less than moving it.
+A text is split into pre-tokens, which the merges never cross. Its token count is therefore the sum, over its distinct pre-tokens, of frequency
+times pieces. Texts are taken in blocks of some megabytes: a block lists its distinct pre-tokens once, and each of its documents
+holds their places in that list with frequencies, a fraction of the text. The lists are reduced to one row per distinct pre-token, which
+alone goes through the tokenizer; the piece counts are joined back to the lists by pre-token and to the documents by block.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from .common import made, text_slices
+from .common import kept, text_slices
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -24,17 +26,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: pre-tokenized by the tokenizer itself, whose tables may be older than ours.
 STABLE = r"[\x00-ԯḀ-⁯₠-₿℀-⯿　-ヿ一-鿯가-힣＀-￯\U0001F300-\U0001FAFF]*"
 
-#: Distinct pre-tokens whose piece counts a task remembers.
-REMEMBERED = 250_000
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
 
 #: Pre-tokens given to the tokenizer at once: its results are objects of about a kilobyte.
-ENCODED = 10_000
+ENCODED = 2_000
 
 
-class PieceCounter:
-    """Counts tokens of texts; made once per task."""
+class PreTokens:
+    """Splits texts into pre-tokens and special strings, and counts the pieces of a pre-token."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
@@ -46,10 +48,8 @@ class PieceCounter:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Longest first, as of two special strings at one place the longer is taken.
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.pieces: dict[str, int] = {}
-        self.remembered = remembered
 
-    def pre_tokens(self, text: str) -> tuple[Counter, int]:
+    def count(self, text: str) -> tuple[Counter, int]:
         """Frequencies of the pre-tokens of a text, and the number of special strings in it."""
         parts = self.special.split(text) if self.special else [text]
         counts: Counter = Counter()
@@ -60,32 +60,89 @@ class PieceCounter:
                 counts.update(part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part))
         return counts, len(parts) - 1
 
-    def __call__(self, texts: list[str]) -> list[int]:
-        counted = [self.pre_tokens(t) for t in texts]
-        if len(self.pieces) > self.remembered:
-            self.pieces.clear()
-        new = list(set().union(*(c for c, _ in counted)) - self.pieces.keys())
-        for start in range(0, len(new), ENCODED):
-            part = new[start:start + ENCODED]
-            self.pieces.update(zip(part, map(len, self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        pieces = self.pieces
-        return [n + sum(f * pieces[t] for t, f in c.items()) for c, n in counted]
+    def pieces(self, tokens: list[str]) -> list[int]:
+        out: list[int] = []
+        for start in range(0, len(tokens), ENCODED):
+            out += map(len, self.tokenizer.encode_batch(tokens[start:start + ENCODED], add_special_tokens=False))
+        return out
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
+@lru_cache(maxsize=1)
+def pre_tokens_of(path: str) -> PreTokens:
+    """One tokenizer in each worker process, whatever the number of its tasks."""
+    return PreTokens(path)
+
+
+def blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per document: block, doc_id, n_bytes, special (strings), steps and times; and a row per block with its list ``tokens``.
+
+    ``steps`` are the ascending places of the document's pre-tokens in the list of its block, as differences, ``times`` their frequencies.
+    """
+    kind = docs.schema["doc_id"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, number = pre_tokens_of(tokenizer), TaskContext.get().partitionId() << 32
+        for batch, texts in text_slices(batches, limit=block_bytes):
+            places: dict[str, int] = {}
+            rows: list[tuple] = []
+            for text in texts:
+                counts, special = split.count(text)
+                at = np.fromiter((places.setdefault(t, len(places)) for t in counts), np.int32, len(counts))
+                order = np.argsort(at, kind="stable")
+                times = np.fromiter(counts.values(), np.int32, len(counts))[order]
+                rows.append((len(text) if text.isascii() else len(text.encode()), special, np.diff(at[order], prepend=np.int32(0)), times))
+            sizes, specials, steps, times = map(list, zip(*rows))
+            n = len(rows)
+            columns = [
+                pa.array([number] * (n + 1), pa.int64()), pa.concat_arrays([batch.column("doc_id"), pa.nulls(1, batch.column("doc_id").type)]), pa.array([*sizes, None], pa.int64()),
+                pa.array([*specials, None], pa.int64()), pa.array([*steps, None], pa.list_(pa.int32())), pa.array([*times, None], pa.list_(pa.int32())), pa.array([*[None] * n, list(places)], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "n_bytes", "special", "steps", "times", "tokens"])
+            number += 1
+
+    schema = f"block bigint, doc_id {kind.dataType.simpleString()}, n_bytes bigint, special bigint, steps array<int>, times array<int>, tokens array<string>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def piece_counts(tokens: DataFrame, tokenizer: str) -> DataFrame:
+    """(token, pieces) of distinct pre-tokens (token)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = pre_tokens_of(tokenizer)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split.pieces(batch.column(0).to_pylist()), pa.int32())], names=["token", "pieces"])
+
+    return tokens.select("token").mapInArrow(run, "token string, pieces int")
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     ``tokenizer`` is the path of a byte-level BPE file that every executor has. Counts equal those of the library,
     without added begin or end tokens, truncation or padding; special strings in a text count as one token. A null
     text counts as empty (0 bytes, 0 tokens); repeated rows and null ids stay as they are; other columns are ignored.
     """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(tokenizer)
-        for batch, texts in text_slices(batches, limit=2 << 20):
-            sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
-            counts = counter(texts)
-            yield made(batch, n_bytes=pa.array(sizes, pa.int64()), n_tokens=pa.array(counts, pa.int64()), over_limit=pa.array([n > limit for n in counts], pa.bool_()))
+    table = kept(blocks(docs, tokenizer, block_bytes), "token-blocks")
+    lists = table.where(F.col("tokens").isNotNull()).select("block", F.posexplode("tokens").alias("place", "token"))
+    # Written, so that the join deals both sides anew: a pre-token that every block has is split there.
+    pieces = kept(piece_counts(lists.select("token").distinct(), tokenizer), "token-pieces")
+    known = lists.join(pieces, "token").select("block", "place", "pieces")
+
+    def summed(rows: pa.Table, listed: pa.Table) -> pa.Table:
+        rows, listed = rows.combine_chunks(), listed.combine_chunks()
+        pieces = np.zeros(listed.num_rows, np.int64)
+        pieces[listed.column("place").to_numpy()] = listed.column("pieces").to_numpy()
+        steps, times = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("steps", "times"))
+        ends = np.cumsum(pa.compute.list_value_length(rows.column("steps")).to_numpy())
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        places = np.cumsum(steps.astype(np.int64))
+        # Differences begin anew with each document.
+        before = np.where(begins > 0, places[np.maximum(begins, 1) - 1] if len(places) else 0, 0)
+        places -= np.repeat(before, ends - begins)
+        running = np.concatenate([[0], np.cumsum(times * pieces[places])])
+        counts = running[ends] - running[begins] + rows.column("special").to_numpy()
+        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(counts, pa.int64()), "over_limit": pa.array(counts > limit, pa.bool_())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    documents = table.where(F.col("tokens").isNull()).drop("tokens")
+    return documents.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(summed, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

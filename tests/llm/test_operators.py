@@ -142,20 +142,23 @@ def test_token_counts(docs, texts, nothing):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path())
-    rows = tokens.count_tokens(docs, tokenizer_path()).collect()
-    assert len(rows) == len(texts) + 3
-    for r in rows:
-        t = text_of(texts, r.doc_id)
-        n = len(library.encode(t, add_special_tokens=False).ids)
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 1024)
+    for block in (tokens.BLOCK_BYTES, 3000):
+        rows = tokens.count_tokens(docs, tokenizer_path(), block_bytes=block).collect()
+        assert len(rows) == len(texts) + 3
+        for r in rows:
+            t = text_of(texts, r.doc_id)
+            n = len(library.encode(t, add_special_tokens=False).ids)
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 1024)
     assert tokens.count_tokens(nothing, tokenizer_path()).collect() == []
 
 
 def test_pre_tokens_equal_the_library():
-    counter, r = tokens.PieceCounter(tokenizer_path(), remembered=50), random.Random(2)
+    split, r = tokens.pre_tokens_of(tokenizer_path()), random.Random(2)
     alphabet = list(" \t\n\r\x0b\x1c\x85\xa0　​'sdtrevmlABéñ漢字12²½.,!?#-_\U0001F600ก\U00018e9c\U00012653")
     strings = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 20))) for _ in range(3000)]
-    assert counter(strings) == [len(e.ids) for e in counter.tokenizer.encode_batch(strings, add_special_tokens=False)]
+    counted = [split.count(s) for s in strings]
+    pieces = dict(zip(known := sorted(set().union(*(c for c, _ in counted))), split.pieces(known)))
+    assert [n + sum(f * pieces[t] for t, f in c.items()) for c, n in counted] == [len(e.ids) for e in split.tokenizer.encode_batch(strings, add_special_tokens=False)]
 
 
 # --- op5 ---------------------------------------------------------------------------------
