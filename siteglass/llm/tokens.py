@@ -126,7 +126,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, block_bytes
     lists = table.where(F.col("tokens").isNotNull()).select("block", F.posexplode("tokens").alias("place", "token"))
     # Written, so that the join deals both sides anew: a pre-token that every block has is split there.
     pieces = kept(piece_counts(lists.select("token").distinct(), tokenizer), "token-pieces")
-    known = lists.join(pieces, "token").select("block", "place", "pieces")
+    known = lists.join(pieces, "token").select(F.col("block").alias("owner"), "place", "pieces")
 
     def summed(rows: pa.Table, listed: pa.Table) -> pa.Table:
         rows, listed = rows.combine_chunks(), listed.combine_chunks()
@@ -145,4 +145,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, block_bytes
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     documents = table.where(F.col("tokens").isNull()).drop("tokens")
-    return documents.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(summed, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return documents.groupBy("block").cogroup(known.groupBy("owner")).applyInArrow(summed, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
