@@ -29,7 +29,8 @@ UNITS = (
     "percent", "dollars?", "euros?", "pounds?", "miles?", "feet", "foot", "inch(?:es)?", "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?", "years?", "liters?", "litres?", "meters?", "metres?",
 )
 MARK = "\x01"
-NAME = r"(?<=[\p{Ll}\p{Nd}],?[ \n])(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
+# Each pattern looks at the character it begins with before it looks around.
+NAME = r"(?=\p{Lu})(?<=[\p{Ll}\p{Nd}],?[ \n])(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
 #: Words that are no names where a sentence begins with them.
 FUNCTION_WORDS = (
     "the", "a", "an", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "my", "your", "his", "her", "its", "our", "their", "who", "whom", "whose", "what", "which", "when",
@@ -37,8 +38,8 @@ FUNCTION_WORDS = (
     "from", "to", "into", "by", "with", "without", "about", "after", "before", "between", "during", "under", "over", "through", "there", "here", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did",
     "has", "have", "had", "can", "could", "will", "would", "shall", "should", "may", "might", "must", "all", "any", "both", "each", "every", "either", "neither", "some", "many", "much", "more", "most", "other", "another", "such", "only", "also",
 )
-MAYBE = r"(?<![\p{L}\p{N}])(?!(?:" + "|".join(w.capitalize() for w in FUNCTION_WORDS) + r")(?![\p{L}\p{N}]))(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
-NUMBER = r"(?<![\p{L}\p{N}])([-+]?\p{Nd}+(?:[.,:]\p{Nd}+)*)(?: ?((?i:" + "|".join(u.replace("$", r"\$") for u in UNITS) + r"))(?![\p{L}\p{N}])|(?![\p{L}\p{N}]))"
+MAYBE = r"(?=\p{Lu})(?<![\p{L}\p{N}])(?!(?:" + "|".join(w.capitalize() for w in FUNCTION_WORDS) + r")(?![\p{L}\p{N}]))(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
+NUMBER = r"(?=[-+\p{Nd}])(?<![\p{L}\p{N}])([-+]?\p{Nd}+(?:[.,:]\p{Nd}+)*)(?: ?((?i:" + "|".join(u.replace("$", r"\$") for u in UNITS) + r"))(?![\p{L}\p{N}])|(?![\p{L}\p{N}]))"
 TOKEN = MARK + r"d[-+]?[\p{Nd}.,:]*\p{Nd}|" + MARK + r"u[\p{L}%°€$£]*|" + MARK + r"?[\p{L}\p{N}]+"
 
 
