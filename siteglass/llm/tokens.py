@@ -73,10 +73,23 @@ def pre_tokens_of(path: str) -> PreTokens:
     return PreTokens(path)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, mostly small: a byte each, 255 for those that follow behind as four bytes."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<i4").tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    if len(data) > n:
+        values[values == 255] = np.frombuffer(data, "<i4", offset=n)
+    return values
+
+
 def blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: block, doc_id, n_bytes, special (strings), steps and times; and a row per block with its list ``tokens``.
+    """A row per document: block, doc_id, n_bytes, special (strings), distinct, steps and times; and a row per block with its list ``tokens``.
 
-    ``steps`` are the ascending places of the document's pre-tokens in the list of its block, as differences, ``times`` their frequencies.
+    ``steps`` are the ascending places of the ``distinct`` pre-tokens of a document in the list of its block, as packed differences, ``times`` their
+    packed frequencies less one: some two bytes for each.
     """
     kind = docs.schema["doc_id"]
 
@@ -90,17 +103,17 @@ def blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> D
                 at = np.fromiter((places.setdefault(t, len(places)) for t in counts), np.int32, len(counts))
                 order = np.argsort(at, kind="stable")
                 times = np.fromiter(counts.values(), np.int32, len(counts))[order]
-                rows.append((len(text) if text.isascii() else len(text.encode()), special, np.diff(at[order], prepend=np.int32(0)), times))
-            sizes, specials, steps, times = map(list, zip(*rows))
+                rows.append((len(text) if text.isascii() else len(text.encode()), special, len(at), packed(np.diff(at[order], prepend=np.int32(0))), packed(times - 1)))
+            sizes, specials, distinct, steps, times = map(list, zip(*rows))
             n = len(rows)
             columns = [
                 pa.array([number] * (n + 1), pa.int64()), pa.concat_arrays([batch.column("doc_id"), pa.nulls(1, batch.column("doc_id").type)]), pa.array([*sizes, None], pa.int64()),
-                pa.array([*specials, None], pa.int64()), pa.array([*steps, None], pa.list_(pa.int32())), pa.array([*times, None], pa.list_(pa.int32())), pa.array([*[None] * n, list(places)], pa.list_(pa.string())),
+                pa.array([*specials, None], pa.int64()), pa.array([*distinct, None], pa.int32()), pa.array([*steps, None], pa.binary()), pa.array([*times, None], pa.binary()), pa.array([*[None] * n, list(places)], pa.list_(pa.string())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "n_bytes", "special", "steps", "times", "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "n_bytes", "special", "distinct", "steps", "times", "tokens"])
             number += 1
 
-    schema = f"block bigint, doc_id {kind.dataType.simpleString()}, n_bytes bigint, special bigint, steps array<int>, times array<int>, tokens array<string>"
+    schema = f"block bigint, doc_id {kind.dataType.simpleString()}, n_bytes bigint, special bigint, distinct int, steps binary, times binary, tokens array<string>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -132,15 +145,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, block_bytes
         rows, listed = rows.combine_chunks(), listed.combine_chunks()
         pieces = np.zeros(listed.num_rows, np.int64)
         pieces[listed.column("place").to_numpy()] = listed.column("pieces").to_numpy()
-        steps, times = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("steps", "times"))
-        ends = np.cumsum(pa.compute.list_value_length(rows.column("steps")).to_numpy())
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        places = np.cumsum(steps.astype(np.int64))
-        # Differences begin anew with each document.
-        before = np.where(begins > 0, places[np.maximum(begins, 1) - 1] if len(places) else 0, 0)
-        places -= np.repeat(before, ends - begins)
-        running = np.concatenate([[0], np.cumsum(times * pieces[places])])
-        counts = running[ends] - running[begins] + rows.column("special").to_numpy()
+        packs = zip(*(rows.column(c).to_pylist() for c in ("distinct", "steps", "times")))
+        sums = [int((unpacked(times, n) + 1) @ pieces[np.cumsum(unpacked(steps, n))]) for n, steps, times in packs]
+        counts = np.array(sums, np.int64) + rows.column("special").to_numpy()
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(counts, pa.int64()), "over_limit": pa.array(counts > limit, pa.bool_())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
