@@ -2,8 +2,8 @@
 
 A text is split into pre-tokens, which the merges never cross. Its token count is therefore the sum, over its distinct pre-tokens, of frequency
 times pieces. Texts are taken in blocks of some megabytes: a block lists its distinct pre-tokens once, and each of its documents
-holds their places in that list with frequencies, a fraction of the text. The lists are reduced to one row per distinct pre-token, which
-alone goes through the tokenizer; the piece counts are joined back to the lists by pre-token and to the documents by block.
+holds their places in that list with frequencies, packed to a fraction of the text. The lists are dealt by the pre-tokens' hash, so that all blocks'
+copies of a pre-token meet and it goes through the tokenizer once; the piece counts go back to their block, and meet its documents there.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +86,14 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: block, doc_id, n_bytes, special (strings), distinct, steps and times; and a row per block with its list ``tokens``.
+def blocks(docs: DataFrame, tokenizer: str, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per document: block, doc_id, n_bytes, special (strings), n, steps and times; and rows of the block's list: block, bucket, n, steps, sizes, tokens.
 
-    ``steps`` are the ascending places of the ``distinct`` pre-tokens of a document in the list of its block, as packed differences, ``times`` their
-    packed frequencies less one: some two bytes for each.
+    ``steps`` are ascending places in the list of the block as packed differences: those of the ``n`` distinct pre-tokens of a document, with
+    ``times`` their packed frequencies less one, or those of the ``n`` pre-tokens of one bucket, with ``sizes`` their packed lengths in ``tokens``.
     """
     kind = docs.schema["doc_id"]
+    schema = f"block bigint, doc_id {kind.dataType.simpleString()}, n_bytes bigint, special bigint, bucket int, n int, steps binary, times binary, sizes binary, tokens binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number = pre_tokens_of(tokenizer), TaskContext.get().partitionId() << 32
@@ -103,53 +105,73 @@ def blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> D
                 at = np.fromiter((places.setdefault(t, len(places)) for t in counts), np.int32, len(counts))
                 order = np.argsort(at, kind="stable")
                 times = np.fromiter(counts.values(), np.int32, len(counts))[order]
-                rows.append((len(text) if text.isascii() else len(text.encode()), special, len(at), packed(np.diff(at[order], prepend=np.int32(0))), packed(times - 1)))
-            sizes, specials, distinct, steps, times = map(list, zip(*rows))
-            n = len(rows)
-            columns = [
-                pa.array([number] * (n + 1), pa.int64()), pa.concat_arrays([batch.column("doc_id"), pa.nulls(1, batch.column("doc_id").type)]), pa.array([*sizes, None], pa.int64()),
-                pa.array([*specials, None], pa.int64()), pa.array([*distinct, None], pa.int32()), pa.array([*steps, None], pa.binary()), pa.array([*times, None], pa.binary()), pa.array([*[None] * n, list(places)], pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "n_bytes", "special", "distinct", "steps", "times", "tokens"])
+                rows.append((len(text) if text.isascii() else len(text.encode()), special, None, len(at), _steps(at[order]), packed(times - 1), None, None))
+            spelled = [t.encode() for t in places]
+            bucket = np.fromiter(map(crc32, spelled), np.int64, len(spelled)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(part):
+                    own = [spelled[i] for i in part.tolist()]
+                    rows.append((None, None, int(bucket[part[0]]), len(own), _steps(part), None, packed(np.array([len(t) for t in own])), b"".join(own)))
+            more = len(rows) - len(texts)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            ids = pa.concat_arrays([batch.column("doc_id"), pa.nulls(more, batch.column("doc_id").type)])
+            columns = [pa.array([number] * len(rows), pa.int64()), ids, *[pa.array(c, t) for c, t in zip(zip(*rows), types)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "n_bytes", "special", "bucket", "n", "steps", "times", "sizes", "tokens"])
             number += 1
 
-    schema = f"block bigint, doc_id {kind.dataType.simpleString()}, n_bytes bigint, special bigint, distinct int, steps binary, times binary, tokens array<string>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def piece_counts(tokens: DataFrame, tokenizer: str) -> DataFrame:
-    """(token, pieces) of distinct pre-tokens (token)."""
+def _steps(places: np.ndarray) -> bytes:
+    return packed(np.diff(places, prepend=places[:0].dtype.type(0)))
+
+
+def piece_counts(lists: DataFrame, tokenizer: str) -> DataFrame:
+    """(owner, size, at, pieces) of rows of lists, all those of a bucket after another: packed piece counts of the pre-tokens of a row.
+
+    A pre-token is in one bucket, where it goes through the tokenizer once. A task remembers the piece counts of one bucket at a time.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = pre_tokens_of(tokenizer)
+        split, known, current = pre_tokens_of(tokenizer), {}, None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split.pieces(batch.column(0).to_pylist()), pa.int32())], names=["token", "pieces"])
+            out = []
+            for bucket, n, sizes, tokens in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "sizes", "tokens"))):
+                if bucket != current:
+                    known, current = {}, bucket
+                ends = np.cumsum(unpacked(sizes, n)).tolist()
+                own = [tokens[a:b] for a, b in zip([0, *ends], ends)]
+                new = [t for t in own if t not in known]
+                known.update(zip(new, split.pieces([t.decode() for t in new])))
+                out.append(packed(np.array([known[t] for t in own])))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("n"), batch.column("steps"), pa.array(out, pa.binary())], names=["owner", "size", "at", "pieces"])
 
-    return tokens.select("token").mapInArrow(run, "token string, pieces int")
+    return lists.mapInArrow(run, "owner bigint, size int, at binary, pieces binary")
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     ``tokenizer`` is the path of a byte-level BPE file that every executor has. Counts equal those of the library,
     without added begin or end tokens, truncation or padding; special strings in a text count as one token. A null
-    text counts as empty (0 bytes, 0 tokens); repeated rows and null ids stay as they are; other columns are ignored.
+    text counts as empty (0 bytes, 0 tokens); repeated rows and null ids stay as they are; other columns are ignored. ``buckets`` of
+    pre-tokens: as many as shuffle partitions unless given, so that a task holds its share of the distinct pre-tokens.
     """
-    table = kept(blocks(docs, tokenizer, block_bytes), "token-blocks")
-    lists = table.where(F.col("tokens").isNotNull()).select("block", F.posexplode("tokens").alias("place", "token"))
-    # Written, so that the join deals both sides anew: a pre-token that every block has is split there.
-    pieces = kept(piece_counts(lists.select("token").distinct(), tokenizer), "token-pieces")
-    known = lists.join(pieces, "token").select(F.col("block").alias("owner"), "place", "pieces")
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = kept(blocks(docs, tokenizer, buckets, block_bytes), "token-blocks")
+    lists = table.where(F.col("bucket").isNotNull()).select("block", "bucket", "n", "steps", "sizes", "tokens")
+    known = piece_counts(lists.repartition("bucket").sortWithinPartitions("bucket"), tokenizer)
 
     def summed(rows: pa.Table, listed: pa.Table) -> pa.Table:
-        rows, listed = rows.combine_chunks(), listed.combine_chunks()
-        pieces = np.zeros(listed.num_rows, np.int64)
-        pieces[listed.column("place").to_numpy()] = listed.column("pieces").to_numpy()
-        packs = zip(*(rows.column(c).to_pylist() for c in ("distinct", "steps", "times")))
-        sums = [int((unpacked(times, n) + 1) @ pieces[np.cumsum(unpacked(steps, n))]) for n, steps, times in packs]
-        counts = np.array(sums, np.int64) + rows.column("special").to_numpy()
+        parts = [(unpacked(at, n), unpacked(p, n)) for n, at, p in zip(*(listed.column(c).to_pylist() for c in ("size", "at", "pieces")))]
+        pieces = np.zeros(sum(len(p) for _, p in parts), np.int64)
+        for at, p in parts:
+            pieces[np.cumsum(at)] = p
+        packs = zip(*(rows.column(c).to_pylist() for c in ("n", "steps", "times", "special")))
+        counts = np.array([special + int((unpacked(times, n) + 1) @ pieces[np.cumsum(unpacked(steps, n))]) for n, steps, times, special in packs], np.int64)
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(counts, pa.int64()), "over_limit": pa.array(counts > limit, pa.bool_())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    documents = table.where(F.col("tokens").isNull()).drop("tokens")
+    documents = table.where(F.col("bucket").isNull()).select("block", "doc_id", "n_bytes", "special", "n", "steps", "times")
     return documents.groupBy("block").cogroup(known.groupBy("owner")).applyInArrow(summed, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
