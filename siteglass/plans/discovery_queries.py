@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls as U
 from ..operators import extraction as E
-from ..operators import cells, history, links, ordered, vectors
+from ..operators import cells, history, links, ordered, patterns, vectors
 from ..sources import robots, sitemaps
-from .bindings import Tables
+from .bindings import Tables, ctes
 from .page_queries import WITH_URLS, _link_sql
 from .registry import query
 
@@ -250,6 +250,24 @@ def final_canonicals(t: Tables):
     return links.final_canonical(chain)
 
 
+# --- patterns --------------------------------------------------------------------------------------
+_PATTERNS = """p AS (SELECT p_partkey AS pattern_id, '/' || ['building', 'automobile', 'machinery', 'furniture', 'household'][p_partkey % 5 + 1] || '/[0-9]*' || (100 + p_partkey * 31 % 900) || '$' AS pattern,
+ 'type' || p_partkey % 13 AS page_type, p_partkey * 7919 % 1009 AS priority FROM part UNION ALL SELECT -1, '^https://site1[0-9]\.', 'tens', 5000 UNION ALL SELECT -2, '[05]$', 'fives', 6000)"""
+
+
+@query("page_type_by_patterns", "C14", ctes("site_pages") + f""", {_PATTERNS}, m AS (SELECT url, page_type, pattern_id, row_number() OVER (PARTITION BY url ORDER BY priority, pattern_id) AS n FROM (SELECT DISTINCT url FROM site_pages) JOIN (SELECT pattern_id, pattern, page_type, priority FROM p) ON regexp_matches(url, pattern))
+ SELECT u.url, COALESCE(m.page_type, 'unknown') AS page_type, m.pattern_id FROM (SELECT DISTINCT url FROM site_pages) u LEFT JOIN m ON m.url = u.url AND n = 1""")
+def page_type_by_patterns(t: Tables):
+    kinds = F.array(*[F.lit(k) for k in ("building", "automobile", "machinery", "furniture", "household")])
+    k = C("p_partkey")
+    made = t.raw("part").select(
+        k.alias("pattern_id"), F.concat(F.lit("/"), F.get(kinds, (k % 5).cast("int")), F.lit("/[0-9]*"), (100 + k * 31 % 900).cast("string"), F.lit("$")).alias("pattern"),
+        F.concat(F.lit("type"), (k % 13).cast("string")).alias("page_type"), (k * 7919 % 1009).alias("priority"),
+    )
+    fixed = t.spark.createDataFrame([(-1, r"^https://site1[0-9]\.", "tens", 5000), (-2, "[05]$", "fives", 6000)], "pattern_id long, pattern string, page_type string, priority long")
+    return patterns.first_matches(t.pages, made.unionByName(fixed))
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 @query("related_to_topic", "L1 C15", """WITH x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(CAST(v AS DOUBLE)) AS v FROM x GROUP BY 1, 2),
  c AS (SELECT label, list(v ORDER BY pos) AS centroid FROM m GROUP BY 1), s AS (SELECT c.label AS query_id, vec_id, list_cosine_similarity(centroid, CAST(embedding AS DOUBLE[])) AS sim FROM c CROSS JOIN embeddings),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.text import initials_label
 from ..operators import filters as L
-from ..operators import history, links, ordered, quality, reports, rubric, store, tables, tenancy, tokens
+from ..operators import history, links, ordered, paging, quality, reports, rubric, store, tables, tenancy, tokens
 from .bindings import Tables, ctes
 from .registry import query
 
@@ -379,6 +379,12 @@ def keyset_page(t: Tables):
     return reports.after_key(t.scores.select("score_id", "overall_score"), "overall_score", "score_id", 50, 300, 25)
 
 
+@query("deep_page", "F2", ctes("scores") + """SELECT score_id, page_id, overall_score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY overall_score DESC, scored_at, score_id) AS rank FROM scores) WHERE rank > 725 AND rank <= 750""")
+def deep_page(t: Tables):
+    listed = paging.sorted_list(t.scores, [C("overall_score").desc(), C("scored_at").asc(), C("score_id").asc()])
+    return listed.page(30, 25).select("score_id", "page_id", "overall_score", "rank")
+
+
 @query("recent_projects", "F3", ctes("site_pages", "runs") + "SELECT project_id, max(created_at) AS updated_at FROM runs r JOIN site_pages p ON p.page_id = r.page_id GROUP BY 1 ORDER BY updated_at DESC, project_id LIMIT 5")
 def recent_projects(t: Tables):
     touched = t.runs.groupBy("page_id").agg(F.max("created_at").alias("at")).join(t.pages.select("page_id", "project_id"), "page_id")
