@@ -135,14 +135,14 @@ def test_orphans_and_inbound(spark):
     assert {r["target"][-2:]: r["inbound"] for r in links.inbound_counts(edges).collect()} == {"a/": 2, "/b": 1}
 
 
-@pytest.mark.parametrize("blocks", [(1, 1), (5, 3)])
+@pytest.mark.parametrize("blocks", [(1000, 1000), (17, 3)])
 def test_top_related_is_exact(spark, blocks):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(80)] + [(99, [0.0] * 6)]
     base = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     queries = spark.createDataFrame([(i, v) for i, v in rows[:8]], "query_id long, vector array<double>")
     got: dict = {}
-    for r in vectors.top_related(base, queries, 4, vector_blocks=blocks[0], query_blocks=blocks[1]).orderBy("query_id", "rank").collect():
+    for r in vectors.top_related(base, queries, 4, block_rows=blocks[0], query_rows=blocks[1]).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["similarity"], 9)))
 
     def cos(a, b):
@@ -156,7 +156,7 @@ def test_top_related_is_exact(spark, blocks):
 def test_related_takes_odd_input(spark):
     base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, 2.0, 3.0]), (5, [None, 1.0]), (6, []), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
     queries = spark.createDataFrame([(1, [2.0, 0.1]), (2, None), (3, [1.0, 1.0, 1.0]), (4, []), (5, [0.0, 0.0])], "query_id long, vector array<double>")
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vectors.top_related(base.where("vec_id is not null"), queries, 2, vector_blocks=3, query_blocks=2).collect()}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vectors.top_related(base.where("vec_id is not null"), queries, 2, block_rows=2, query_rows=3).collect()}
     assert got == {(1, 1): 1, (1, 2): 2, (3, 1): 4}
     assert vectors.top_related(base, queries.limit(0), 2).collect() == []
     assert vectors.top_related(base.limit(0), queries, 2).collect() == []
