@@ -252,7 +252,7 @@ def final_canonicals(t: Tables):
 
 # --- patterns --------------------------------------------------------------------------------------
 _PATTERNS = """p AS (SELECT p_partkey AS pattern_id, '/' || ['building', 'automobile', 'machinery', 'furniture', 'household'][p_partkey % 5 + 1] || '/[0-9]*' || (100 + p_partkey * 31 % 900) || '$' AS pattern,
- 'type' || p_partkey % 13 AS page_type, p_partkey * 7919 % 1009 AS priority FROM part UNION ALL SELECT -1, '^https://site1[0-9]\.', 'tens', 5000 UNION ALL SELECT -2, '[05]$', 'fives', 6000)"""
+ 'type' || p_partkey % 13 AS page_type, p_partkey * 7919 % 1009 AS priority FROM part UNION ALL SELECT -1, '^https://site1[0-9][.]', 'tens', 5000 UNION ALL SELECT -2, '[05]$', 'fives', 6000)"""
 
 
 @query("page_type_by_patterns", "C14", ctes("site_pages") + f""", {_PATTERNS}, m AS (SELECT url, page_type, pattern_id, row_number() OVER (PARTITION BY url ORDER BY priority, pattern_id) AS n FROM (SELECT DISTINCT url FROM site_pages) JOIN (SELECT pattern_id, pattern, page_type, priority FROM p) ON regexp_matches(url, pattern))
@@ -264,7 +264,7 @@ def page_type_by_patterns(t: Tables):
         k.alias("pattern_id"), F.concat(F.lit("/"), F.get(kinds, (k % 5).cast("int")), F.lit("/[0-9]*"), (100 + k * 31 % 900).cast("string"), F.lit("$")).alias("pattern"),
         F.concat(F.lit("type"), (k % 13).cast("string")).alias("page_type"), (k * 7919 % 1009).alias("priority"),
     )
-    fixed = t.spark.createDataFrame([(-1, r"^https://site1[0-9]\.", "tens", 5000), (-2, "[05]$", "fives", 6000)], "pattern_id long, pattern string, page_type string, priority long")
+    fixed = t.spark.createDataFrame([(-1, "^https://site1[0-9][.]", "tens", 5000), (-2, "[05]$", "fives", 6000)], "pattern_id long, pattern string, page_type string, priority long")
     return patterns.first_matches(t.pages, made.unionByName(fixed))
 
 
