@@ -3,7 +3,7 @@
 A naive Bayes classifier over byte pairs, learned from a labelled table, gives each document posteriors over the domains. A projected
 gradient method then fits a rate of at least zero per document, such that the expected tokens of each domain meet its share of
 the total. A gradient is one number per domain, so an iteration is one aggregation of the documents' posteriors and nothing
-but the gradients reaches the driver; a document's rate is one projection of their sum.
+but k totals and a k x k matrix reaches the driver; every step projects the rates, which are folds of the steps over the posteriors.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .common import SPACES, kept, made, text_slices
 
 CODES = 1 << 16
 #: No limit: the fit ends at the tolerance or at the optimum.
-ITERATIONS, TOLERANCE, LEAST_WEIGHT = None, 1e-4, 1e-10
+ITERATIONS, TOLERANCE, LEAST_DAMPING = None, 1e-4, 1e-9
 
 # Lower case for A-Z; other bytes stay as they are.
 LOWER = np.arange(256, dtype=np.uint32)
@@ -87,68 +87,68 @@ def posteriors(docs: DataFrame, prior: np.ndarray, likelihood: np.ndarray, names
     return docs.mapInArrow(run, schema)
 
 
-def rate(gradients: list[list[float]], posterior: Column) -> Column:
-    """A document's rate: from 1, a step against each gradient, never below zero."""
-    if not gradients:
+def rate(steps: list[tuple[list[float], list[float]]], posterior: Column) -> Column:
+    """A document's rate after the steps (slope, move): from 1, a step against the gradient, never below zero.
+
+    A rate at zero whose gradient would lower it further rests; the others move by their posteriors times ``move``.
+    """
+    if not steps:
         return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in gradients])
-    shift = lambda g: F.aggregate(F.zip_with(posterior, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - shift(g)))
+    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    taken = F.array(*[F.struct(numbers(slope).alias("slope"), numbers(move).alias("move")) for slope, move in steps])
+    return F.aggregate(taken, F.lit(1.0), lambda r, t: F.when((r <= 0) & (dot(posterior, t["slope"]) > 0), 0.0).otherwise(F.greatest(F.lit(0.0), r - dot(posterior, t["move"]))))
+
 
+def dot(left: Column, right: Column) -> Column:
+    return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
 
-def fit_rates(rows: DataFrame, targets: list[float], iterations: int | None = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
-    """Gradient steps for rows (n tokens, p posteriors), and the shares reached.
 
-    Minimises the squared distance between expected domain totals and ``targets`` (shares of all tokens) over rates of at least
-    zero, in the metric of the documents' tokens: a step changes a rate by the document's posteriors, whatever its length.
-    Steps are summed and projected once: a rate is max(0, 1 - p . v). The penalty ``weight`` / 2 times the squared distance of the rates from 1 makes v unique;
-    it shrinks until the targets are met or it is negligible, which is the optimum where they can't be met. Each step is preconditioned by
-    the inverse Gram matrix of the documents with a rate above zero and halved until it lowers the dual objective, so few aggregations do at any skew.
-    None for ``iterations`` (aggregations after the first) sets no limit.
+def fit_rates(rows: DataFrame, targets: list[float], iterations: int | None = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[tuple[list[float], list[float]]], list[float]]:
+    """Projected gradient steps on the rates of rows (n tokens, p posteriors), and the shares reached.
+
+    Minimises half the squared distance between expected domain totals and ``targets`` (shares of all tokens) over rates of at least
+    zero, in the metric of the documents' tokens. There the gradient of a rate is p . slope with slope = shares - targets, so a step is one vector per
+    domain: rates become max(0, rate - p . move), and a row's rate is the fold of all steps over its posteriors. The move is the slope scaled by the damped inverse
+    Gram matrix of the rows with a rate above zero, so that rare domains move as fast as hot ones. Rates at zero that the gradient holds there rest, so the
+    scaling can't push them off. A step is taken if it lowers the objective by a part of what the gradient promises over the way gone; else
+    the damping grows, towards a short plain gradient step, which always does. The fit ends when the targets are met, or at the
+    optimum, where a plain projected step no longer moves the rates. None for ``iterations`` (aggregations after the first) sets no limit.
     """
     k, target = len(targets), np.array(targets, dtype=float)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def totals(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Shares, Gram matrix of the rows with a rate above zero and mean squared rate, at the rates of ``v``."""
-        rated = rows.select("n", "p", rate([v.tolist()], F.col("p")).alias("r"))
+    def totals(taken: list, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """At the rates of all steps: shares and Gram matrix of the rows above zero; before the last step, how far a plain step along ``slope`` moves the rates."""
+        rated = rows.select("n", "p", rate(taken, F.col("p")).alias("r"), rate(taken[:-1], F.col("p")).alias("before"))
         at, live = (lambda i: F.get("p", F.lit(i))), F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
-        got = rated.agg(F.sum("n"), F.sum(F.col("n") * F.col("r") * F.col("r")), *[F.sum(F.col("n") * F.col("r") * at(i)) for i in range(k)], *[F.sum(live * at(i) * at(j)) for i, j in pairs]).first()
+        moved = F.col("before") - F.greatest(F.lit(0.0), F.col("before") - dot(F.col("p"), F.array(*[F.lit(float(x)) for x in slope])))
+        got = rated.agg(F.sum("n"), F.sum(F.col("n") * moved * moved), *[F.sum(F.col("n") * F.col("r") * at(i)) for i in range(k)], *[F.sum(live * at(i) * at(j)) for i, j in pairs]).first()
         if not got[0]:
             return np.zeros(k), np.zeros((k, k)), -1.0
         values, gram = np.array(got[1:], dtype=float) / got[0], np.zeros((k, k))
         for (i, j), x in zip(pairs, values[1 + k:]):
             gram[i, j] = gram[j, i] = x
-        return values[1:1 + k], gram, values[0]
+        return values[1:1 + k], gram, float(np.sqrt(values[0]))
 
-    v, weight, used = np.zeros(k), 1e-2, 0
-    shares, gram, square = totals(v)
-    if square < 0:
+    shares, gram, moved = totals([], np.zeros(k))
+    if moved < 0:
         return [], [0.0] * k
-    open_ended = lambda: iterations is None or used < iterations
-    while np.abs(shares - target).max() > tolerance and open_ended():
-        slope = shares - target - weight * v
-        if np.abs(slope).max() <= tolerance / 10:
-            if weight <= LEAST_WEIGHT:
-                break
-            weight /= 100
-            continue
-        step = np.linalg.solve(gram + weight * np.eye(k), slope)
-        dual, gain, length = square / 2 + target @ v + weight / 2 * (v @ v), slope @ step, 1.0
-        while open_ended():
-            near, used = v + length * step, used + 1
-            found = totals(near)
-            if found[2] / 2 + target @ near + weight / 2 * (near @ near) <= dual - 1e-4 * length * gain:
-                v, (shares, gram, square) = near, found
-                break
-            length /= 2
-            if length < 1e-9:  # as low as doubles tell
-                break
-        if length < 1e-9:
-            if weight <= LEAST_WEIGHT:
-                break
-            weight /= 100
-    return [v.tolist()], [float(x) for x in shares]
+    steps, damping, used, steepest = [], LEAST_DAMPING, 0, float(np.trace(gram))
+    while np.abs(shares - target).max() > tolerance and (iterations is None or used < iterations):
+        slope, used = shares - target, used + 1
+        step = (slope.tolist(), np.linalg.solve(gram + damping * np.eye(k), slope).tolist())
+        near, near_gram, moved = totals([*steps, step], slope)
+        if moved <= tolerance / 10:
+            break
+        gain = (slope @ slope - (near - target) @ (near - target)) / 2
+        if gain > 0 and gain >= 1e-4 * (slope @ (shares - near)):
+            steps.append(step)
+            shares, gram, damping = near, near_gram, max(damping / 10, LEAST_DAMPING)
+        elif damping > 1e3 * steepest:  # a step so short that doubles tell no difference
+            break
+        else:
+            damping = max(damping * 10, 1e-6)
+    return steps, [float(x) for x in shares]
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, columns: list[str] | None = None, iterations: int | None = ITERATIONS) -> DataFrame:
@@ -174,10 +174,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     carried = docs.select("text", F.struct(*shown).alias("row"), words.alias("n"), drawn.alias("draw"))
     rows = kept(posteriors(carried, prior, likelihood, ["row", "n", "draw"]), "posteriors")
     targets = [w / scale for w in weights]
-    gradients, shares = fit_rates(rows.select("n", "p"), targets, iterations)
+    steps, shares = fit_rates(rows.select("n", "p"), targets, iterations)
     if max(abs(a - b) for a, b in zip(shares, targets)) > TOLERANCE:
         warnings.warn(f"target shares not met: {dict(zip(names, targets))}, reached: {dict(zip(names, shares))}", stacklevel=2)
     return rows.select(
         "row.*", F.col("n").cast("long").alias("n_words"), *[F.get("p", F.lit(i)).alias(f"p_{n}", metadata={"target": targets[i], "reached": shares[i]}) for i, n in enumerate(names)],
-        rate(gradients, F.col("p")).alias("rate"), F.floor(rate(gradients, F.col("p")) + F.col("draw")).alias("copies"),
+        rate(steps, F.col("p")).alias("rate"), F.floor(rate(steps, F.col("p")) + F.col("draw")).alias("copies"),
     )
