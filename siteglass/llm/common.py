@@ -73,6 +73,11 @@ def fold(column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(0))
 
 
+def below(wanted: int, of: int) -> int:
+    """The 64-bit hash up to which about ``wanted`` of ``of`` rows lie."""
+    return -(1 << 63) + min((1 << 64) - 1, (wanted << 64) // max(1, of))
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches into slices of bounded text size; a null text becomes an empty one."""
     for batch in batches:

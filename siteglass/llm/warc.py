@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import kept, scratch
+from .common import below, kept, scratch
 
 #: Magic number of the skippable frame that holds a dictionary, and profile of revisit records.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -138,6 +138,18 @@ def with_verdicts(pages: DataFrame, least: int = 0) -> DataFrame:
     return keyed.join(groups, "digest", "left")
 
 
+def dictionary_pages(pages: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` pages (page_id, url, html) of at most SAMPLE_ROW_CHARS characters, at most twice as many; the dictionary is built from them.
+
+    The pages whose hash of id and url is below a threshold, which follows from their number: a partition sends on its share of the sample
+    only, and the pages of one id and url count once.
+    """
+    mark = F.xxhash64("page_id", "url")
+    short = pages.where(F.coalesce(F.length("html"), F.lit(0)) <= SAMPLE_ROW_CHARS).select("page_id", "url", "html", mark.alias("mark"))
+    part = below(rows, short.count())
+    return short.where(F.col("mark") <= part).groupBy("mark").agg(F.min(F.struct("page_id", "url", "html")).alias("page")).limit(2 * rows).select("page.*")
+
+
 def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) into ``folder``; returns (path, records, bytes) of the archives.
 
@@ -146,8 +158,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
     which no row has an id. A null url has no target header. No pages, no archives. Other columns are ignored.
     """
     rows = with_verdicts(pages, least)
-    short = pages.where(F.coalesce(F.length("html"), F.lit(0)) <= SAMPLE_ROW_CHARS)
-    sample = short.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).select("page_id", "url", "html").collect()  # at most SAMPLE_ROWS * SAMPLE_ROW_CHARS characters
+    sample = dictionary_pages(pages).collect()
     payloads = [(r, (r.html or "").encode()) for r in sample]
     dictionary = build_dictionary([record(r.page_id, r.url, p, len(p), sha1(p), None, date) for r, p in payloads])
 
