@@ -136,7 +136,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 10_000, target: str = "quality") -> Additive:
     sample, _ = labelled_sample(docs, labels, target, train, per_class, "gam")
-    rows = feature_rows(sample).orderBy("doc_id").collect()  # at most 2 * per_class rows
+    rows = feature_rows(sample).orderBy("doc_id", "x").collect()  # at most 2 * per_class rows
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(QUALITY_FEATURES))
     return fit(x, np.array([r.label for r in rows], dtype=float), np.array([r.weight for r in rows], dtype=float))
 

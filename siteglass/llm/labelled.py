@@ -11,31 +11,49 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import kept
+from .common import below, kept
 
 UPPER, LOWER, DIGIT, SPACE, PUNCTUATION, SYMBOL, BANG, PIPE, OTHER = range(9)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Column, per_class: int, name: str) -> tuple[DataFrame, dict[int, int]]:
-    """Texts to learn from: (doc_id, text, label, weight), at most ``per_class`` ids of each class, and the classes' sizes.
+    """Texts to learn from: (doc_id, text, label, weight), at most ``per_class`` rows of each class, and the classes' sizes.
 
     ``train`` is a condition on doc_id: only labels for which it holds are read. Of each class the ids with the lowest hash
     are taken, so the sample does not depend on partitioning. Rows with a null id or label are ignored; several
-    labels of an id are averaged; a repeated document counts each time. ``weight`` restores the classes' shares.
+    labels of an id are averaged. Rows of equal id and text are one row, whose ``weight`` counts each of them; of an id with many texts
+    those with the lowest hash are taken, and stand for the rest. ``weight`` restores the classes' shares.
     """
     marks = labels.where("doc_id is not null").where(F.col(target).isNotNull()).where(train).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("label"))
     marks = kept(marks, f"{name}-labels")
     sizes = {r.label: r.n for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = None
     for label, size in sorted(sizes.items()):
-        part = marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = lowest(marks.where(F.col("label") == label), F.xxhash64("doc_id"), ["doc_id"], per_class, size)
         part = part.withColumn("weight", F.lit(size / min(size, per_class)))
         picked = part if picked is None else picked.union(part)
     if picked is None:
         picked = marks.withColumn("weight", F.lit(1.0))
     # At most 2 * per_class rows of three numbers: a bounded broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return kept(rows, f"{name}-sample"), sizes
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "text", "label", "weight").agg(F.count("*").alias("n"))
+    rows = kept(found.select("doc_id", "text", "label", (F.col("weight") * F.col("n")).alias("weight")), f"{name}-sample")
+    held = {r.label: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()}
+    if all(r.n <= per_class for r in held.values()):
+        return rows, sizes
+    mark, few = F.xxhash64("doc_id", "text"), None
+    for label, r in sorted(held.items()):
+        part = rows.where(F.col("label") == label)
+        if r.n > per_class:
+            part = kept(lowest(part, mark, ["doc_id", "text"], per_class, r.n), f"{name}-part")
+            part = part.withColumn("weight", F.col("weight") * F.lit(r.weight / part.agg(F.sum("weight")).first()[0]))
+        few = part if few is None else few.unionByName(part)
+    return kept(few, f"{name}-bounded"), sizes
+
+
+def lowest(frame: DataFrame, mark: Column, ties: list[str], rows: int, size: int) -> DataFrame:
+    """The ``rows`` of ``size`` rows with the lowest hash. A threshold of twice as many is applied first, so that partitions
+    don't each send ``rows`` of theirs."""
+    return frame.where(mark <= below(2 * rows + 100, size)).orderBy(mark, *ties).limit(rows)
 
 
 @functools.cache

@@ -213,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 80
     half = F.xxhash64("doc_id", F.lit("half")) % 2 == 0
     words = sample.where(half).mapInArrow(sketches, f"doc_id {kind}, sketch bigint, label int, text string")
     lexicon = lexicon_of(words.groupBy("sketch", "label").agg(F.min_by("text", "doc_id").alias("text")))
-    rows = dense(sample.where(~half), lexicon, ("label", "weight"), "label int, weight double").orderBy("doc_id").collect()  # at most 2 * per_class rows
+    rows = dense(sample.where(~half), lexicon, ("label", "weight"), "label int, weight double").orderBy("doc_id", "x").collect()  # at most 2 * per_class rows
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     y, weight = (np.array([r[c] for r in rows], dtype=float) for c in ("label", "weight"))
     last = np.arange(len(rows)) % 3 == 2

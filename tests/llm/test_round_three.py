@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteglass.llm import queries, recipes, runs, whitening
+from siteglass.llm import labelled, queries, recipes, runs, warc, whitening
 
 DOCS = "doc_id long, text string, lang string, n_words long, runs string, recipe int, key string, body binary"
 
@@ -244,3 +244,35 @@ def test_recipes_against_grouping(spark, bits):
 
 def test_recipes_of_no_rows(spark):
     assert recipes.exact_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+
+
+# --- bounded samples -----------------------------------------------------------------------
+
+def test_sample_counts_rows_of_a_repeated_document_by_weight(spark):
+    """A document that is a third of the table and among the picked ids, and an id with many texts."""
+    rows = [(i, f"text {i}") for i in range(200)] + [(7, "text 7")] * 300 + [(8, f"other {j}") for j in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    every = F.lit(True)
+    sample, sizes = labelled.labelled_sample(docs, labels, "quality", every, 1000, "t")
+    got = sample.collect()
+    assert sizes == {0: 100, 1: 100} and len(got) == 300 and sum(r.weight for r in got) == 600
+    assert [r.weight for r in got if r.doc_id == 7] == [301.0]
+    few, _ = labelled.labelled_sample(docs, labels, "quality", every, 110, "t")
+    held = [r.label for r in few.collect()]
+    assert held.count(0) == 110 and held.count(1) == 100
+    small, _ = labelled.labelled_sample(docs, labels, "quality", every, 5, "t")
+    want = sorted(spark.range(200).where("id % 2 = 1").orderBy(F.xxhash64("id")).limit(5).toPandas()["id"])
+    assert sorted(r.doc_id for r in small.collect() if r.label == 1) == want
+    assert labelled.labelled_sample(docs, labels.limit(0), "quality", every, 5, "t")[0].collect() == []
+
+
+def test_dictionary_pages_are_few_and_distinct(spark):
+    rows = [(i, f"u{i}", "x" * (i % 50)) for i in range(3000)] + [(5, "u5", "same")] * 1500 + [(None, None, None)] * 10
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.url) for r in warc.dictionary_pages(pages, 200).collect()]
+    assert 60 <= len(got) <= 400 and len(got) == len(set(got))
+    assert len(warc.dictionary_pages(pages.limit(40), 200).collect()) == len({r[:2] for r in rows[:40]})
+    long = spark.createDataFrame([(1, "u", "long " * 20_000), (2, "v", "long " * 20_000)], "page_id long, url string, html string")
+    assert warc.dictionary_pages(long).collect() == [] and warc.dictionary_pages(pages.limit(0)).collect() == []
+    assert sorted(tuple(r) for r in warc.round_trip(long).select("page_id", "record_type", "refers_to").collect()) == [(1, "response", None), (2, "revisit", 1)]
