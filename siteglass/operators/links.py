@@ -190,6 +190,20 @@ def final_canonical(chain: DataFrame) -> DataFrame:
     )
 
 
+def canonical_classes(pages: DataFrame) -> DataFrame:
+    """Each page (page_id, url, html) with the ``canonical_url`` of its class, and whether the class circles.
+
+    Pages whose URLs have the same form are one node, and a declared canonical link leads from node to node; a class is what ends at
+    the same node, or in the same cycle, whose smallest form then stands for it. Where pages of one form declare several
+    canonicals, the smallest that is another form holds. The iteration runs over forms only, without the markup.
+    """
+    form = U.normalize_crawl(F.col("url"), U.DEFAULT_IGNORE_PARAMS).alias("node")
+    linked = pages.select("page_id", "url", form, U.resolve_canonical_crawl(F.col("url"), F.col("html")).alias("target"))
+    chain = linked.groupBy("node").agg(F.min(F.when(F.col("target") != F.col("node"), F.col("target"))).alias("target"))
+    final = final_canonical(chain.select("node", F.coalesce("target", "node").alias("target")))
+    return pages.select("page_id", "url", form).join(final, "node").select("page_id", "url", F.col("final").alias("canonical_url"), "cyclic")
+
+
 def pending(discovered: DataFrame, processed: DataFrame, on: Sequence[str] = ("run_id", "url_hash")) -> DataFrame:
     """What a resumed run still has to do."""
     return discovered.join(processed, list(on), "left_anti")

@@ -124,6 +124,27 @@ def rubric_errors(rubric: DataFrame) -> DataFrame:
     return rubric.withColumn("errors", F.concat(nested, whole))
 
 
+def principle_errors(principles: DataFrame) -> DataFrame:
+    """Extracted principles (``categories`` as in a rubric) with an ``errors`` column: by position, and without scoring guidance."""
+
+    def of_category(c: Column, i: Column) -> Column:
+        at = i.cast("string")
+
+        def of_criterion(k: Column, j: Column) -> Column:
+            place = F.concat(F.lit("Criterion at category "), at, F.lit(", index "), j.cast("string"))
+            return collect_errors(*[(F.coalesce(k[f], F.lit("")) == "", F.concat(place, F.lit(f" missing {f}"))) for f in ("name", "description")])
+
+        own = collect_errors(
+            (F.coalesce(c["name"], F.lit("")) == "", F.concat(F.lit("Category at index "), at, F.lit(" missing name"))),
+            (c["criteria"].isNull(), F.concat(F.lit("Category at index "), at, F.lit(" missing criteria array"))),
+        )
+        return F.concat(own, F.coalesce(F.flatten(F.transform(c["criteria"], of_criterion)), F.array().cast("array<string>")))
+
+    whole = collect_errors((F.col("categories").isNull(), "principles.categories must be an array"))
+    nested = F.coalesce(F.flatten(F.transform("categories", of_category)), F.array().cast("array<string>"))
+    return principles.withColumn("errors", F.concat(whole, nested))
+
+
 def criteria_list(per_type: DataFrame) -> DataFrame:
     """One prompt list per page type: ``- name [EMPHASIZED]: description`` lines in rubric order.
 

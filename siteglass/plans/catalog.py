@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import discovery_queries, page_queries, report_queries, stream_queries  # noqa: F401  (register)
+from . import discovery_queries, page_queries, record_queries, report_queries, stream_queries  # noqa: F401  (register)
 from .analysis import analyze
 from .bindings import Tables
 from .registry import QUERIES
