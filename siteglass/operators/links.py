@@ -15,6 +15,9 @@ BASE_PRIORITY, SITEMAP_PRIORITY, LINK_PRIORITY = 1.0, 0.5, 0.3
 RUN_TYPES = ("full", "sitemap_only", "sample", "delta", "manual")
 # -----------------------------------------------------------------------------------------
 
+#: Partitions that the edges of one node are dealt to.
+HUB_PARTS = 8
+
 
 def page_links(extracted: DataFrame, kind: str = "internal_links") -> DataFrame:
     """Link edges: page_id, source url, host, target url, anchor."""
@@ -74,33 +77,48 @@ def new_links(links: DataFrame, seen: DataFrame, key: str = "url_hash") -> DataF
 def hop_depths(edges: DataFrame, roots: DataFrame, depth_limit: int, keys: Sequence[str] = ()) -> DataFrame:
     """Nodes reached from ``roots`` within ``depth_limit`` hops, with their least depth.
 
-    ``edges``: src, dst, and the keys if each key has edges of its own. ``roots``: keys, node. One equi-join per round on distinct edges;
-    a hub node is one skewed join key, which adaptive execution splits because the frontier side
-    has one row per node. Rounds are checkpointed to the shared folder, so a lost executor costs
-    one round at most and lineage stays short.
+    ``edges``: src, dst, and the keys if each key has edges of its own. ``roots``: keys, node. Edges and seen nodes are dealt into hash
+    partitions once and stay there, so a round moves the frontier only: to its edges, and what it finds to the seen nodes. The edges of a hub lie in
+    ``HUB_PARTS`` partitions, to each of which its one frontier row goes. Rounds are checkpointed to the shared folder, with their partitioning, so a
+    lost executor costs one round at most and lineage stays short.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     keys = list(keys)
     shared = [k for k in keys if k in edges.columns]
-    links = edges.select(*shared, "src", "dst").distinct().checkpoint()
-    seen = roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.hash("dst"), F.lit(HUB_PARTS)).alias("part")
+    links = edges.select(*shared, "src", "dst").distinct().select("*", part).repartition(parts, *shared, "src", "part").sortWithinPartitions(*shared, "src", "part").transform(placed)
+    seen = roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)).repartition(parts, *keys, "node").transform(placed)
     frontier = seen
     for depth in range(1, depth_limit + 1):
-        step = (
-            frontier.select(*keys, F.col("node").alias("src")).join(links, [*shared, "src"])
-            .select(*keys, F.col("dst").alias("node")).distinct()
-            .join(seen, [*keys, "node"], "left_anti")
-            .withColumn("depth", F.lit(depth)).checkpoint()
-        )
+        found = next_nodes(frontier, links, seen, keys, shared)
+        step = found.withColumn("depth", F.lit(depth)).transform(placed)
         if step.isEmpty():
             break
         seen = seen.unionByName(step)
         if depth % 4 == 0:
-            seen = seen.checkpoint()
+            seen = seen.transform(placed)
         frontier = step
     return seen
 
 
+def placed(frame: DataFrame) -> DataFrame:
+    """A checkpoint whose partitioning is known to later plans. An adaptive plan doesn't tell its own, so it is off for this one."""
+    conf = frame.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return frame.checkpoint()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
+def next_nodes(frontier: DataFrame, links: DataFrame, seen: DataFrame, keys: Sequence[str], shared: Sequence[str]) -> DataFrame:
+    """Nodes behind the frontier that were not seen. ``links`` and ``seen`` are partitioned by the columns they are joined on."""
+    ahead = frontier.select(*keys, F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).alias("part"))
+    return ahead.join(links, [*shared, "src", "part"]).select(*keys, F.col("dst").alias("node")).distinct().join(seen, [*keys, "node"], "left_anti")
+
+
 def crawl_frontier(extracted: DataFrame, queue: DataFrame, depth_limit: int, exclude: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """URLs a full run visits: the queue plus internal links up to ``depth_limit`` hops away, per run if ``keys`` names the run.
 

@@ -95,13 +95,13 @@ def url_duplicates(t: Tables):
     return distinct.groupBy("strict").agg(F.sum("n").alias("variants"), F.count("*").alias("crawl_forms"))
 
 
-@query("url_equivalence", "H9 B8", WITH_URLS + """SELECT page_id, clean = bare || frag AS clean_is_same, crawl = crawl AS same_after_form,
+@query("url_equivalence", "H9 B8", WITH_URLS + """SELECT page_id, clean = bare || frag AS clean_is_same, crawl = clean AS same_after_form,
  host = 'www.' || regexp_replace(host, '^www[.]', '') AS same_host_with_www FROM f""")
 def url_equivalence(t: Tables):
     u, n = C("url"), U.normalize_crawl(C("url"), U.DEFAULT_IGNORE_PARAMS)
     www = F.concat(F.lit("https://www."), F.regexp_replace(U.host_of(u), r"^www\.", ""), F.lit("/"))
     return t.raw("pages").select(
-        "page_id", (n == U.normalize_storage(u)).alias("clean_is_same"), U.equivalent(u, U.normalize_crawl(u)).alias("same_after_form"),
+        "page_id", (n == U.normalize_storage(u)).alias("clean_is_same"), U.equivalent(u, n).alias("same_after_form"),
         U.same_host(u, www).alias("same_host_with_www"),
     )
 
