@@ -2,8 +2,10 @@
 
 Of all suffixes only those are retained that start at a minimiser: the word position whose next ten words hash lowest among those of
 some 50-word window. Equal windows have their minimiser at the same place, so every repeated passage of 50 words holds a retained suffix in
-each of its copies. Retained suffixes are sorted and neighbours compared; those that begin like a suffix of another text
-are extended to the left and right, over every window they are the minimiser of. Windows that are equal in different texts make up the passages.
+each of its copies. Suffixes whose first ten words no other text has are left out. The others are sorted by the words that follow, and
+a second time by the words before, read backwards; no suffix of another text shares more words to the right, or to the left, than the
+nearest ones in these orders. Each suffix is extended to both sides by those lengths. The windows within are told apart by their hash, which
+names the first document of each, and settles windows whose two sides are shared with different texts only.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .common import kept, text_slices, whole
 PASSAGE, LEAD = 50, 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACE_BITS = 28
+#: Rows of one text that a task holds until it has seen whether another text follows; longer runs are passed on.
+HELD = 500_000
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -94,54 +98,152 @@ def gathered(run, rows: int = 50_000):
     return whole
 
 
-def shared_leads(suffixes: DataFrame) -> DataFrame:
-    """(lead): first words of suffixes of two texts or more.
+def array_partitions(frame: DataFrame) -> int:
+    return max(2, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Suffixes are sorted over all partitions by (lead, key, pos), so a lead of any number of suffixes spreads, and neighbours
-    are compared. A run of equal leads with two keys is reported; a run at an edge of its partition is reported with its keys and
-    settled with the run it continues.
+
+def with_shared_leads(suffixes: DataFrame) -> DataFrame:
+    """(key, pos): suffixes whose first words another text has too.
+
+    Suffixes are sorted over all partitions by (lead, key, pos), so a lead of any number of suffixes spreads, and stays where it lies.
+    A run of equal leads at an edge of its partition may go on in the next one, and is passed on.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run, first = None, True  # lead, first key, last key
+        lead, key, told, held = None, None, True, []  # the open run, whether it is passed on, and its rows if not
         for batch in batches:
             if not batch.num_rows:
                 continue
             leads, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "key"))
+            rows = batch.select(["key", "pos"])
             starts = np.flatnonzero(np.r_[True, leads[1:] != leads[:-1]])
             ends = np.r_[starts[1:], len(leads)] - 1
-            runs = np.stack([leads[starts], keys[starts], keys[ends]], axis=1)
-            if open_run is not None:
-                if open_run[0] == runs[0, 0]:
-                    runs[0, 1] = open_run[1]
-                else:
-                    runs = np.concatenate([[open_run], runs])
-            open_run, runs = runs[-1], runs[:-1]
-            told = runs[:, 1] != runs[:, 2]
-            if first and len(runs):
-                told[0], first = True, False
-            yield table(runs[told])
-        if open_run is not None:
-            yield table(open_run[None])
-
-    def table(runs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(runs[:, i]) for i in range(3)], names=["lead", "low", "high"])
-
-    n = max(2, int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = suffixes.repartitionByRange(n, "lead", "key", "pos").sortWithinPartitions("lead", "key", "pos").select("lead", "key").mapInArrow(run, "lead bigint, low bigint, high bigint")
-    return runs.groupBy("lead").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("lead")
+            shared = keys[starts] != keys[ends]
+            if lead is None or lead == leads[0]:
+                shared[0] |= told or keys[0] != key
+                if shared[0]:
+                    yield from held
+                    held = []
+            else:
+                held = []
+            yield rows.filter(pa.array(np.repeat(shared, ends - starts + 1)))
+            lead, key, told = leads[-1], keys[-1], bool(shared[-1])
+            if not told:
+                held.append(rows.slice(starts[-1]))
+                if sum(b.num_rows for b in held) > HELD:  # one text with this lead very often
+                    yield from held
+                    told, held = True, []
+        yield from held
+
+    return suffixes.repartitionByRange(array_partitions(suffixes), "lead", "key", "pos").sortWithinPartitions("lead", "key", "pos").mapInArrow(gathered(run), "key bigint, pos int")
+
+
+def packed(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, step: int) -> pa.Array:
+    """For each row the ``sizes`` codes from ``first`` on, onwards or backwards, as bytes."""
+    offsets = np.r_[0, np.cumsum(sizes)]
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes)
+    flat = codes[np.repeat(first, sizes) + step * at]
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(flat.tobytes())])
+
+
+def contexts(texts: DataFrame, passage: int, lead: int, rows: int = 20_000) -> DataFrame:
+    """(words, key, pos, side): the words from a suffix on (side 0) and, behind its lead, those before it backwards (side 1).
+
+    Both go as far as windows of which the suffix is the minimiser. A word is four bytes of its hash: where two words share
+    them, a suffix is extended too far, and the windows' own hashes settle it.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in text_slices(batches):
+            for key, at, text in zip(batch.column("key").to_pylist(), batch.column("places").to_pylist(), part):
+                hashes = word_hashes(text)
+                places, leads = minimisers(hashes, passage, lead)
+                codes = hashes.astype(np.uint32)
+                for i in range(0, len(at), rows):
+                    pos = np.sort(np.array(at[i:i + rows], np.int64))
+                    low, high = np.searchsorted(places, pos, "left"), np.searchsorted(places, pos, "right") - 1
+                    right, left = packed(codes, pos, high + passage - pos, 1), packed(codes, pos - 1, pos - low, -1)
+                    heads = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(pos), [None, pa.py_buffer(leads[pos].tobytes())]).cast(pa.binary())
+                    left = pa.compute.binary_join_element_wise(heads, left, pa.scalar(b"", pa.binary()))
+                    for side, words in enumerate((right, left)):
+                        yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(pos), key, np.int64)), pa.array(pos.astype(np.int32)), pa.array(np.full(len(pos), side, np.int32))], names=["words", "key", "pos", "side"])
+
+    return texts.mapInArrow(gathered(run, rows), "words binary, key bigint, pos int, side int")
+
+
+def matrix(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of each row, filled up with zeros, and their numbers."""
+    sizes = pa.compute.binary_length(words).to_numpy(zero_copy_only=False) // 4
+    flat = np.frombuffer(b"".join(words.to_pylist()), np.uint32)
+    out = np.zeros((len(words), int(sizes.max(initial=0)) + 1), np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+    return out, sizes
+
+
+def neighbour_lengths(suffixes: DataFrame, passage: int, rows: int = 20_000) -> DataFrame:
+    """(key, pos, side, common): the most words that a suffix shares with one of another text, by its neighbours in sorted order.
+
+    Rows are sorted over all partitions, so equal suffixes of very many texts spread, too. The nearest rows of other texts share the most words. Where
+    such a row may lie in another partition, or behind ``rows`` rows of the same text, the whole length is taken.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = [], False  # rows whose next text isn't known yet; whether the first of them is of the text before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < rows:
+                continue
+            block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            out, keep = settled(block, before, False)
+            yield out
+            held, before = [block.slice(keep)], True
+        if held:
+            yield settled(pa.Table.from_batches(held).combine_chunks().to_batches()[0], before, True)[0]
+
+    def settled(block: pa.RecordBatch, before: bool, last: bool) -> tuple[pa.RecordBatch, int]:
+        keys, sides = (block.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side"))
+        codes, sizes = matrix(block.column("words"))
+        n = len(keys)
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (sides[1:] != sides[:-1])])
+        runs = np.diff(np.r_[starts, n])
+        previous, following = np.repeat(starts, runs) - 1, np.repeat(starts + runs, runs)
+        common = np.full(n, -1, np.int64)
+        for other in (previous, following):
+            inside = np.flatnonzero((other >= 0) & (other < n))
+            j = other[inside]
+            same = codes[inside] == codes[j]
+            shared = np.where(same.all(axis=1), codes.shape[1], same.argmin(axis=1))
+            shared = np.minimum(np.minimum(shared, sizes[inside]), sizes[j])
+            common[inside] = np.maximum(common[inside], np.where(sides[inside] == sides[j], shared, 0))
+            common[(other < 0) | (other >= n)] = 2 + passage
+        # The open run is settled with the next block, if not too long; the row before it stays as its neighbour.
+        start = n if last or n - starts[-1] > rows // 2 else starts[-1]
+        first, keep = int(before), max(0, start - 1)
+        sent = block.slice(first, max(0, start - first))
+        out = np.maximum(common - 2 * (sides == 1), -1)[first:first + sent.num_rows]
+        return pa.RecordBatch.from_arrays([sent.column("key"), sent.column("pos"), sent.column("side"), pa.array(out.astype(np.int32))], names=["key", "pos", "side", "common"]), keep
+
+    ordered = suffixes.repartitionByRange(array_partitions(suffixes), "side", "words", "key").sortWithinPartitions("side", "words", "key", "pos")
+    return ordered.select("words", "key", "pos", "side").mapInArrow(run, "key bigint, pos int, side int, common int")
 
 
 def extended_windows(texts: DataFrame, passage: int, lead: int) -> DataFrame:
-    """(window, first_id, key, start, again): hashes of the windows whose minimiser is among ``places`` of the text, and whether
-    the text has had the window before."""
+    """(window, first_id, key, start, again): hashes of the windows that lie within the extension of their minimiser, and whether
+    the text has had the window before. ``sides`` has the suffixes of the text with the words shared on a side."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in text_slices(batches):
-            ids = batch.column("first_id")
-            for i, (key, places, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("places").to_pylist(), part)):
+            ids, sides = batch.column("first_id"), batch.column("sides")
+            for i, (key, text) in enumerate(zip(batch.column("key").to_pylist(), part)):
                 hashes = word_hashes(text)
-                start = np.flatnonzero(np.isin(minimisers(hashes, passage, lead)[0], np.array(places)))
+                places = minimisers(hashes, passage, lead)[0]
+                pos, side, common = (x.to_numpy(zero_copy_only=False) for x in sides[i].values.flatten())
+                shared = np.full((2, len(hashes)), -1, np.int64)
+                np.maximum.at(shared, (side, pos), common)
+                reach = places - np.arange(len(places))  # words of the window before its minimiser
+                start = np.flatnonzero((reach <= shared[1][places]) & (passage - reach <= shared[0][places]))
                 whole_hashes = rolling(hashes, passage)[start].view(np.int64)
                 again = np.ones(len(start), bool)
                 again[np.unique(whole_hashes, return_index=True)[1]] = False
@@ -169,10 +271,12 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, lead: int = LEAD)
     texts = kept(keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("doc_id").alias("n"), F.max("doc_id").alias("_last")), "texts")
     texts = texts.select("key", "first_id", F.when(F.col("first_id") == F.col("_last"), 1).otherwise(F.greatest("n", F.lit(1))).cast("long").alias("copies"))
     suffixes = kept(retained_suffixes(keyed.select("key", "text"), passage, lead), "suffixes")
-    places = suffixes.join(shared_leads(suffixes), "lead").groupBy("key").agg(F.collect_set("pos").alias("places")).join(texts, "key")
+    places = with_shared_leads(suffixes).groupBy("key").agg(F.collect_set("pos").alias("places"))
     # One row of each text is read again: the one with the lowest id.
-    again = keyed.join(places, "key").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    windows = kept(extended_windows(again.select("key", "first_id", "places", "text"), passage, lead), "windows")
+    again = lambda found: keyed.join(found.join(texts, "key"), "key").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    around = kept(contexts(again(places).select("key", "places", "text"), passage, lead), "contexts")
+    sides = neighbour_lengths(around, passage).groupBy("key").agg(F.collect_list(F.struct("pos", "side", "common")).alias("sides"))
+    windows = kept(extended_windows(again(sides).select("key", "first_id", "sides", "text"), passage, lead), "windows")
     owners = windows.groupBy("window").agg(F.min("first_id").alias("owner_id"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     # Written, so that the join below has a shuffle on either side and a passage of very many texts can be split.
     owners = kept(owners.select("window", "owner_id"), "owners")

@@ -1,4 +1,4 @@
-"""Whitening, periodic runs and chunk recipes against brute force."""
+"""Whitening, periodic runs, chunk recipes and sorted suffixes against brute force."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteglass.llm import labelled, queries, recipes, runs, warc, whitening
+from siteglass.llm import labelled, passages, queries, recipes, runs, warc, whitening
 
 DOCS = "doc_id long, text string, lang string, n_words long, runs string, recipe int, key string, body binary"
 
@@ -276,3 +276,45 @@ def test_dictionary_pages_are_few_and_distinct(spark):
     long = spark.createDataFrame([(1, "u", "long " * 20_000), (2, "v", "long " * 20_000)], "page_id long, url string, html string")
     assert warc.dictionary_pages(long).collect() == [] and warc.dictionary_pages(pages.limit(0)).collect() == []
     assert sorted(tuple(r) for r in warc.round_trip(long).select("page_id", "record_type", "refers_to").collect()) == [(1, "response", None), (2, "revisit", 1)]
+
+
+# --- op6 ---------------------------------------------------------------------------------
+
+def test_neighbours_share_the_most_words(spark):
+    """Lengths from sorted neighbours against all pairs; only rows at edges of partitions or blocks may get the whole length."""
+    r = random.Random(4)
+    rows = [(np.array([r.randrange(3) for _ in range(r.randrange(2, 9))], np.uint32).tobytes(), r.randrange(40), i, r.randrange(2)) for i in range(600)]
+    rows += [(rows[0][0], 40 + i % 150, 1000 + i, rows[0][3]) for i in range(300)]  # one passage of very many texts
+    rows += [(rows[1][0], 7, 2000 + i, rows[1][3]) for i in range(100)]  # one text with equal suffixes
+    frame = spark.createDataFrame(rows, "words binary, key long, pos int, side int").repartition(3)
+    for block in (8, 20_000):
+        got = {(x.key, x.pos, x.side): x.common for x in passages.neighbour_lengths(frame, 50, block).collect()}
+        assert len(got) == len(rows)
+        edges = 0
+        for words, key, pos, side in rows:
+            codes, best = np.frombuffer(words, np.uint32), 0
+            for other, k, _, s in rows:
+                if k != key and s == side:
+                    o = np.frombuffer(other, np.uint32)[:len(codes)]
+                    differ = np.flatnonzero(codes[:len(o)] != o)
+                    best = max(best, differ[0] if len(differ) else len(o))
+            want = best - 2 * side
+            if got[(key, pos, side)] != max(-1, want):
+                assert got[(key, pos, side)] == 52 - 2 * side
+                edges += 1
+        assert edges < (len(rows) if block == 8 else 150)
+
+
+def test_sides_shared_with_different_texts(spark):
+    """Windows whose two sides are in different texts are no passages; those of a third text with both are."""
+    from .test_operators import plain_spans, sentence
+
+    r = random.Random(12)
+    left, core, right = sentence(r, 30), sentence(r, 25), sentence(r, 30)
+    rows = [(i, " ".join(x)) for i, x in enumerate([
+        [left, core, right], [left, core, sentence(r, 40)], [sentence(r, 40), core, right], [sentence(r, 20), left, core, right, sentence(r, 9)], [core, core, core],
+    ])]
+    rows += [(10 + i, " ".join([sentence(r, 15), core, sentence(r, 15)])) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(x.doc_id, x.start_word, x.end_word) for x in passages.repeated_passages(frame).collect()}
+    assert got == plain_spans(rows) and {d for d, _, _ in got} == {0, 1, 2, 3}
