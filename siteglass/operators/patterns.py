@@ -1,7 +1,7 @@
 """Page types by a table of URL patterns, however many: an index of the texts that a pattern can't do without.
 
 A pattern that matches a URL has its literal parts in it. Of each pattern's literal parts the three-letter piece that the fewest patterns have is indexed;
-the pieces of a URL find its candidates by a hash join, and only those are matched. Patterns without such a part are candidates everywhere.
+the pieces of a URL find its candidates by a join on the piece, and only those are matched. Patterns without such a part are candidates everywhere.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 GRAM = 3
-#: Patterns that are broadcast at most (counted first); more are joined by a shuffle. Results are equal.
+#: Different patterns that are broadcast at most (counted first); more are joined by a shuffle. Results are equal.
 BROADCAST_PATTERNS = 20_000
 
 
@@ -54,11 +54,21 @@ def _grams(text: Column) -> Column:
 
 
 def index(patterns: DataFrame) -> DataFrame:
-    """``patterns`` (pattern_id, pattern, page_type, priority) with ``gram``, the indexed piece; empty where there is none."""
+    """``patterns`` (pattern_id, pattern, page_type, priority) with ``gram``, the indexed piece; empty where there is none.
+
+    The joins are hinted: Spark takes the size of a computed table for that of the few columns it is made from, and would broadcast it.
+    """
     each = patterns.withColumn("_grams", F.flatten(F.transform(_parts("pattern"), _grams)))
     counts = each.select(F.explode(F.array_distinct("_grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = each.select("pattern_id", F.explode(F.array_distinct("_grams")).alias("gram")).join(counts, "gram").groupBy("pattern_id").agg(F.min(F.struct("n", "gram")).alias("best"))
-    return patterns.join(rarest.select("pattern_id", F.col("best.gram").alias("gram")), "pattern_id", "left").withColumn("gram", F.coalesce("gram", F.lit("")))
+    rarest = each.select("pattern_id", F.explode(F.array_distinct("_grams")).alias("gram")).join(counts.hint("merge"), "gram").groupBy("pattern_id").agg(F.min(F.struct("n", "gram")).alias("best"))
+    return patterns.join(rarest.select("pattern_id", F.col("best.gram").alias("gram")).hint("merge"), "pattern_id", "left").withColumn("gram", F.coalesce("gram", F.lit("")))
+
+
+def least_of_equals(patterns: DataFrame) -> DataFrame:
+    """One row per different pattern: of equal ones only that of the least priority, then id, can be a first match. Null patterns are left out."""
+    row = F.struct("pattern_id", "page_type", "priority")
+    least = patterns.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.min_by(row, F.struct("priority", "pattern_id")).alias("_least"))
+    return least.select("pattern", "_least.*")
 
 
 def first_matches(urls: DataFrame, patterns: DataFrame, url: str = "url", default: str = "unknown") -> DataFrame:
@@ -67,13 +77,14 @@ def first_matches(urls: DataFrame, patterns: DataFrame, url: str = "url", defaul
     ``patterns``: pattern_id (unique), pattern, page_type, priority. A null url or pattern matches nothing. Patterns with case folded by a flag
     are found as well, as pieces are compared in lower case.
     """
-    table = index(patterns.where(F.col("pattern").isNotNull()))
-    table = F.broadcast(table) if patterns.count() <= BROADCAST_PATTERNS else table
+    different = least_of_equals(patterns)
+    table = index(different)
+    table = F.broadcast(table) if different.count() <= BROADCAST_PATTERNS else table.hint("merge")
     distinct = urls.select(F.col(url).alias("url")).distinct()
     pieces = distinct.select("url", F.explode(F.concat(F.array(F.lit("")), _grams(F.lower("url")))).alias("gram"))
     best = (
         pieces.join(table, "gram").where(F.rlike("url", F.col("pattern")))
         .groupBy("url").agg(F.min_by(F.struct("page_type", "pattern_id"), F.struct("priority", "pattern_id")).alias("best"))
     )
-    joined = distinct.join(best, "url", "left")
+    joined = distinct.join(best.hint("merge"), "url", "left")
     return joined.select("url", F.coalesce("best.page_type", F.lit(default)).alias("page_type"), F.col("best.pattern_id").alias("pattern_id"))

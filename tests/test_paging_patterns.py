@@ -57,3 +57,20 @@ def test_first_match_of_a_thousand_patterns(spark, monkeypatch, limit):
 def test_no_nested_loop(spark):
     made = patterns.first_matches(spark.createDataFrame([("https://a.b/c",)], "url string"), spark.createDataFrame([(1, "/c", "x", 1)], "pattern_id long, pattern string, page_type string, priority int"))
     assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_patterns_are_never_broadcast(spark, monkeypatch):
+    """Small by Spark's estimate, as a table computed from one narrow column is; equal patterns go down to one first."""
+    monkeypatch.setattr(patterns, "BROADCAST_PATTERNS", 3)
+    n = F.col("id")
+    made = spark.range(1000).select(n.alias("pattern_id"), F.concat(F.lit("/page/[0-9]*"), (n % 50 + 10).cast("string"), F.lit("$")).alias("pattern"),
+                                    F.concat(F.lit("t"), (n % 7).cast("string")).alias("page_type"), (n * 37 % 101).alias("priority"))
+    urls = spark.range(300).select(F.concat(F.lit("https://a.b/page/"), n.cast("string")).alias("url"))
+    found = patterns.first_matches(urls, made)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    best = {}
+    for i in range(1000):
+        best[i % 50 + 10] = min(best.get(i % 50 + 10, (999, 0)), (i * 37 % 101, i))
+    want = {f"https://a.b/page/{k}": (f"t{best[k % 100][1] % 7}", best[k % 100][1]) if k % 100 in best else ("unknown", None) for k in range(300)}
+    assert {x.url: (x.page_type, x.pattern_id) for x in found.collect()} == want
+    assert patterns.least_of_equals(made).count() == 50
