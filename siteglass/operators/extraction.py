@@ -233,9 +233,9 @@ EXTRACTION_FIELDS = (
 )
 
 
-def extract_pages(pages: DataFrame, **options) -> DataFrame:
+def extract_pages(pages: DataFrame, closed_references: bool = False, **options) -> DataFrame:
     """Raw pages (page_id, url, html) to page_id, url, extraction struct columns and metrics."""
-    return extract(parse_pages(pages), **options).drop("nodes", "page_text", "kept_text", "json_ld", "html_length")
+    return extract(parse_pages(pages, closed_references=closed_references), **options).drop("nodes", "page_text", "kept_text", "json_ld", "html_length")
 
 
 def page_record(parsed: DataFrame, url: str = "url") -> DataFrame:
