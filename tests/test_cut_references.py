@@ -13,7 +13,7 @@ from check import rows_of  # noqa: E402
 
 from siteglass.sources.markup import Page  # noqa: E402
 
-NAMES = ["analysis_record", "extract_headings"]
+NAMES = ["analysis_record", "extract_headings", "extract_text"]
 
 
 @pytest.fixture(scope="module")
