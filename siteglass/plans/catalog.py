@@ -23,5 +23,5 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     tune(spark)
-    found = analyze(Tables(spark, folder).stored_pages)
+    found = analyze(Tables(spark, folder).stored_pages, closed_references=True)
     return found.withColumn("recommendations", F.to_json("recommendations"))
