@@ -53,15 +53,16 @@ def _grams(text: Column) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, GRAM)))).otherwise(F.array().cast("array<string>"))
 
 
-def index(patterns: DataFrame) -> DataFrame:
+def index(patterns: DataFrame, how: str = "merge") -> DataFrame:
     """``patterns`` (pattern_id, pattern, page_type, priority) with ``gram``, the indexed piece; empty where there is none.
 
-    The joins are hinted: Spark takes the size of a computed table for that of the few columns it is made from, and would broadcast it.
+    The joins have a hint, ``how``: Spark takes the size of a computed table for that of the few columns it is made from, and would broadcast
+    one of any size. Only for a counted, bounded table is "broadcast" in place; it spares the tasks of frequent pieces.
     """
     each = patterns.withColumn("_grams", F.flatten(F.transform(_parts("pattern"), _grams)))
     counts = each.select(F.explode(F.array_distinct("_grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = each.select("pattern_id", F.explode(F.array_distinct("_grams")).alias("gram")).join(counts.hint("merge"), "gram").groupBy("pattern_id").agg(F.min(F.struct("n", "gram")).alias("best"))
-    return patterns.join(rarest.select("pattern_id", F.col("best.gram").alias("gram")).hint("merge"), "pattern_id", "left").withColumn("gram", F.coalesce("gram", F.lit("")))
+    rarest = each.select("pattern_id", F.explode(F.array_distinct("_grams")).alias("gram")).join(counts.hint(how), "gram").groupBy("pattern_id").agg(F.min(F.struct("n", "gram")).alias("best"))
+    return patterns.join(rarest.select("pattern_id", F.col("best.gram").alias("gram")).hint(how), "pattern_id", "left").withColumn("gram", F.coalesce("gram", F.lit("")))
 
 
 def least_of_equals(patterns: DataFrame) -> DataFrame:
@@ -78,8 +79,8 @@ def first_matches(urls: DataFrame, patterns: DataFrame, url: str = "url", defaul
     are found as well, as pieces are compared in lower case.
     """
     different = least_of_equals(patterns)
-    table = index(different)
-    table = F.broadcast(table) if different.count() <= BROADCAST_PATTERNS else table.hint("merge")
+    how = "broadcast" if different.count() <= BROADCAST_PATTERNS else "merge"
+    table = index(different, how).hint(how)
     distinct = urls.select(F.col(url).alias("url")).distinct()
     pieces = distinct.select("url", F.explode(F.concat(F.array(F.lit("")), _grams(F.lower("url")))).alias("gram"))
     best = (
