@@ -64,7 +64,7 @@ def cut_in_text(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["extract_text", "prepared_content"])
+@pytest.mark.parametrize("name", ["extract_text", "prepared_content", "prepared_with_summary"])
 def test_cut_in_main_text_matches_sql(spark, cut_in_text, name):
     con = pytest.importorskip("duckdb").connect()
     con.execute(f"create view pages as select * from '{cut_in_text}/pages.parquet/*.parquet'")
