@@ -24,6 +24,9 @@ SHINGLE, SEED, DISTANCE, SEGMENTS, CHAIN = 4, 42, 4, 7, 5
 #: Values of a key that are joined pair by pair; keys with more are joined by way of stars, with the same components.
 CROWD = 256
 
+#: Crowded keys that are broadcast at most; more are joined by a shuffle. Results are equal.
+BROADCAST_KEYS = 200_000
+
 # Bits of every byte value, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 PLACE = np.arange(8, dtype=np.int64) * 256
@@ -95,7 +98,10 @@ def chain_keys(fps: DataFrame, distance: int, m: int, chain: int) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, distance: int, m: int, ordered: bool) -> DataFrame:
-    """Pairs (a, b) that share a key, keep the budgets of the whole chain from its start, and differ in at most ``distance`` bits."""
+    """Pairs (a, b) that share a key, keep the budgets of the whole chain from its start, and differ in at most ``distance`` bits.
+
+    Spark sizes exploded keys like the fingerprints they come from, so a merge join is asked for: by that size it would broadcast them.
+    """
     cut, left, right = segments(m), left.alias("l"), right.select("key", F.col("fp").alias("other")).alias("r")
     diff = F.col("l.fp").bitwiseXOR(F.col("r.other"))
     within = F.lit(False)
@@ -108,7 +114,7 @@ def near_pairs(left: DataFrame, right: DataFrame, distance: int, m: int, ordered
         within = within | ((F.col("l.start") == start) & held)
     apart = F.col("l.fp") < F.col("r.other") if ordered else F.col("l.fp") != F.col("r.other")
     near = (F.col("l.key") == F.col("r.key")) & apart & within & (F.bit_count(diff) <= distance)
-    return left.join(right, near).select(F.col("l.fp").alias("a"), F.col("r.other").alias("b")).distinct()
+    return left.join(right.hint("merge"), near).select(F.col("l.fp").alias("a"), F.col("r.other").alias("b")).distinct()
 
 
 def similar_fingerprints(fps: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
@@ -126,16 +132,18 @@ def connecting_links(fps: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS
     """
     rows = chain_keys(fps, distance, m, chain)
     crowded = kept(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
+    n_crowded = crowded.count()
+    crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_KEYS else crowded.hint("merge")
     links = near_pairs(rows.join(crowded, "key", "left_anti"), rows, distance, m, ordered=True)
-    if crowded.isEmpty():
+    if not n_crowded:
         return links
     full = kept(rows.join(crowded, "key"), "crowded-rows")
     words = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
     around = full.select("fp").distinct().select("fp", F.explode(words).alias("word"))
     hubs = around.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("word", "hub")
-    stars = around.join(hubs, "word").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct() if distance >= 2 else links.limit(0)
+    stars = around.join(hubs.hint("merge"), "word").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct() if distance >= 2 else links.limit(0)
     stars = kept(stars, "stars")
-    named = full.join(components(stars).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = full.join(components(stars).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     most = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"))
     rest = named.join(most.select("key", "most.root"), ["key", "root"], "left_anti").select("key", "fp", "start")
     return links.union(stars).union(near_pairs(rest, full, distance, m, ordered=False))
@@ -160,7 +168,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     """
     fps = kept(fingerprints(docs, shingle), "fingerprints")
     classes = with_components(fps, distance, m, chain).select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(classes.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, m: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
@@ -173,5 +181,5 @@ def without_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle:
     keyed = docs.select(whole(docs).alias("row"), mark.alias("mark"))
     fps = kept(fingerprints(keyed.select("row.doc_id", "row.text", "mark"), shingle, "mark"), "fingerprints")
     classes = with_components(fps, distance, m, chain).select("fp", "root")
-    first = fps.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("head"))
+    first = fps.join(classes.hint("merge"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("head"))
     return keyed.join(first.select("head.mark"), "mark").dropDuplicates(["mark"]).select("row.*")
