@@ -122,7 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     known = item_windows(items, window, "item_key").cache()
     # The lengths are at most ``window`` numbers.
     seen = known.agg(F.count("*").alias("n"), F.collect_set(F.least("size", F.lit(window))).alias("lengths")).first()
-    side = F.broadcast(known) if seen.n <= BROADCAST_WINDOWS else known
+    # Else a merge join is asked for: Spark sizes the exploded windows of the documents like the documents, and may broadcast those.
+    side = F.broadcast(known) if seen.n <= BROADCAST_WINDOWS else known.hint("merge")
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"))
     found = document_windows(templates(keyed, "doc_id", "doc_key"), sorted(seen.lengths) or [window], "doc_id", "doc_key", "slots").join(side, "h")
     # Of the slots only those beside the item go on. A pair of windows counts once, whatever form it was found by.

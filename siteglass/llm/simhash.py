@@ -182,4 +182,4 @@ def without_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle:
     fps = kept(fingerprints(keyed.select("row.doc_id", "row.text", "mark"), shingle, "mark"), "fingerprints")
     classes = with_components(fps, distance, m, chain).select("fp", "root")
     first = fps.join(classes.hint("merge"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("head"))
-    return keyed.join(first.select("head.mark"), "mark").dropDuplicates(["mark"]).select("row.*")
+    return keyed.join(first.select("head.mark"), "mark", "left_semi").dropDuplicates(["mark"]).select("row.*")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from siteglass.llm import simhash
+from siteglass.llm import decontamination, simhash
 
 
 def executed(frame):
@@ -53,3 +54,26 @@ def test_crowded_keys_broadcast_or_shuffled(spark, monkeypatch, broadcast):
 
     got = classes((x.a, x.b) for x in links)
     assert got == classes((a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4)
+
+
+# --- pipeline ------------------------------------------------------------------------------
+
+def test_documents_are_not_broadcast_to_the_rows_that_stay(spark, tmp_path):
+    words = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "haven"]
+    rows = [(i, " ".join(words[(i // 2 * 7 + j * j + j // 8 * (i // 2)) % 8] for j in range(400)) * 20) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    got, plan = executed(simhash.without_near_duplicates(spark.read.parquet(str(tmp_path / "docs"))))
+    assert not re.search(r"Join \[mark#\d+L?\], \[mark#\d+L?\], Inner", plan)
+    ids = simhash.near_duplicates(spark.read.parquet(str(tmp_path / "docs"))).select("component_id").distinct()
+    assert sorted(r.doc_id for r in got) == sorted(r.component_id for r in ids.collect())
+
+
+def test_document_windows_are_not_broadcast_to_a_large_benchmark(spark, monkeypatch):
+    item = "which of the seven old bridges crosses the narrow river near the castle"
+    docs = spark.createDataFrame([(1, f"we ask {item} again"), (2, "nothing of the kind is found in this text at all today")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(10, item)], "item_id long, text string")
+    wanted = decontamination.contamination(docs, benchmark).collect()
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    got, plan = executed(decontamination.contamination(docs, benchmark))
+    assert got == wanted and [(r.doc_id, r.item_id) for r in got] == [(1, 10)]
+    assert re.search(r"SortMergeJoin \[h#\d+L\]", plan) and not re.search(r"BroadcastHashJoin \[h#\d+L\]", plan)
